@@ -31,4 +31,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLES: dict[str, str] = {"op7_decontamination": OP7}
+OP9 = rf"""
+WITH RECURSIVE doc AS (
+  SELECT DISTINCT doc_id, coalesce(regexp_extract_all(translate(text, {AZ}), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id
+       JOIN size sa ON sa.doc_id = a.doc_id JOIN size sb ON sb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, sa.n, sb.n HAVING 100 * count(*) >= 80 * (sa.n + sb.n - count(*))),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM doc UNION SELECT e.y, r.root FROM reach r JOIN edge e ON e.x = r.doc_id),
+group_of AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN group_of USING (doc_id) LEFT JOIN size USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op7_decontamination": OP7, "op9_near_duplicates": OP9}
