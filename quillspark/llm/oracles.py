@@ -4,6 +4,22 @@ from __future__ import annotations
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+OP3 = r"""
+WITH page AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
+line AS (SELECT r, source, unnest(lines) AS line, unnest(range(len(lines))) AS p FROM page),
+total AS (SELECT source, count(*) AS pages FROM page GROUP BY source),
+bad AS (
+  SELECT source, line
+  FROM (SELECT source, line, count(DISTINCT r) AS n FROM line WHERE trim(line) <> '' GROUP BY source, line)
+       JOIN total USING (source) WHERE n >= 5 AND n > 0.1 * pages),
+judged AS (
+  SELECT r, p, line.line, trim(line.line) <> '' AS has_text, bad.line IS NOT NULL AS gone
+  FROM line LEFT JOIN bad ON line.source = bad.source AND line.line = bad.line)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (has_text) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       coalesce(string_agg(judged.line, chr(10) ORDER BY p) FILTER (NOT gone), '') AS text
+FROM page JOIN judged USING (r) GROUP BY r
+"""
+
 OP7 = rf"""
 WITH item AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
@@ -51,4 +67,4 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.d
 FROM documents d JOIN group_of USING (doc_id) LEFT JOIN size USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_decontamination": OP7, "op9_near_duplicates": OP9}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3, "op7_decontamination": OP7, "op9_near_duplicates": OP9}
