@@ -20,6 +20,51 @@ SELECT any_value(doc_id) AS doc_id, count(*) FILTER (has_text) AS n_lines, count
 FROM page JOIN judged USING (r) GROUP BY r
 """
 
+OP4 = r"""
+WITH RECURSIVE message AS (
+  SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+line AS (
+  SELECT r, conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS p FROM message),
+level AS (
+  SELECT *, regexp_extract(line, '^(?:[ \t]*>)+') AS marks FROM line),
+leveled AS (
+  SELECT r, conv_id, turn, p, line, length(marks) - length(replace(marks, '>', '')) AS level,
+         regexp_replace(line, '^(?:[ \t]*>)+', '') AS content FROM level),
+body AS (
+  SELECT r, conv_id, turn, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY p)
+           FILTER (level = 0 AND NOT regexp_matches(line, '^On .* wrote:[ \t]*$')), ''), '^\s+|\s+$', '', 'g') AS body
+  FROM leveled GROUP BY r, conv_id, turn),
+run AS (
+  SELECT r, conv_id, turn, level, p - row_number() OVER (PARTITION BY r, level ORDER BY p) AS g, p, content FROM leveled),
+passage AS (
+  SELECT r, conv_id, turn, level,
+         trim(regexp_replace(lower(string_agg(content, chr(10) ORDER BY p)), '\s+', ' ', 'g')) AS t
+  FROM run WHERE level > 0 GROUP BY r, conv_id, turn, level, g),
+unit AS (
+  SELECT conv_id, turn, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS t
+  FROM (SELECT conv_id, turn, unnest([body] || regexp_split_to_array(body, '\n[ \t]*\n') || string_split(body, chr(10))) AS u FROM body)),
+original AS (
+  SELECT conv_id, t, min(turn) AS source_turn FROM unit WHERE t <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, t),
+linked AS (
+  SELECT q.r, q.conv_id, q.turn, q.level, CASE WHEN o.source_turn < q.turn THEN o.source_turn END AS source
+  FROM passage q LEFT JOIN original o ON q.conv_id = o.conv_id AND q.t = o.t WHERE q.t <> ''),
+quoted AS (
+  SELECT r, conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, max(source) FILTER (level = 1) AS reply_to
+  FROM linked GROUP BY r, conv_id, turn),
+reply AS (
+  SELECT conv_id, turn, max(reply_to) AS reply_to FROM quoted WHERE reply_to IS NOT NULL GROUP BY conv_id, turn),
+up(conv_id, turn, thread, depth) AS (
+  SELECT conv_id, turn, reply_to, 1 FROM reply
+  UNION ALL SELECT u.conv_id, u.turn, p.reply_to, u.depth + 1 FROM up u JOIN reply p ON p.conv_id = u.conv_id AND p.turn = u.thread),
+top AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM up GROUP BY conv_id, turn)
+SELECT m.conv_id, coalesce(thread, m.turn) AS thread, m.turn, role, reply.reply_to, CAST(coalesce(depth, 0) AS BIGINT) AS depth,
+       CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, body AS text,
+       '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || body AS formatted
+FROM message m JOIN body USING (r) LEFT JOIN quoted USING (r)
+     LEFT JOIN reply ON reply.conv_id = m.conv_id AND reply.turn = m.turn LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn
+"""
+
 OP7 = rf"""
 WITH item AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
@@ -67,4 +112,4 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.d
 FROM documents d JOIN group_of USING (doc_id) LEFT JOIN size USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3, "op7_decontamination": OP7, "op9_near_duplicates": OP9}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3, "op4_chat_threads": OP4, "op7_decontamination": OP7, "op9_near_duplicates": OP9}

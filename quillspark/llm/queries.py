@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, near_duplicates, packing, quality_rules
+from . import chat_threads, decontamination, line_dedup, near_duplicates, packing, pii, quality_rules
 from .common import table
 from .oracles import ORACLES
 
@@ -21,6 +21,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_threads.threads(table(spark, sf_dir, "conversations"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.report(docs, quality_rules.fitted(docs, table(spark, sf_dir, "labels")))
@@ -38,4 +42,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.report(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_dedup, op5_quality_rules, op7_decontamination, op8_packing, op9_near_duplicates)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_dedup, op4_chat_threads, op5_quality_rules, op7_decontamination, op8_packing, op9_near_duplicates, op10_personal_data)}
