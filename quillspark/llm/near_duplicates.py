@@ -2,13 +2,13 @@
 
 1. Each text becomes its set of distinct word shingles; texts with the same set form a class.
 2. ``BANDS`` bands of ``ROWS`` MinHash values give bucket keys. A bucket of up to ``ALL_PAIRS``
-   classes gives all its pairs. A larger bucket is compared with a few hubs, drawn anew in each
-   round, until it lies in one component; pairs of a large bucket that are in different components
-   after ``HUB_ROUNDS`` rounds are all compared, so no candidate is given up.
+   classes gives all its pairs. A larger bucket is compared with its smallest class, then with
+   ``HUB_ROUNDS`` classes drawn at random; pairs of a large bucket that are still in different
+   components after that are all compared, so no candidate is given up.
 3. Signatures of a candidate pair are compared in batches. After each batch the posterior of the
    similarity decides: the pair goes if the chance that it reaches the threshold is under ``MISS``.
 4. Survivors are verified on the full sets. Only links matter that join different components, so
-   each class's most promising pair goes first, and pairs inside a component are not verified.
+   pairs inside a component found by earlier steps are not compared.
 5. Components of the verified links name each document's group by its smallest doc_id.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8**6)**40 = 5e-6.
@@ -42,7 +42,7 @@ PERCENT = 80
 #: Signature values compared at a time, and the accepted chance of losing a pair at the threshold.
 STEP, MISS = 40, 1e-6
 ALL_PAIRS = 12
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: Ids sent to all tasks instead of a shuffle of the texts, up to this many (8 bytes each).
 SENT_IDS = 1_000_000
 
@@ -208,11 +208,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
 
 def _apart(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Pairs whose ends are in different components so far."""
-    if groups is None:
-        return pairs
-    left, right = groups.select(F.col("node").alias("a"), F.col("component").alias("ga")), groups.select(F.col("node").alias("b"), F.col("component").alias("gb"))
-    joined = pairs.join(left, "a", "left").join(right, "b", "left")
-    return joined.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).drop("ga", "gb")
+    return pairs if groups is None else _named(_named(pairs, groups, "a", "ga"), groups, "b", "gb").where("ga <> gb")
 
 
 def links(docs: DataFrame, table: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -238,60 +234,55 @@ def links(docs: DataFrame, table: DataFrame, width: int = WIDTH, percent: int =
     some = small.select(F.explode(pair).alias("p")).select("p.a", "p.b")
     large = members.where(F.col("n") > ALL_PAIRS)
 
-    def hub_pairs(step: int, rows: DataFrame) -> DataFrame:
-        hub = rows.groupBy("key").agg(F.min_by("rep", F.xxhash64(F.lit(step), "key", "rep")).alias("hub"))
-        return rows.join(hub, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    def hub_pairs(rows: DataFrame, hub) -> DataFrame:
+        hubs = rows.groupBy("key").agg(hub.alias("hub"))
+        return rows.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
 
-    texts = None
-    found: list[DataFrame] = []
     groups = None
-    tested = None
-    has_large = not large.isEmpty()
+    tested: list[DataFrame] = []
     for step in range(HUB_ROUNDS + 2):
         if step == 0:
-            candidates = some.unionByName(hub_pairs(0, large)) if has_large else some
+            candidates = some.unionByName(hub_pairs(large, F.min("rep")))
         else:
-            if not has_large:
-                break
-            named = large.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep"))
+            named = _named(large, groups, "rep", "g")
             split = named.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("key")
-            large = written(named.join(split, "key").select("key", "rep", "n", "low"))
+            large = written(named.join(split, "key").select("key", "rep"))
             if large.isEmpty():
                 break
             if step <= HUB_ROUNDS:
-                candidates = hub_pairs(step, large)
+                candidates = hub_pairs(large, F.min_by("rep", F.xxhash64(F.lit(step), "key", "rep")))
             else:
                 other = large.select("key", F.col("rep").alias("b"))
                 candidates = large.select("key", F.col("rep").alias("a")).join(other, "key").where("a < b").select("a", "b")
-        candidates = _apart(candidates.distinct(), groups)
-        if tested is not None:
-            candidates = candidates.join(tested, ["a", "b"], "left_anti")
+        candidates = _apart(candidates.distinct(), groups).select("a", "b")
+        for earlier in tested:
+            candidates = candidates.join(earlier, ["a", "b"], "left_anti")
         likely = written(_survivors(candidates, signatures, percent))
-        now = likely.select("a", "b")
-        tested = now if tested is None else tested.unionByName(now)
-        needed = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        tested.append(likely.select("a", "b"))
+        needed = written(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
         count = needed.count()
         if not count:
-            if groups is None:
-                groups = likely.select(F.col("a").alias("node"), F.col("b").alias("component"))
             continue
-        texts = _needed_texts(docs, needed, count, width)
-        ends = likely.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "likely")
-        best = ends.groupBy("x").agg(F.max(F.struct("likely", F.col("a").alias("a"), F.col("b").alias("b"))).alias("p")).select("p.a", "p.b").distinct()
-        found.append(written(_verified(best, texts, percent, width)))
-        groups = written(components(_union(found)))
-        rest = written(_apart(likely.join(best, ["a", "b"], "left_anti"), groups).select("a", "b"))
-        if not rest.isEmpty():
-            found.append(written(_verified(rest, texts, percent, width)))
-            groups = written(components(_union(found)))
+        good = written(_verified(likely, _needed_texts(docs, needed, count, width), percent, width))
+        if groups is None:
+            groups = written(components(good))
+        elif not good.isEmpty():
+            # components of components: only what is new is followed
+            between = _named(_named(good, groups, "a", "ga"), groups, "b", "gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+            joined = components(between).withColumnsRenamed({"node": "component", "component": "whole"})
+            older = groups.unionByName(between.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left_anti").select("node", F.col("node").alias("component")))
+            groups = written(older.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+    if groups is None:
+        return signatures.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where(F.lit(False))
     return groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _named(rows: DataFrame, groups: DataFrame | None, node: str, name: str) -> DataFrame:
+    """``rows`` with the component so far of the class in ``node``; a class that is in none is its own."""
+    if groups is None:
+        return rows.withColumn(name, F.col(node))
+    known = groups.select(F.col("node").alias(node), F.col("component").alias("__component"))
+    return rows.join(known, node, "left").withColumn(name, F.coalesce("__component", node)).drop("__component")
 
 
 def report(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
