@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_threads, co_training, decontamination, language_id, line_dedup, near_duplicates, packing, pii, quality_rules
+from . import chat_threads, co_training, decontamination, language_id, line_dedup, near_duplicates, packing, pii, quality_rules, repeated_spans
 from .common import table
 from .oracles import ORACLES
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.report(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(table(spark, sf_dir, "documents"))
 
@@ -54,4 +58,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_line_dedup, op4_chat_threads, op5_quality_rules, op6_quality_classifier, op7_decontamination, op8_packing, op9_near_duplicates, op10_personal_data)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_spans, op2_language_id, op3_line_dedup, op4_chat_threads, op5_quality_rules, op6_quality_classifier, op7_decontamination, op8_packing, op9_near_duplicates, op10_personal_data)}
