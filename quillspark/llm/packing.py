@@ -11,8 +11,8 @@ Only pieces are shuffled, and ids only for the pieces of open windows. The first
 step's rows are written to the shared folder, so that a task that runs again
 after a loss can't disagree with what was merged.
 
-Words recur, so the ids of each distinct white-space-delimited chunk are kept in
-a bounded table; the tokenizer drops white space and never joins what it parts.
+Words recur, so the ids of each distinct unit are kept in a bounded table; see
+``Encoder``.
 
 Defined results: a null or empty text is one piece of one id, the end mark;
 repeated rows are packed each on its own; an empty table gives an empty result.
@@ -37,15 +37,28 @@ OPEN_WINDOWS = 64
 END_ID = 1
 #: Tasks whose open windows are merged by one task.
 MERGED_TASKS = 32
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 600_000
 PIECES = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,sequence_id long,offset long"
 OPEN = PIECES + ",origin long,ids binary"
-_CHUNK_EDGE = np.zeros(256, bool)
-_CHUNK_EDGE[[0x20, 0x0A, 0x09, 0x0D]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x0A, 0x09, 0x0D]] = True
+# Classes of bytes: 0 other, 1 ASCII letter, 2 digit, 3 punctuation that never joins letters, 4 white space.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_CLASS[0x30:0x3A] = 2
+_CLASS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = 3
+_CLASS[_SPACE] = 4
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
 
 class Encoder:
-    """Ids of texts by a tokenizer whose tokens never span white space."""
+    """Ids of texts by a tokenizer whose tokens never span white space.
+
+    Within white space, runs of letters (ASCII and Latin-1), runs of ASCII punctuation and single
+    digits are what the tokenizer looks at one by one, and it folds their case. Chunks with anything
+    else, an apostrophe included, are looked up whole. Units are told apart by 64-bit hashes.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
@@ -53,40 +66,110 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
-        self.known: dict[bytes, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.begin = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
+        self.n_ids = 0
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > TABLE_ENTRIES:
-            self.known = {}
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, np.uint32)
+    @staticmethod
+    def _units(piece: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Folded bytes, the units' starts and ends, which are whole chunks, and each text's first unit."""
+        data = piece.data
+        n = len(data)
+        folded = _LOWER[data]
+        kind = _CLASS[data]
+        latin = np.zeros(n + 1, bool)  # second bytes of Latin-1 letters
+        lead = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+        second = data[lead + 1]
+        good = (second != 0x97) & (second != 0xB7)
+        lead, second = lead[good], second[good]
+        latin[lead + 1] = True
+        kind[lead] = kind[lead + 1] = 1
+        upper = (second >= 0x80) & (second <= 0x9E)
+        folded[lead[upper] + 1] += 32
+        starts, ends, first = tk.spans(piece, _SPACE)
+        odd = np.concatenate([[0], np.cumsum(kind == 0)])
+        whole = odd[ends] > odd[starts]
+        mark = np.zeros(n + 1, bool)  # where a unit begins inside an ordinary chunk
+        if n > 1:
+            mark[1:n] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] != 4)
+        for s, e in zip(starts[whole].tolist(), ends[whole].tolist(), strict=True):
+            mark[s:e] = False
+        mark[starts] = True
+        begin = np.flatnonzero(mark)
+        chunk = np.searchsorted(starts, begin, side="right") - 1
+        end = np.minimum(ends[chunk], np.append(begin[1:], n))
+        return folded, begin, end, whole[chunk], np.searchsorted(begin, piece.offsets)
+
+    def _learn(self, keys: list[int], units: list[str], whole: list[bool]) -> None:
+        found: list[np.ndarray] = [None] * len(keys)  # type: ignore[list-item]
+        plain = [k for k, w in enumerate(whole) if not w]
+        for i in range(0, len(plain), 2048):
+            part = plain[i : i + 2048]
+            e = self.tokenizer.encode(" ".join(units[k] for k in part), add_special_tokens=False)
+            ids, of = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
+            at = np.searchsorted(of, np.arange(len(part) + 1))
+            for j, k in enumerate(part):
+                found[k] = ids[at[j] : at[j + 1]]
+        odd = [k for k, w in enumerate(whole) if w]
+        for i in range(0, len(odd), 512):
+            part = odd[i : i + 512]
+            for k, e in zip(part, self.tokenizer.encode_batch([units[k] for k in part], add_special_tokens=False), strict=True):
+                found[k] = np.array(e.ids, np.uint32)
+        sizes = np.array([len(x) for x in found], np.int64)
+        first, total = len(self.known), int(sizes.sum())
+        while len(self.ids) < self.n_ids + total:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.begin) < first + len(keys):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+        self.ids[self.n_ids : self.n_ids + total] = np.concatenate(found)
+        self.begin[first : first + len(keys)] = self.n_ids + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.size[first : first + len(keys)] = sizes
+        self.n_ids += total
+        self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
 
     def encode(self, piece: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, each text closed by the end mark, and where each text's ids begin."""
-        starts, ends, first = tk.spans(piece, _CHUNK_EDGE)
-        keys = tk.span_hash(tk.prefix_hash(piece.data), starts, ends)
-        _, at, which = np.unique(keys, return_index=True, return_inverse=True)
-        raw = piece.data.tobytes()
-        chunks = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        new = list({c for c in chunks if c not in self.known})
-        if len(self.known) + len(new) > TABLE_ENTRIES:
-            new = list(set(chunks))
-        self._learn(new)
-        ids = [self.known[c] for c in chunks]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.array([self.end_id], np.uint32)])
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        n_texts = len(first) - 1
-        # the end mark is a chunk of its own behind each text's chunks
-        order = np.insert(which, first[1:], len(sizes))
-        sizes, begin = np.append(sizes, 1), begin
-        take = sizes[order]
+        folded, starts, ends, whole, first = self._units(piece)
+        keys = tk.span_hash(tk.prefix_hash(folded), starts, ends) ^ whole.astype(np.uint64)
+        distinct, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        listed = distinct.tolist()
+        if len(self.known) + len(listed) > TABLE_ENTRIES:
+            new = [k for k, x in enumerate(listed) if x not in self.known]
+            if len(self.known) + len(new) > TABLE_ENTRIES:
+                self._forget()
+        new = [k for k, x in enumerate(listed) if x not in self.known]
+        if new:
+            raw = piece.data.tobytes()
+            some = at[new]
+            texts = [raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+            self._learn([listed[k] for k in new], texts, whole[some].tolist())
+        entry = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))
+        # the end mark stands behind each text's units
+        order = np.insert(which, first[1:], len(listed))
+        begin, size = np.append(self.begin[entry], 0), np.append(self.size[entry], 1)
+        take = size[order]
         out_at = np.concatenate([[0], np.cumsum(take)])
         source = np.repeat(begin[order] - out_at[:-1], take) + np.arange(out_at[-1])
-        text_at = out_at[first + np.arange(n_texts + 1)]
-        return flat[source], text_at
+        out = self.ids[source]
+        text_at = out_at[first + np.arange(len(first))]
+        out[text_at[1:] - 1] = self.end_id
+        return out, text_at
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
+    """The process's encoder: loading it and what it has learned serve later tasks too."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 class Packer:
@@ -144,12 +227,12 @@ def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_wind
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        encoder, done, closed = Encoder(tokenizer_path, end_id), [], 0
+        tool, done, closed = encoder(tokenizer_path, end_id), [], 0
 
         packer = Packer(lambda pieces: done.append(pieces), window, open_windows)
         for b in batches:
             for piece in tk.slices(b.column(1)):
-                ids, at = encoder.encode(piece)
+                ids, at = tool.encode(piece)
                 names = b.column(0).slice(piece.first, piece.last - piece.first).to_pylist()
                 for r, doc in enumerate(names):
                     packer.place(doc, 0, int(at[r + 1] - at[r]), ids[at[r] : at[r + 1]])
