@@ -269,7 +269,7 @@ def links(docs: DataFrame, table: DataFrame, width: int = WIDTH, percent: int =
         elif not good.isEmpty():
             # components of components: only what is new is followed
             between = _named(_named(good, groups, "a", "ga"), groups, "b", "gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-            joined = components(between).withColumnsRenamed({"node": "component", "component": "whole"})
+            joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("whole"))
             older = groups.unionByName(between.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left_anti").select("node", F.col("node").alias("component")))
             groups = written(older.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
     if groups is None:
