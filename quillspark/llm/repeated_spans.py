@@ -21,9 +21,8 @@ gives for pairs of positions, at a quarter of its sample.
 
 Names are hashes of 96 bits. Rows are packed by bucket and compressed, ordered within
 bounded buckets, and a name that recurs in a task is sent on once, so a passage that a
-third of all documents share does not meet in one task. Texts are shuffled only for
-documents that may have something to remove (a Bloom filter of fixed size leaves the
-rest out; when it is full, all texts are shuffled and nothing else changes).
+third of all documents share does not meet in one task. Open runs and spans are sent to
+the texts while they are small; see ``_texts_of`` for the way beyond that.
 
 Defined results: a null text is empty; fully repeated rows are one document, and each
 has its result; rows that share a doc_id with different texts are ordered by a hash of
@@ -49,11 +48,15 @@ LENGTH = 100
 GRAM = 32
 BLOOM_BITS = 23
 #: Runs or strings that a task gathers before it sends them on.
-GATHERED = 300_000
+GATHERED = 200_000
+#: Names that a task remembers; it then starts anew, which only lets some repeats travel.
+REMEMBERED = 1_500_000
+#: Open runs or spans sent to all tasks, in bytes; beyond this the texts are shuffled instead.
+SENT_BYTES = 32_000_000
 NO_ID = 2**63 - 1
 
 _VALUE_2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
-_PLACE_BITS = np.uint64(28)
+_SLICE = 1 << 19
 _PLACE = np.uint64((1 << 28) - 1)
 _RUN = [("h1", "<u8"), ("h2", "<u4"), ("gram", "<u4"), ("doc", "<i8"), ("dig", "<i8"), ("start", "<i4"), ("n", "<u1")]
 _STRING = [("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("dig", "<i8"), ("start", "<i4")]
@@ -153,6 +156,8 @@ class _Seen:
                 equal &= old[spot] == c[k][head]
             repeat[head[known & less]] = True
         fresh = np.flatnonzero(~repeat)
+        if len(self.name) > REMEMBERED:
+            self.__init__()
         if len(fresh):
             names = np.concatenate([self.name, name[fresh]])
             at = [np.concatenate([old, c[k][fresh].astype(np.int64)]) for old, k in zip(self.at, ("doc", "dig", "start"), strict=True)]
@@ -167,7 +172,7 @@ def _buckets(df: DataFrame) -> int:
 
 
 def _by_document(doc: np.ndarray, dig: np.ndarray, buckets: int) -> np.ndarray:
-    return (tk.mix(doc.astype(np.uint64) + tk.mix(dig.astype(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+    return (_joint_key(doc, dig) % np.uint64(buckets)).astype(np.int32)
 
 
 def _sent(gathered: list[Columns], layout: list, seen: _Seen, buckets: int, of: str) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -196,7 +201,7 @@ def _first_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, gathered, size = _Seen(), [], 0
         for b in batches:
-            for piece in tk.slices(b.column(1)):
+            for piece in tk.slices(b.column(1), _SLICE):
                 c = runs(piece, length)
                 if not len(c["row"]):
                     continue
@@ -226,6 +231,8 @@ def _settle_runs(packed: DataFrame, buckets: int) -> DataFrame:
     """Later repeats, and first runs whose sample has several names (open)."""
 
     def settle(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        if key[0].as_py():
+            return rows.select(["bucket", "n", "blob"])
         c = _unpack(rows, _RUN)
         order, head = _firsts(c)
         _, which, names = np.unique(c["gram"][order[head]], return_inverse=True, return_counts=True)
@@ -237,20 +244,22 @@ def _settle_runs(packed: DataFrame, buckets: int) -> DataFrame:
         found = {k: c[k][go] for k in ("doc", "dig", "start", "n")} | {"open": flag[go]}
         return pa.Table.from_batches([_pack(found, _FOUND, _by_document(found["doc"], found["dig"], buckets))] if go.any() else [], schema=_packed_schema())
 
-    return packed.groupBy("bucket").applyInArrow(settle, "bucket int, n long, blob binary")
+    return packed.groupBy("found", "bucket").applyInArrow(settle, "bucket int, n long, blob binary")
 
 
 def _settle_strings(packed: DataFrame, buckets: int) -> DataFrame:
     """Strings whose name stands earlier."""
 
     def settle(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        if key[0].as_py():
+            return rows.select(["bucket", "n", "blob"])
         c = _unpack(rows, _STRING)
         order, head = _firsts(c)
         go = order[~head]
         found = {k: c[k][go] for k in ("doc", "dig", "start")} | {"n": np.ones(len(go)), "open": np.zeros(len(go))}
         return pa.Table.from_batches([_pack(found, _FOUND, _by_document(found["doc"], found["dig"], buckets))] if len(go) else [], schema=_packed_schema())
 
-    return packed.groupBy("bucket").applyInArrow(settle, "bucket int, n long, blob binary")
+    return packed.groupBy("found", "bucket").applyInArrow(settle, "bucket int, n long, blob binary")
 
 
 def _packed_schema() -> pa.Schema:
@@ -285,24 +294,64 @@ def _per_document(found: DataFrame, length: int) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(merge, ", ".join(_SPANS.split(",")))
 
 
-def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (doc, dig, ...) with their texts; texts of documents that a Bloom filter rules out are not shuffled."""
+def _texts_of(docs: DataFrame, rows: DataFrame, what: str) -> DataFrame:
+    """``(doc, dig, text, what)``: ``rows`` (doc, dig, and a binary column) with their texts.
+
+    Up to ``SENT_BYTES`` of rows go to the texts. Beyond that the texts go to the rows: compressed, and
+    without documents that a Bloom filter of fixed size rules out (if it is full, all are shuffled).
+    """
+    rows = rows.select("doc", "dig", F.col(what).alias("what"))
+    size = rows.agg(F.sum(F.octet_length("what") + 24)).first()[0] or 0
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    fields = "doc long,dig long,text string,what binary"
+    if size <= SENT_BYTES:
+        few = rows.toArrow().combine_chunks()
+        key = _joint_key(few.column("doc").to_numpy(), few.column("dig").to_numpy())
+        order = np.argsort(key)
+        sent = docs.sparkSession.sparkContext.broadcast((key[order], pa.array(few.column("what").to_pylist(), pa.binary()).take(pa.array(order))))
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, blobs = sent.value
+            for b in batches:
+                for piece in tk.slices(b.column(1), _SLICE):
+                    ids, digs = _keys(b, piece)
+                    mine = _joint_key(ids, digs)
+                    at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
+                    hit = np.flatnonzero(known[at] == mine) if len(known) else np.zeros(0, np.int64)
+                    if len(hit):
+                        yield batch(fields, ids[hit], digs[hit], b.column(1).take(pa.array(hit + piece.first)), blobs.take(pa.array(at[hit])))
+
+        return own.mapInArrow(look_up, ", ".join(fields.split(",")))
     bit = F.pmod(F.xxhash64("doc"), F.lit(1 << BLOOM_BITS))
     words = rows.select(bit.alias("bit")).selectExpr("CAST(bit DIV 32 AS INT) AS w", "shiftleft(1L, CAST(bit % 32 AS INT)) AS m").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     bloom = np.zeros(1 << (BLOOM_BITS - 5), np.uint32)
     bloom[words.column("w").to_numpy()] = words.column("m").to_numpy().astype(np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+    filled = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
             at = b.column(2).to_numpy()
-            b = b.filter(pa.array((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0))
-            for piece in tk.slices(b.column(1)):
+            b = b.filter(pa.array((filled.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0))
+            for piece in tk.slices(b.column(1), _SLICE):
                 ids, digs = _keys(b, piece)
-                yield batch("doc long,dig long,text string", ids, digs, b.column(1).slice(piece.first, len(ids)))
+                raw = piece.data.tobytes()
+                yield batch("doc long,dig long,packed binary", ids, digs, [press.compress(raw[a:z]) for a, z in zip(piece.offsets[:-1], piece.offsets[1:], strict=True)])
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield batch(fields, part.column(0), part.column(1), [unpress.decompress(x).decode() for x in part.column(2).to_pylist()], part.column(3))
+
+    spread = own.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).select("doc_id", "text", bit.alias("bit"))
+    packed = spread.mapInArrow(choose, "doc long, dig long, packed binary")
+    return packed.join(rows, ["doc", "dig"]).select("doc", "dig", "packed", "what").mapInArrow(restore, ", ".join(fields.split(",")))
 
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")).select("doc_id", "text", bit.alias("bit"))
-    return own.mapInArrow(choose, "doc long, dig long, text string").dropDuplicates(["doc", "dig"]).join(rows, ["doc", "dig"])
+
+def _joint_key(doc: np.ndarray, dig: np.ndarray) -> np.ndarray:
+    return tk.mix(doc.astype(np.uint64) + tk.mix(dig.astype(np.uint64)))
 
 
 def _open_strings(texts: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -312,7 +361,7 @@ def _open_strings(texts: DataFrame, buckets: int, length: int) -> DataFrame:
         seen, gathered, size = _Seen(), [], 0
         for b in batches:
             todo = b.column(3).to_pylist()
-            for piece in tk.slices(b.column(2)):
+            for piece in tk.slices(b.column(2), _SLICE):
                 pairs = [np.frombuffer(x, "<i4").reshape(-1, 2).astype(np.int64) for x in todo[piece.first : piece.last]]
                 row = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])
                 both = np.concatenate(pairs)
@@ -330,13 +379,11 @@ def _open_strings(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                     for x in _sent(gathered, _STRING, seen, buckets, "h1"):
                         yield _marked(*x)
                     gathered, size = [], 0
-                    if len(seen.name) > 20 * GATHERED:
-                        seen = _Seen()
         if gathered:
             for x in _sent(gathered, _STRING, seen, buckets, "h1"):
                 yield _marked(*x)
 
-    return texts.select("doc", "dig", "text", "open").mapInArrow(scan, _SENT)
+    return texts.mapInArrow(scan, _SENT)
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -347,19 +394,17 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     """``(doc, dig, spans)``: for each document with something to remove its spans, packed int32 starts and ends in bytes."""
     own = _own(docs, id_col, text_col)
     buckets = _buckets(docs)
-    sent = written(_first_runs(own, buckets, length))
-    settled = _settle_runs(sent.where("NOT found").drop("found"), buckets)
-    first = written(_per_document(settled.unionByName(sent.where("found").drop("found")), length))
-    open_runs = first.where("open IS NOT NULL").select("doc", "dig", "open")
-    strings = written(_open_strings(_texts_of(own, open_runs), buckets, length))
-    merged = _settle_strings(strings.where("NOT found").drop("found"), buckets)
-    second = _per_document(merged.unionByName(strings.where("found").drop("found")), length)
-    spans = first.unionByName(second).where("spans IS NOT NULL").select("doc", "dig", "spans")
-    return written(spans.groupBy("doc", "dig").agg(F.collect_list("spans").alias("spans")))
-
-
-def _joined(spans: list[bytes]) -> np.ndarray:
-    pairs = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2) for x in spans]).astype(np.int64)
+    settled = _settle_runs(_first_runs(own, buckets, length), buckets)
+    first = written(_per_document(settled, length))
+    open_runs = first.where("open IS NOT NULL")
+    merged = _settle_strings(_open_strings(_texts_of(own, open_runs, "open"), buckets, length), buckets)
+    spans = first.unionByName(_per_document(merged, length)).where("spans IS NOT NULL")
+    # a document's spans from both steps, one after the other, are merged when they are used
+    return written(spans.groupBy("doc", "dig").agg(F.collect_list("spans").alias("s")).select("doc", "dig", F.expr("aggregate(s, X'', (a, x) -> a || x)").alias("spans")))
+
+
+def _joined(spans: bytes) -> np.ndarray:
+    pairs = np.frombuffer(spans, "<i4").reshape(-1, 2).astype(np.int64)
     return _merged(pairs[:, 0], pairs[:, 1]).reshape(-1, 2)
 
 
@@ -370,7 +415,7 @@ def report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in tk.slices(b.column(1)):
+            for piece in tk.slices(b.column(1), _SLICE):
                 ids, digs = _keys(b, piece)
                 raw = piece.data.tobytes()
                 shas = [hashlib.sha256(raw[a:z]).hexdigest() for a, z in zip(piece.offsets[:-1], piece.offsets[1:], strict=True)]
@@ -387,8 +432,8 @@ def report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
                 count.append(len(pairs))
             yield batch("doc long,dig long,n_removed long,n_spans long,sha string", b.column(0), b.column(1), removed, count, shas)
 
-    texts = _texts_of(own, repeated(docs, length, id_col, text_col)).select("doc", "dig", "text", "spans")
-    changed = texts.mapInArrow(cut, "doc long, dig long, n_removed long, n_spans long, sha string")
+    texts = _texts_of(own, repeated(docs, length, id_col, text_col), "spans")
+    changed = texts.mapInArrow(cut, "doc long, dig long, n_removed long, n_spans long, sha string").dropDuplicates(["doc", "dig"])
     zero = F.lit(0).cast("long")
     base = own.mapInArrow(measure, ", ".join(whole.split(",")))
     return base.join(changed, ["doc", "dig"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"))
@@ -410,11 +455,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in tk.slices(b.column(1)):
+            for piece in tk.slices(b.column(1), _SLICE):
                 ids, digs = _keys(b, piece)
                 size = len(ids)
                 yield batch("doc_id long,text string,doc long,dig long", b.column(0).slice(piece.first, size), b.column(1).slice(piece.first, size), ids, digs)
 
-    changed = _texts_of(own, repeated(docs, length, id_col, text_col)).select("doc", "dig", "text", "spans").mapInArrow(cut, ", ".join(fields.split(",")))
+    changed = _texts_of(own, repeated(docs, length, id_col, text_col), "spans").mapInArrow(cut, ", ".join(fields.split(","))).dropDuplicates(["doc", "dig"])
     whole = own.mapInArrow(keyed, "doc_id long, text string, doc long, dig long")
     return whole.join(changed, ["doc", "dig"], "left").select("doc_id", F.coalesce("left", "text").alias("text"))
