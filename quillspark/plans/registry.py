@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import catalogue_queries, evaluation_queries, filter_queries, search_queries
+from .tables import Query
+
+_PARTS = (search_queries, filter_queries, catalogue_queries, evaluation_queries)
+QUERIES: dict[str, Query] = {name: q for part in _PARTS for name, q in part.R.queries.items()}
+ORACLES: dict[str, str] = {name: s for part in _PARTS for name, s in part.R.oracles.items()}
 FLAGSHIP = "qry3_lexical_search"
