@@ -102,10 +102,10 @@ class Model:
 
 
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``y``: 1, 0, or -1 for documents of the pool. A fifth of the labelled ones is set aside for calibration."""
+    """``y``: 1, 0, or -1 for documents of the pool. A fifth of each label is set aside for calibration."""
     labelled = np.flatnonzero(y >= 0)
     prior = float(y[labelled].mean()) if len(labelled) else 1.0
-    aside = labelled[::5]
+    aside = np.sort(np.concatenate([np.flatnonzero(y == k)[::5] for k in (0, 1)]))
     core = np.setdiff1d(labelled, aside)
     if len(set(y[core].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
         return Model(np.zeros(text.shape[1] + 1), np.zeros(meta.shape[1] + 1), (0.0, logit(prior)), (0.0, logit(prior)), prior)

@@ -138,14 +138,16 @@ class _Seen:
         self.name = np.zeros(0, np.uint64)
         self.at = [np.zeros(0, np.int64) for _ in range(3)]
 
-    def later(self, c: Columns) -> np.ndarray:
-        """Rows whose name stands at an earlier position in this task."""
+    def later(self, c: Columns) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows have a name that stands at an earlier position in this task; and which stand here already."""
         name = c["h1"] ^ tk.mix(c["h2"].astype(np.uint64))
         order = np.lexsort((c["start"], c["dig"], c["doc"], name))
-        repeat = np.zeros(len(name), bool)
-        same = name[order][1:] == name[order][:-1]
-        repeat[order[1:]] = same
-        head = order[np.concatenate([[True], ~same])] if len(order) else order
+        repeat, again = np.zeros(len(name), bool), np.zeros(len(name), bool)
+        same = np.concatenate([[False], name[order][1:] == name[order][:-1]])[: len(order)]
+        twin = same & _as_before(c, order)
+        repeat[order] = same & ~twin
+        again[order] = twin
+        head = order[~same]
         if len(self.name) and len(head):
             spot = np.minimum(np.searchsorted(self.name, name[head]), len(self.name) - 1)
             known = self.name[spot] == name[head]
@@ -155,7 +157,8 @@ class _Seen:
                 less |= equal & (old[spot] < c[k][head])
                 equal &= old[spot] == c[k][head]
             repeat[head[known & less]] = True
-        fresh = np.flatnonzero(~repeat)
+            again[head[known & equal]] = True
+        fresh = np.flatnonzero(~repeat & ~again)
         if len(self.name) > REMEMBERED:
             self.__init__()
         if len(fresh):
@@ -164,7 +167,16 @@ class _Seen:
             order = np.lexsort((*at[::-1], names))
             one = order[np.concatenate([[True], np.diff(names[order]) != 0])]
             self.name, self.at = names[one], [x[one] for x in at]
-        return repeat
+        return repeat, again
+
+
+def _as_before(c: Columns, order: np.ndarray) -> np.ndarray:
+    """In an order of rows: is the position that of the row before?"""
+    out = np.ones(len(order), bool)
+    for k in ("doc", "dig", "start"):
+        out[1:] &= c[k][order][1:] == c[k][order][:-1]
+    out[:1] = False
+    return out
 
 
 def _buckets(df: DataFrame) -> int:
@@ -178,13 +190,14 @@ def _by_document(doc: np.ndarray, dig: np.ndarray, buckets: int) -> np.ndarray:
 def _sent(gathered: list[Columns], layout: list, seen: _Seen, buckets: int, of: str) -> Iterator[tuple[str, pa.RecordBatch]]:
     """What a task has gathered: rows that go on, and rows that are found to be later repeats at once."""
     c = {k: np.concatenate([g[k] for g in gathered]) for k in gathered[0]}
-    later = seen.later(c)
+    later, again = seen.later(c)
     if later.any():
         doc, dig = c["doc"][later], c["dig"][later]
         found = {"doc": doc, "dig": dig, "start": c["start"][later], "n": c["n"][later], "open": np.zeros(len(doc))}
         yield "found", _pack(found, _FOUND, _by_document(doc, dig, buckets))
-    if not later.all():
-        go = {k: v[~later] for k, v in c.items()}
+    new = ~later & ~again
+    if new.any():
+        go = {k: v[new] for k, v in c.items()}
         yield "on", _pack(go, layout, (go[of].astype(np.uint64) % np.uint64(buckets)).astype(np.int32))
 
 
@@ -221,10 +234,12 @@ def _first_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def _firsts(c: Columns) -> tuple[np.ndarray, np.ndarray]:
-    """The order by name and position, and which rows in it are the first of their name."""
+    """The order by name and position, each position once, and which rows in it are the first of their name."""
     order = np.lexsort((c["start"], c["dig"], c["doc"], c["h2"], c["h1"]))
     h1, h2 = c["h1"][order], c["h2"][order]
-    return order, np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    head = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    once = head | ~_as_before(c, order)
+    return order[once], head[once]
 
 
 def _settle_runs(packed: DataFrame, buckets: int) -> DataFrame:
@@ -236,9 +251,8 @@ def _settle_runs(packed: DataFrame, buckets: int) -> DataFrame:
         c = _unpack(rows, _RUN)
         order, head = _firsts(c)
         _, which, names = np.unique(c["gram"][order[head]], return_inverse=True, return_counts=True)
-        flag = np.zeros(len(order), bool)
+        flag, repeat = np.zeros(len(c["h1"]), bool), np.zeros(len(c["h1"]), bool)
         flag[order[head]] = names[which] > 1
-        repeat = np.zeros(len(order), bool)
         repeat[order[~head]] = True
         go = repeat | flag
         found = {k: c[k][go] for k in ("doc", "dig", "start", "n")} | {"open": flag[go]}
