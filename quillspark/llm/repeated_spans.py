@@ -48,15 +48,15 @@ LENGTH = 100
 GRAM = 32
 BLOOM_BITS = 23
 #: Runs or strings that a task gathers before it sends them on.
-GATHERED = 200_000
+GATHERED = 100_000
 #: Names that a task remembers; it then starts anew, which only lets some repeats travel.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 #: Open runs or spans sent to all tasks, in bytes; beyond this the texts are shuffled instead.
 SENT_BYTES = 32_000_000
 NO_ID = 2**63 - 1
 
 _VALUE_2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 _PLACE = np.uint64((1 << 28) - 1)
 _RUN = [("h1", "<u8"), ("h2", "<u4"), ("gram", "<u4"), ("doc", "<i8"), ("dig", "<i8"), ("start", "<i4"), ("n", "<u1")]
 _STRING = [("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("dig", "<i8"), ("start", "<i4")]
