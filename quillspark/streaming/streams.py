@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 
 def events(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 100) -> DataFrame:
-    """STM-1: event files as they arrive."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """STM-1: event files as they arrive; event times in the session's zone."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def event_counts(stream: DataFrame, late: str = "1 day", window: str = "1 hour") -> DataFrame:
