@@ -58,7 +58,7 @@ NO_ID = 2**63 - 1
 _VALUE_2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 _SLICE = 1 << 18
 _PLACE = np.uint64((1 << 28) - 1)
-_RUN = [("h1", "<u8"), ("h2", "<u4"), ("gram", "<u4"), ("doc", "<i8"), ("dig", "<i8"), ("start", "<i4"), ("n", "<u1")]
+_RUN = [("h1", "<u8"), ("h2", "<u4"), ("gram", "<u8"), ("doc", "<i8"), ("dig", "<i8"), ("start", "<i4"), ("n", "<u1")]
 _STRING = [("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("dig", "<i8"), ("start", "<i4")]
 _FOUND = [("doc", "<i8"), ("dig", "<i8"), ("start", "<i4"), ("n", "<i4"), ("open", "<u1")]
 _PACKED = "bucket int,n long,blob binary"
@@ -106,7 +106,7 @@ def runs(piece: tk.Slice, length: int = LENGTH, gram: int = GRAM) -> Columns:
     n = len(data) - length + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return {"row": empty, "start": empty, "n": empty, "gram": empty, "h1": empty.astype(np.uint64), "h2": empty}
+        return {"row": empty, "start": empty, "n": empty, "gram": empty.astype(np.uint64), "h1": empty.astype(np.uint64), "h2": empty}
     first, second = tk.prefix_hash(data), tk.prefix_hash(data, _VALUE_2)
     places = np.arange(len(data) - gram + 1)
     hashes = tk.span_hash(first, places, places + gram)
@@ -120,7 +120,7 @@ def runs(piece: tk.Slice, length: int = LENGTH, gram: int = GRAM) -> Columns:
     ends = np.repeat(offs[1:], np.diff(offs))[:n]
     at = np.flatnonzero(ends - np.arange(n) >= length)
     if not len(at):
-        return {"row": empty, "start": empty, "n": empty, "gram": empty, "h1": empty.astype(np.uint64), "h2": empty}
+        return {"row": empty, "start": empty, "n": empty, "gram": empty.astype(np.uint64), "h1": empty.astype(np.uint64), "h2": empty}
     own = sample[at]
     new = np.flatnonzero(np.diff(own, prepend=-1) | (np.diff(at, prepend=-2) != 1))
     start, last = at[new], at[np.append(new[1:], len(at)) - 1]
@@ -128,7 +128,7 @@ def runs(piece: tk.Slice, length: int = LENGTH, gram: int = GRAM) -> Columns:
     h1 = tk.mix(tk.span_hash(first, start, last + length) + inner)
     h2 = tk.mix(tk.span_hash(second, start, last + length) + inner) >> np.uint64(32)
     row = np.searchsorted(offs, start, side="right") - 1
-    return {"row": row, "start": start, "n": last - start + 1, "gram": hashes[own[new]] >> np.uint64(32), "h1": h1, "h2": h2}
+    return {"row": row, "start": start, "n": last - start + 1, "gram": hashes[own[new]], "h1": h1, "h2": h2}
 
 
 class _Seen:
