@@ -2,9 +2,11 @@
 
 1. Each text becomes its set of distinct word shingles; texts with the same set form a class.
 2. ``BANDS`` bands of ``ROWS`` MinHash values give bucket keys. A bucket of up to ``ALL_PAIRS``
-   classes gives all its pairs. A larger bucket is compared with its smallest class, then with
-   ``HUB_ROUNDS`` classes drawn at random; pairs of a large bucket that are still in different
-   components after that are all compared, so no candidate is given up.
+   classes gives all its pairs. A larger bucket is compared with its most central class, the one
+   whose buckets hold most classes in all. What is then outside the bucket's main component sends
+   its own most central class to be compared with the rest, ``HUB_ROUNDS`` times; at last all that
+   is still outside is compared with the bucket. Only pairs inside a component are left out, so no
+   candidate is given up.
 3. Signatures of a candidate pair are compared in batches. After each batch the posterior of the
    similarity decides: the pair goes if the chance that it reaches the threshold is under ``MISS``.
 4. Survivors are verified on the full sets. Only links matter that join different components, so
@@ -42,7 +44,7 @@ PERCENT = 80
 #: Signature values compared at a time, and the accepted chance of losing a pair at the threshold.
 STEP, MISS = 40, 1e-6
 ALL_PAIRS = 12
-HUB_ROUNDS = 1
+HUB_ROUNDS = 3
 #: Ids sent to all tasks instead of a shuffle of the texts, up to this many (8 bytes each).
 SENT_IDS = 1_000_000
 
@@ -206,11 +208,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _apart(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    return pairs if groups is None else _named(_named(pairs, groups, "a", "ga"), groups, "b", "gb").where("ga <> gb")
-
-
 def links(docs: DataFrame, table: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Links between classes, enough to connect whatever is connected: pairs of representatives' ids.
 
@@ -226,35 +223,38 @@ def links(docs: DataFrame, table: DataFrame, width: int = WIDTH, percent: int =
             yield batch("key long,rep long", keys, np.repeat(b.column(0).to_numpy(), BANDS))
 
     keyed = classes.select("rep", "bands").mapInArrow(unfold, "key long, rep long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keyed.join(shared, "key"))
 
     small = members.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("m")).select("m").distinct()
     pair = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")
     some = small.select(F.explode(pair).alias("p")).select("p.a", "p.b")
-    large = members.where(F.col("n") > ALL_PAIRS)
+    fame = members.groupBy("rep").agg(F.sum("n").alias("fame"))
+    large = members.where(F.col("n") > ALL_PAIRS).join(fame, "rep").select("key", "rep", "fame", F.col("rep").alias("g"))
+    first = F.struct("fame", -F.col("rep"))
 
-    def hub_pairs(rows: DataFrame, hub) -> DataFrame:
-        hubs = rows.groupBy("key").agg(hub.alias("hub"))
-        return rows.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    def hubs_of(rows: DataFrame) -> DataFrame:
+        """The most central class of each bucket, and its component."""
+        return written(rows.groupBy("key").agg(F.max_by("rep", first).alias("hub"), F.max_by("g", first).alias("hub_g")))
 
     groups = None
     tested: list[DataFrame] = []
+    compared: DataFrame | None = None
     for step in range(HUB_ROUNDS + 2):
         if step == 0:
-            candidates = some.unionByName(hub_pairs(large, F.min("rep")))
+            hubs = hubs_of(large)
         else:
-            named = _named(large, groups, "rep", "g")
-            split = named.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("key")
-            large = written(named.join(split, "key").select("key", "rep"))
-            if large.isEmpty():
+            named = written(_named(large.drop("g"), groups, "rep", "g"))
+            main = named.groupBy("key", "g").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("g", F.struct("n", -F.col("g"))).alias("main"))
+            rest = written(named.join(main, "key").where("g <> main").drop("main").join(compared, ["key", "rep"], "left_anti"))
+            if rest.isEmpty():
                 break
-            if step <= HUB_ROUNDS:
-                candidates = hub_pairs(large, F.min_by("rep", F.xxhash64(F.lit(step), "key", "rep")))
-            else:
-                other = large.select("key", F.col("rep").alias("b"))
-                candidates = large.select("key", F.col("rep").alias("a")).join(other, "key").where("a < b").select("a", "b")
-        candidates = _apart(candidates.distinct(), groups).select("a", "b")
+            large = named.join(rest.select("key").distinct(), "key", "left_semi")
+            hubs = hubs_of(rest) if step <= HUB_ROUNDS else rest.select("key", F.col("rep").alias("hub"), F.col("g").alias("hub_g"))
+        done = hubs.select("key", F.col("hub").alias("rep"))
+        compared = done if compared is None else compared.unionByName(done)
+        candidates = large.join(hubs, "key").where("g <> hub_g").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+        candidates = (some.unionByName(candidates) if step == 0 else candidates).distinct()
         for earlier in tested:
             candidates = candidates.join(earlier, ["a", "b"], "left_anti")
         likely = written(_survivors(candidates, signatures, percent))
