@@ -180,7 +180,7 @@ def _as_before(c: Columns, order: np.ndarray) -> np.ndarray:
 
 
 def _buckets(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _by_document(doc: np.ndarray, dig: np.ndarray, buckets: int) -> np.ndarray:
