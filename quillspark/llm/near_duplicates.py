@@ -238,7 +238,7 @@ def links(docs: DataFrame, table: DataFrame, width: int = WIDTH, percent: int =
         return written(rows.groupBy("key").agg(F.max_by("rep", first).alias("hub"), F.max_by("g", first).alias("hub_g")))
 
     groups = None
-    tested: list[DataFrame] = []
+    tested: DataFrame | None = None
     compared: DataFrame | None = None
     for step in range(HUB_ROUNDS + 2):
         if step == 0:
@@ -249,16 +249,16 @@ def links(docs: DataFrame, table: DataFrame, width: int = WIDTH, percent: int =
             rest = written(named.join(main, "key").where("g <> main").drop("main").join(compared, ["key", "rep"], "left_anti"))
             if rest.isEmpty():
                 break
-            large = named.join(rest.select("key").distinct(), "key", "left_semi")
+            large = named
             hubs = hubs_of(rest) if step <= HUB_ROUNDS else rest.select("key", F.col("rep").alias("hub"), F.col("g").alias("hub_g"))
         done = hubs.select("key", F.col("hub").alias("rep"))
         compared = done if compared is None else compared.unionByName(done)
         candidates = large.join(hubs, "key").where("g <> hub_g").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         candidates = (some.unionByName(candidates) if step == 0 else candidates).distinct()
-        for earlier in tested:
-            candidates = candidates.join(earlier, ["a", "b"], "left_anti")
+        if tested is not None:
+            candidates = candidates.join(tested, ["a", "b"], "left_anti")
         likely = written(_survivors(candidates, signatures, percent))
-        tested.append(likely.select("a", "b"))
+        tested = likely.select("a", "b") if tested is None else tested.unionByName(likely.select("a", "b"))
         needed = written(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
         count = needed.count()
         if not count:
