@@ -211,7 +211,7 @@ def win11_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_user = Window.partitionBy("user_id").orderBy("event_id")
     log = e.where("event_id < 3000").withColumn("revision", F.row_number().over(by_user)).select("user_id", "revision", F.col("event_id").alias("request_id"))
     last = log.groupBy("user_id").agg(F.max("revision").alias("l"))
-    new = e.where("event_id BETWEEN 3000 AND 3999").withColumn("turn", F.row_number().over(by_user)).join(last, "user_id", "left")
+    new = e.where("event_id >= 3000").withColumn("turn", F.row_number().over(by_user)).join(last, "user_id", "left")
     wrong = F.when(F.col("event_id") % 10 == 0, 100_000).otherwise(0)
     incoming = new.select("user_id", (F.coalesce("l", F.lit(0)) + F.col("turn") + wrong).alias("revision"), F.col("event_id").alias("request_id"), F.col("event_id").alias("arrival"))
     return review.accepted_appends(log, incoming, ["user_id"]).select("arrival", "status")
@@ -244,7 +244,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY object_id, kind ORDER BY positio
 k AS (SELECT *, CASE WHEN position = mp THEN 0 WHEN kind = 'curatorial' AND tp = 1 THEN 1 WHEN position IS NOT NULL THEN 2 ELSE 3 END AS tier FROM t)
 SELECT object_id, evidence_id, row_number() OVER (PARTITION BY object_id ORDER BY tier, position NULLS LAST, evidence_id) AS place FROM k QUALIFY place <= 3""")
 def qry11_visible_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey < 4000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus")).select(F.col("l_orderkey").alias("object_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), F.when(F.col("l_returnflag") == "A", "curatorial").when(F.col("l_returnflag") == "R", "metadata").otherwise("provenance").alias("source_kind"), "l_linestatus", F.col("l_linenumber").alias("position"))
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus")).select(F.col("l_orderkey").alias("object_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), F.when(F.col("l_returnflag") == "A", "curatorial").when(F.col("l_returnflag") == "R", "metadata").otherwise("provenance").alias("source_kind"), "l_linestatus", F.col("l_linenumber").alias("position"))
     return evidence.visible(l.select("object_id", "evidence_id", "source_kind"), l.where("l_linestatus = 'F'").select("object_id", "evidence_id", "position"))
 
 
@@ -254,7 +254,7 @@ FROM c LEFT JOIN documents d ON d.doc_id = evidence_id""")
 def qry12_bound_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    checks = d.where("doc_id < 300").select(i.alias("object_id"), F.concat(F.lit("c"), i % 2).alias("condition_id"), F.when(i % 13 == 0, -1).when(i % 11 == 0, i + 1).otherwise(i).alias("evidence_id"), F.when(i % 7 == 0, "nowhere to be found").otherwise(F.substring("text", 1, 12)).alias("quote"), F.when(i % 5 == 0, "unclear").otherwise("supported").alias("status"))
+    checks = d.select(i.alias("object_id"), F.concat(F.lit("c"), i % 2).alias("condition_id"), F.when(i % 13 == 0, -1).when(i % 11 == 0, i + 1).otherwise(i).alias("evidence_id"), F.when(i % 7 == 0, "nowhere to be found").otherwise(F.substring("text", 1, 12)).alias("quote"), F.when(i % 5 == 0, "unclear").otherwise("supported").alias("status"))
     return evidence.checked(checks, d.select(i.alias("object_id"), i.alias("evidence_id"), "text")).select("object_id", "condition_id", "failure")
 
 
@@ -296,7 +296,7 @@ p AS (SELECT a.grp, a.user_id AS a, b.user_id AS b, a.n AS na, b.n AS nb FROM z
 i AS (SELECT x.grp, x.user_id AS a, y.user_id AS b, count(*) AS m FROM s x JOIN s y ON x.grp = y.grp AND x.item = y.item AND x.user_id < y.user_id GROUP BY ALL)
 SELECT grp, round(1 - sum(coalesce(m, 0) / (na + nb - coalesce(m, 0))) / count(*), 6) AS distance FROM p LEFT JOIN i USING (grp, a, b) GROUP BY grp""")
 def agg34_mean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").where("event_id < 1000").select((F.col("user_id") % 10).alias("grp"), "user_id", (F.hour("ts") % 8).alias("item"))
+    s = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("grp"), "user_id", (F.hour("ts") % 8).alias("item"))
     return evidence.mean_distance(s.distinct(), "grp", "user_id", "item")
 
 
@@ -308,7 +308,7 @@ def qry15_rules_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("""WITH q AS (SELECT 'q' || (o_orderkey % 700) AS query_id FROM orders WHERE o_orderkey < 1000), t AS (SELECT query_id FROM q GROUP BY query_id HAVING count(*) > 1)
 SELECT query_id, 'repeated_question' AS problem FROM t UNION SELECT 'q' || (doc_id % 12), 'bad_grade' FROM labels WHERE quality - toxic < 0""")
 def src10_benchmark_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "orders").where("o_orderkey < 1000").select(F.concat(F.lit("q"), F.col("o_orderkey") % 700).alias("query_id"))
+    q = table(spark, sf_dir, "orders").select(F.concat(F.lit("q"), F.col("o_orderkey") % 700).alias("query_id"))
     r = _qrels(spark, sf_dir).join(q.distinct(), "query_id", "left_semi")
     lab = table(spark, sf_dir, "labels").select(F.concat(F.lit("q"), F.col("doc_id") % 12).alias("query_id"), F.col("doc_id").alias("object_id"), (F.col("quality") - F.col("toxic")).alias("relevance"))
     return readers.benchmark_problems(q.unionByName(lab.select("query_id").distinct().join(q, "query_id", "left_anti")), lab.join(r.select("query_id").distinct(), "query_id", "left_semi").unionByName(lab.join(r.select("query_id").distinct(), "query_id", "left_anti")))

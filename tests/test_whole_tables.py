@@ -21,3 +21,34 @@ def test_lexical_channel_ranks_every_document(spark, late_documents):
     assert got == {i: round((100 + i) / 799, 6) for i in best}
     for name in ("agg9_reciprocal_rank", "qry6_hybrid", "qry9_reranked", "qry10_fused_queries", "win8_interleaved"):
         assert best <= {r.object_id for r in registry.QUERIES[name](spark, late_documents).collect()}, name
+
+
+@pytest.fixture(scope="session")
+def late_rows(spark, tmp_path_factory):
+    """Events, order lines, orders and documents with ids past 4000 too."""
+    d = str(tmp_path_factory.mktemp("rows"))
+    ids = [*range(20), *range(2990, 3010), *range(4500, 4600)]
+    events = [(i, i % 30, f"2024-01-01 {i % 24:02}:00:00") for i in ids]
+    spark.createDataFrame(events, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "CAST(ts AS timestamp) AS ts").write.parquet(f"{d}/events.parquet")
+    spark.createDataFrame([(k, n, "A", "F") for k in (1, 9000) for n in range(1, 6)], "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in (1, 5000, 5700, 6400)], "o_orderkey long").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(0, 3, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(i, f"text of document {i}") for i in (1, 2, 400, 5000)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    return d, events
+
+
+def test_queries_read_past_id_prefixes(spark, late_rows):
+    d, events = late_rows
+    run = lambda name: registry.QUERIES[name](spark, d).collect()
+    assert {r.arrival: r.status for r in run("win11_appends")} == {i: "accepted" if i % 10 else "conflict" for i, _, _ in events if i >= 3000}
+    assert {r.object_id for r in run("qry11_visible_evidence")} == {1, 9000}
+    assert {r.object_id for r in run("qry12_bound_checks")} == {1, 2, 400, 5000}
+    assert [tuple(r) for r in run("src10_benchmark_problems") if r.problem == "repeated_question"] == [("q100", "repeated_question")]
+    sets = {}
+    for i, user, _ in events:
+        sets.setdefault(user % 10, {}).setdefault(user, set()).add(i % 24 % 8)
+    want = {}
+    for group, members in sets.items():
+        pairs = [1 - len(members[a] & members[b]) / len(members[a] | members[b]) for a in members for b in members if a < b]
+        want[group] = round(sum(pairs) / len(pairs), 6)
+    assert {r.grp: r.distance for r in run("agg34_mean_distance")} == pytest.approx(want, abs=2e-6)
