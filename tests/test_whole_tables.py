@@ -2,6 +2,7 @@
 
 import pytest
 
+from quillspark.operators import dense
 from quillspark.plans import registry
 
 
@@ -52,3 +53,17 @@ def test_queries_read_past_id_prefixes(spark, late_rows):
         pairs = [1 - len(members[a] & members[b]) / len(members[a] | members[b]) for a in members for b in members if a < b]
         want[group] = round(sum(pairs) / len(pairs), 6)
     assert {r.grp: r.distance for r in run("agg34_mean_distance")} == pytest.approx(want, abs=2e-6)
+
+
+@pytest.mark.parametrize("block", [2_000, 1])
+def test_vector_searches_take_every_fiftieth_row(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", block)
+    rows = [(i, f"l{i % 4}", [float(i * 37 % 11), float(i * 53 % 7) - 3, 1.0]) for i in range(201)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    best, groups = set(), set()
+    for q, _, v in rows[::50]:
+        order = sorted((-sum(a * b for a, b in zip(u, v, strict=True)), i, label) for i, label, u in rows)
+        best |= {(f"v{q}", i, k + 1) for k, (_, i, _) in enumerate(order[:20])}
+        groups |= {(f"v{q}", i, k + 1) for g in range(4) for k, (_, i, _) in enumerate([x for x in order if x[2] == f"l{g}"][:5])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in registry.QUERIES["top1_cosine_topk"](spark, str(tmp_path)).collect()} == best
+    assert {(r.query_id, r.vec_id, r.place) for r in registry.QUERIES["top3_best_per_group"](spark, str(tmp_path)).collect()} == groups
