@@ -1,15 +1,19 @@
 """Personal data: fixed patterns as seeds, and contextual patterns bootstrapped from them.
 
 1. One pass finds e-mail addresses, IP addresses, card and phone numbers (the
-   seeds) and every other token with a digit or ``@`` (a candidate). Each occurrence
-   has lexical patterns: the two words before it, and the words on both sides.
-2. A second pass counts how often each pattern of a seed occurs in the corpus at
-   all, whatever stands in it. So a context of ordinary words gets little trust.
-3. Spark scores the graph of patterns and instances in rounds. A pattern's trust
-   for a kind is the summed score of its instances over its occurrences; a
-   candidate's score is one minus the product of its patterns' doubts.
-4. Trusted patterns (``MIN_TRUST``, at least ``MIN_SUPPORT`` distinct instances)
-   give their kind to the candidates in them that reach ``MIN_TRUST``.
+   seeds), every other token with a digit or ``@`` and every run of digit groups
+   with single spaces between them (candidates). Each occurrence has lexical
+   patterns: the two words before it, and the words on both sides.
+2. Spark scores the graph of patterns and instances in rounds. A round's patterns
+   have at least ``MIN_SUPPORT`` distinct instances of a kind, seeds or candidates
+   that the round before gave ``MIN_TRUST``. For those that are new, a pass over the
+   corpus counts how often each occurs at all, whatever stands in it, so a context
+   of ordinary words gets little trust. A pattern's trust for a kind is the summed
+   score of its instances over its occurrences; a candidate's score is one minus the
+   product of its patterns' doubts.
+3. There are at least ``ROUNDS`` rounds, and more while they add patterns or instances.
+4. Patterns over ``MIN_TRUST`` give their kind to the candidates in them that reach it.
+   Of these, one that lies within another one's span is left out.
 
 Seeds always stay. Matching is linear in the text's length.
 
@@ -22,11 +26,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -46,6 +50,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IDENTIFIER = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_GROUP = re.compile(r"[0-9().+-]*+")
 _TRIM = "\"'`.,;:!?()[]{}<>*#$%&|="
 
 
@@ -118,16 +123,31 @@ def _scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
     occurrences = [{"start": s, "end": e, "kind": k, "instance": _hash(KINDS[k], text[s:e].lower())} for s, k, e in base]
     taken = sorted((s, e) for s, _, e in base)
     j, reach = 0, 0
+    run: list[int] = []  # start and end of each digit group of the open run
+
+    def close() -> None:
+        if len(run) > 2 and run[-1] - run[0] >= 4:
+            occurrences.append({"start": run[0], "end": run[-1], "kind": -1, "instance": _hash("", text[run[0] : run[-1]].lower())})
+        run.clear()
+
     for m in _IDENTIFIER.finditer(text):
         while j < len(taken) and taken[j][0] < m.end():
             reach = max(reach, taken[j][1])
             j += 1
         if reach > m.start():
+            close()
             continue
         token = m[0].strip(_TRIM)
+        s = m.start() + m[0].index(token)
+        if not token or not _GROUP.fullmatch(token):
+            close()
+        else:
+            if run and not (text[run[-1] : s] in (" ", ") ", " (", ") (")):
+                close()
+            run += (s, s + len(token))
         if len(token) >= 4:
-            s = m.start() + m[0].index(token)
             occurrences.append({"start": s, "end": s + len(token), "kind": -1, "instance": _hash("", token.lower())})
+    close()
     return base, occurrences
 
 
@@ -201,20 +221,32 @@ def pattern_counts(docs: DataFrame, patterns: DataFrame, text_col: str = "text")
     return out.groupBy("pattern").agg(F.sum("total").alias("total"))
 
 
-def trusted(graph: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def trusted(graph: DataFrame, counted: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Trust of patterns ``(pattern, kind, trust)`` and scores of candidates ``(instance, kind, score)``.
 
-    ``graph`` has a row for each pattern, instance and kind (-1 for a candidate) with its occurrences ``n``.
+    ``graph`` has a row for each pattern, instance and kind (-1 for a candidate) with its occurrences ``n``;
+    ``counted`` gives the totals of patterns. After ``rounds`` rounds the first that adds nothing is the last.
     """
     seeds = graph.where("kind >= 0").select("pattern", "instance", "kind", F.lit(1.0).alias("score"), "n")
     open_ends = graph.where("kind < 0").select("pattern", "instance", "n")
-    weighed = seeds
-    for _ in range(rounds):
-        sums = weighed.groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("s"), F.sum("n").alias("own"), F.countDistinct("instance").alias("support"))
-        trust = written(sums.join(totals, "pattern", "left").where(F.col("support") >= MIN_SUPPORT).select("pattern", "kind", F.least(F.col("s") / F.greatest(F.col("own"), F.coalesce("total", F.lit(0))), F.lit(0.999)).alias("trust")))
+    known, totals = (graph.sparkSession.createDataFrame([], x) for x in ("pattern long", "pattern long, total long"))
+    accepted = graph.sparkSession.createDataFrame([], "instance long, kind int")
+    weighed, k = seeds, 0
+    while True:
+        k += 1
+        sums = written(weighed.groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("s"), F.sum("n").alias("own"), F.count("*").alias("support")).where(F.col("support") >= MIN_SUPPORT))
+        added = written(sums.select("pattern").distinct().join(known, "pattern", "left_anti"))
+        grown = not added.isEmpty()
+        if grown:
+            known, totals = known.unionByName(added), totals.unionByName(written(counted(added)))
+        trust = written(sums.join(totals, "pattern", "left").select("pattern", "kind", F.least(F.col("s") / F.greatest(F.col("own"), F.coalesce("total", F.lit(0))), F.lit(0.999)).alias("trust")))
         scores = written(open_ends.join(trust, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score")))
-        weighed = seeds.unionByName(open_ends.join(scores.where(F.col("score") >= MIN_TRUST), "instance").select("pattern", "instance", "kind", "score", "n"))
-    return trust, scores
+        sure = scores.where(F.col("score") >= MIN_TRUST)
+        more = written(sure.select("instance", "kind").join(accepted, ["instance", "kind"], "left_anti"))
+        if k >= rounds and not grown and more.isEmpty():
+            return trust, scores
+        accepted = accepted.unionByName(more)
+        weighed = seeds.unionByName(open_ends.join(sure, "instance").select("pattern", "instance", "kind", "score", "n"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,16 +254,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = written(scanned(docs, id_col, text_col))
     occurrences = found.select("doc_id", "text_hash", F.explode("occurrences").alias("o")).select("doc_id", "text_hash", "o.start", "o.end", "o.kind", "o.instance", F.explode("o.patterns").alias("pattern"))
     graph = written(occurrences.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")))
-    supported = graph.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("k")).where(F.col("k") >= MIN_SUPPORT).select("pattern").distinct()
-    supported = written(supported)
-    graph = written(graph.join(supported, "pattern", "left_semi"))
-    totals = written(pattern_counts(docs, supported, text_col))
-    trust, scores = trusted(graph, totals)
+    # A pattern with fewer instances of all kinds together can't have MIN_SUPPORT of one.
+    possible = graph.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= MIN_SUPPORT).select("pattern")
+    graph = written(graph.join(possible, "pattern", "left_semi"))
+    trust, scores = trusted(graph, lambda patterns: pattern_counts(docs, patterns, text_col))
     good = trust.where(F.col("trust") >= MIN_TRUST)
     sure = scores.where(F.col("score") >= MIN_TRUST)
     new = occurrences.where("kind < 0").drop("kind").join(good, "pattern").join(sure, ["instance", "kind"])
     best = new.groupBy("doc_id", "text_hash", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-    added = best.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = best.withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("end") > F.col("reach")))
+    added = outer.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     joined = found.drop("occurrences").withColumnsRenamed({"doc_id": "d", "text_hash": "h"}).join(added, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:long,kind:int,end:long>>"))))
     named = F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"], x["end"]))

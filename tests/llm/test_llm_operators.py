@@ -354,6 +354,31 @@ def test_contexts_discover_identifiers(spark):
     assert got[51].spans == "" and got[10].n_card == 1
 
 
+def test_discovered_identifiers_induce_contexts(spark):
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "378282246310005", "30569309025904", "6011111111111117"]
+    rows = [(i, f"{passage(6, 40 + i)} my secret card is {c} thanks {passage(4, 60 + i)}") for i, c in enumerate(cards)]
+    hops = [[f"{x}K-{i}9887" for i in range(4)] for x in "ABCD"]
+    rows += [(10 + i, f"{passage(6, 140 + i)} my secret card is {c} thanks a lot") for i, c in enumerate(hops[0][:3])]
+    for k, context in enumerate(("wire everything to {} promptly", "owner presented {} yesterday", "stolen token {} recovered", "final marker {} noted")):
+        rows += [(100 * (k + 1) + i, f"well {k} {i} please {context.format(c)} indeed") for i, c in enumerate([*hops[k][:3], *(hops[k + 1][:3] if k < 3 else ["ZZ-1234"])])]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, text in rows[6:]:
+        token = next(w for w in text.split() if "-" in w)
+        at = text.index(token)
+        assert got[doc].spans == f"card:{at}:{at + len(token)}", (doc, text, got[doc].spans)
+
+
+def test_spaced_digit_groups_are_one_identifier(spark):
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "378282246310005", "30569309025904", "6011111111111117"]
+    rows = [(i, f"{passage(6, 40 + i)} my secret card is {c} thanks {passage(4, 60 + i)}") for i, c in enumerate(cards)]
+    rows += [(50, "é so my secret card is 555 123 4567 thanks a lot"), (51, "so my secret card is 4711 12 thanks"), (52, "years 2019, 2020 and 1999 2001 passed")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[50], got[51], got[52]) == ("card:23:35", "card:21:28", "")
+    assert [t for t in ("1 2", "12 3,4 5", "5. 6") for o in pii._scan_text(t)[1]] == []
+    _, found = pii._scan_text("(555) 123-4567 x 99 88, 77")
+    assert [(o["start"], o["end"]) for o in found] == [(6, 14), (1, 14), (17, 22)]
+
+
 @pytest.mark.parametrize("name", ["repeated_spans", "language_id", "near_duplicates", "pii"])
 def test_empty_tables(name, empty):
     module = {"repeated_spans": repeated_spans, "language_id": language_id, "near_duplicates": near_duplicates, "pii": pii}[name]
