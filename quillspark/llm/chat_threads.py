@@ -2,9 +2,12 @@
 
 A line's quote level is the number of ``>`` in front of it. Consecutive lines of
 one level above 0 form a quoted passage. A message's own text is what stands at
-level 0, without the line that introduces a quotation. Passages are normalised
-(lower case, white space folded) and hashed, and joined within the conversation
-with the hashes of earlier messages' own texts: the whole, each paragraph, each line.
+level 0, without the line that introduces a quotation; passages are without it, too.
+Passages, their paragraphs and their lines are normalised (lower case, white space
+folded) and hashed, and joined within the conversation with the hashes of earlier
+messages' own texts: the whole, each paragraph, each line. A passage comes from the
+message that its whole text is found in; else, if parts of at least half its length
+are found, from the latest of their messages. A passage of introductions only is none.
 
 A message replies to the latest message that one of its level-1 passages comes
 from; of several messages with the same text the earliest is the source. Without
@@ -54,15 +57,37 @@ def _own_text(text: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, level, digest)`` of each quoted passage of ``messages`` (with ``key`` for each row)."""
+    """``(conv_id, turn, level, passage)`` of each quoted passage of ``messages`` (with ``key`` for each row)."""
     quoting = messages.where(F.col("text").rlike(r"(?m)" + MARKS))
     lines = quoting.select("key", "conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
     levels = lines.withColumn("level", _level(F.col("line"))).withColumn("line", F.regexp_replace("line", MARKS, ""))
     by_message = Window.partitionBy("key").orderBy("p")
     turned = levels.withColumn("new", (F.col("level") != F.coalesce(F.lag("level").over(by_message), F.lit(-1))).cast("int"))
     runs = turned.withColumn("run", F.sum("new").over(by_message)).where("level > 0")
-    joined = runs.groupBy("key", "run").agg(F.first("conv_id").alias("conv_id"), F.first("turn").alias("turn"), F.first("level").alias("level"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n").alias("passage"))
-    return joined.where(_normal(F.col("passage")) != "").select("key", "conv_id", "turn", "level", _digest(F.col("passage")).alias("digest"))
+    said = runs.where(~F.ltrim("line").rlike(INTRODUCTION))
+    joined = said.groupBy("key", "run").agg(F.first("conv_id").alias("conv_id"), F.first("turn").alias("turn"), F.first("level").alias("level"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n").alias("passage"))
+    return joined.where(_normal(F.col("passage")) != "")
+
+
+def _parts(passage: Column) -> Column:
+    """The whole of a passage, its paragraphs and their lines, by the paragraph's place (-1 for the whole)."""
+    filled = lambda parts: F.filter(parts, lambda x: _normal(x) != "")
+    part = lambda kind, place, x: F.struct(F.lit(kind).alias("kind"), place.alias("place"), _digest(x).alias("digest"), F.length(_normal(x)).alias("weight"))
+    paragraphs = filled(F.split(passage, r"\n[ \t]*\n", -1))
+    lines = F.flatten(F.transform(paragraphs, lambda x, i: F.transform(filled(F.split(x, "\n", -1)), lambda y: part("line", i, y))))
+    return F.concat(F.array(part("whole", F.lit(-1), passage)), F.transform(paragraphs, lambda x, i: part("paragraph", i, x)), lines)
+
+
+def sources(quoted: DataFrame, origin: DataFrame) -> DataFrame:
+    """``(key, conv_id, turn, level, source)`` of each passage: the turn it comes from, or null."""
+    parts = quoted.select("key", "run", "conv_id", "turn", "level", F.explode(_parts(F.col("passage"))).alias("part")).select("key", "run", "conv_id", "turn", "level", "part.*")
+    found = parts.join(origin, ["conv_id", "digest"], "left").withColumn("source", F.when(F.col("source_turn") < F.col("turn"), F.col("source_turn")))
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    weight, source = F.col("weight"), F.col("source")
+    places = found.groupBy("key", "run", "conv_id", "turn", "level", "place").agg(F.max(of("whole", source)).alias("whole"), F.max(of("paragraph", source)).alias("paragraph"), F.max(of("line", source)).alias("line"), F.sum(of("line", weight)).alias("total"), F.sum(of("line", F.when(source.isNotNull(), weight))).alias("covered"))
+    judged = places.withColumn("covered", F.when(F.col("paragraph").isNotNull(), F.col("total")).otherwise(F.col("covered")))
+    runs = judged.groupBy("key", "run", "conv_id", "turn", "level").agg(F.max("whole").alias("whole"), F.max(F.coalesce("paragraph", "line")).alias("part"), F.sum("total").alias("total"), F.sum("covered").alias("covered"))
+    return runs.select("key", "conv_id", "turn", "level", F.coalesce("whole", F.when(2 * F.col("covered") >= F.col("total"), F.col("part"))).alias("source"))
 
 
 def originals(messages: DataFrame) -> DataFrame:
@@ -88,8 +113,7 @@ def threads(conversations: DataFrame) -> DataFrame:
     """Every message without its quotations, with what it answers and its place in the reply order."""
     own = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role"), F.col("text")).distinct()
     messages = own.withColumn("key", F.sha2(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in ("conv_id", "turn", "role", "text"))), 256)).withColumn("body", _own_text(F.col("text")))
-    quoted = passages(messages)
-    linked = quoted.join(originals(messages), ["conv_id", "digest"], "left").withColumn("source", F.when(F.col("source_turn") < F.col("turn"), F.col("source_turn")))
+    linked = sources(passages(messages), originals(messages))
     per_message = written(linked.groupBy("key", "conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("source"))).alias("reply_to")))
     replies = per_message.where(F.col("reply_to").isNotNull()).groupBy("conv_id", "turn").agg(F.max("reply_to").alias("reply_to"))
     found = _threads(replies)

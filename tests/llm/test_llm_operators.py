@@ -103,6 +103,19 @@ def test_quotations(spark):
     assert chat_threads.threads(df.limit(0)).count() == 0
 
 
+def test_quoted_excerpts_and_nested_introductions(spark):
+    rows = [
+        (0, "One fine line.\nTwo fine lines.\nThree fine lines.\n\nSecond part\nwrapped.\n\nThird part."), (1, "One fine line.\nand more"),
+        (2, "> One fine line.\n> Two fine lines.\nexcerpt of lines"), (3, "> Second part wrapped.\n>\n> Third part.\ntwo of three paragraphs"),
+        (4, "On Tue d wrote:\n> two of three paragraphs\n>\n> On Mon a wrote:\n>> Third part.\nnested"), (5, "> and more\n> Two fine lines.\nlatest source"),
+        (6, "> nested\n> this was never said by anyone in here\nmostly unknown"), (7, "> On Mon a wrote:\nnothing quoted"),
+    ]
+    got = {r.turn: r for r in chat_threads.threads(spark.createDataFrame([(1, t, "a", x) for t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[t].reply_to for t in range(8)] == [None, None, 0, 0, 3, 1, None, None]
+    assert [(got[t].n_quotes, got[t].n_linked) for t in range(2, 8)] == [(1, 1), (1, 1), (2, 2), (1, 1), (1, 0), (0, 0)]
+    assert (got[4].thread, got[4].depth, got[4].text) == (0, 2, "nested")
+
+
 def test_long_reply_chain(spark):
     rows = [(1, t, "a", (f"> message number {t - 1}\n" if t else "") + f"message number {t}") for t in range(40)]
     got = {r.turn: r for r in chat_threads.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
