@@ -1,7 +1,9 @@
 """Lexical search: postings, fielded BM25, full-text BM25, gates (AGG-4..7, FLT-9..15, QRY-1..5).
 
-Everything carries ``query_id``, so many questions are one job. The query's terms are few and are
-sent to the scan of the corpus; only their postings are shuffled.
+Everything carries ``query_id``, so many questions are one job. The queries' terms are few and are
+sent to the scan of the corpus, where each document becomes one small row: its field lengths, the
+frequencies of wanted terms, and what the gates say. One scan gives the statistics (a row for each
+set of exclusions), a second one scores row by row; token arrays and texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -49,8 +51,9 @@ def atomic_plan(query_id: str, phrase: str) -> QueryPlan:
 
 
 def _terms(spark: SparkSession, plans: Sequence[QueryPlan]) -> DataFrame:
-    rows = [(p.query_id, t, EXACT_BOOST if t in p.exact else 1.0) for p in plans for t in p.terms]
-    return spark.createDataFrame(rows, "query_id string, term string, boost double")
+    """A row for each query with the boost of each of its terms; as small as the questions."""
+    rows = [(p.query_id, {t: EXACT_BOOST if t in p.exact else 1.0 for t in p.terms}) for p in plans]
+    return spark.createDataFrame(rows, "query_id string, boosts map<string,double>")
 
 
 @dataclass
@@ -71,47 +74,97 @@ class Index:
         each = [of(f) for f in self.fields]
         return self.docs.select(self.id_col, F.explode(F.concat(*each)).alias("p")).groupBy(self.id_col, "p.field", "p.term").agg(F.count("*").alias("tf"))
 
-    def lengths(self) -> DataFrame:
-        return self.docs.select(self.id_col, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(f).alias("length")) for f in self.fields))).alias("l")).select(self.id_col, "l.field", "l.length")
-
     def statistics(self) -> DataFrame:
         """AGG-4: number of documents and mean length of each field, one row."""
         return self.docs.agg(F.count("*").alias("n"), *(F.avg(F.size(f)).alias(f"avg_{f}") for f in self.fields))
 
 
+def scanned(index: Index, plans: Sequence[QueryPlan], searchable: Column | None = None, gated: bool = True) -> DataFrame:
+    """``(id, lengths, hits, spaces, queries)``, one row a document.
+
+    ``hits``: (field, term, tf) of wanted terms; ``spaces``: numbers of the exclusion sets that leave the document in;
+    ``queries``: (query_id, space) of the plans that may return it.
+    """
+    excluded = list(dict.fromkeys(p.excluded for p in plans))
+    wanted = F.array(*map(F.lit, sorted({t for p in plans for t in p.terms}))).cast("array<string>")
+
+    def hits(name: str) -> Column:
+        own = F.filter(F.col(name), lambda t: F.array_contains(wanted, t))
+        return F.transform(F.array_distinct(own), lambda t: F.struct(F.lit(name).alias("field"), t.alias("term"), F.size(F.filter(own, lambda x: x == t)).alias("tf")))
+
+    kept = {e: excludes(searchable, e) if e and searchable is not None else F.lit(True) for e in excluded}
+    spaces = F.array(*(F.when(kept[e], j) for j, e in enumerate(excluded)))
+
+    def passes(p: QueryPlan) -> Column:
+        title = any_term(F.col("title"), p.title_terms) if p.title_terms else F.lit(True)
+        return kept[p.excluded] & (anchored(searchable, p.groups) & title if gated and searchable is not None else F.lit(True))
+
+    queries = F.array(*(F.when(passes(p), F.struct(F.lit(p.query_id).alias("query_id"), F.lit(excluded.index(p.excluded)).alias("space"))) for p in plans))
+    return index.docs.select(
+        index.id_col,
+        F.struct(*(F.size(f).alias(f) for f in index.fields)).alias("lengths"),
+        F.concat(*map(hits, index.fields)).alias("hits"),
+        F.filter(spaces, lambda x: x.isNotNull()).alias("spaces"),
+        F.filter(queries, lambda x: x.isNotNull()).alias("queries"),
+    )
+
+
+def _statistics(rows: DataFrame, index: Index, by: str) -> DataFrame:
+    """``(by, n, mean lengths, df of each term)`` of rows with a ``by``, lengths and hits; counts are summed before the shuffle."""
+    terms = F.concat(F.array(F.lit("")), F.array_distinct(F.col("hits.term")))
+    each = rows.select(by, "lengths", F.explode(terms).alias("term")).groupBy(by, "term").agg(F.count("*").alias("n"), *(F.avg(f"lengths.{f}").alias(f) for f in index.fields))
+    whole = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
+    means = F.struct(*(whole(f).alias(f) for f in index.fields))
+    return each.groupBy(by).agg(whole("n").alias("n"), means.alias("means"), F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("df"))
+
+
+def _fielded_score(index: Index) -> Column:
+    """AGG-6 of one row with hits, lengths, boosts and statistics."""
+
+    def of(h: Column) -> Column:
+        pick = lambda values: reduce(lambda out, f: F.when(h["field"] == f, values(f)).otherwise(out), index.fields, F.lit(None).cast("double"))
+        length = pick(lambda f: F.col("lengths")[f].cast("double"))
+        mean = F.greatest(pick(lambda f: F.col("means")[f]), F.lit(1.0))
+        df = F.try_element_at("df", h["term"])
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        saturation = h["tf"] * (K1 + 1) / (h["tf"] + K1 * (1 - B + B * length / mean))
+        return pick(lambda f: F.lit(float(index.fields[f]))) * idf * saturation * F.try_element_at("boosts", h["term"])
+
+    own = F.filter("hits", lambda h: F.map_contains_key("boosts", h["term"]))
+    return F.round(F.aggregate(own, F.lit(0.0), lambda total, h: total + of(h)), 6)
+
+
+def _fts_score(index: Index) -> Column:
+    """AGG-7 of one row: weights multiply the frequencies before a single saturation."""
+    length = reduce(Column.__add__, (F.col("lengths")[f] for f in index.fields))
+    mean = reduce(Column.__add__, (F.col("means")[f] for f in index.fields))
+    weight = lambda h: reduce(lambda out, f: F.when(h["field"] == f, float(index.fields[f])).otherwise(out), index.fields, F.lit(0.0))
+
+    def of(term: Column) -> Column:
+        tf = F.aggregate(F.filter("hits", lambda h: h["term"] == term), F.lit(0.0), lambda total, h: total + weight(h) * h["tf"])
+        df = F.try_element_at("df", term)
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(FTS_LEAST_IDF))
+        return idf * tf * (FTS_K1 + 1) / (tf + FTS_K1 * (1 - FTS_B + FTS_B * length / mean))
+
+    own = F.array_distinct(F.filter(F.col("hits.term"), lambda t: F.map_contains_key("boosts", t)))
+    return F.when(F.size(own) > 0, F.round(F.aggregate(own, F.lit(0.0), lambda total, t: total + of(t)), 6))
+
+
+def _scored(rows: DataFrame, index: Index, plans: Sequence[QueryPlan], score: Column) -> DataFrame:
+    """Rows of documents and the queries that may return them, with the score; a broadcast row for each query and exclusion set."""
+    stats = _statistics(rows.select("lengths", "hits", F.explode("spaces").alias("space")), index, "space")
+    open_rows = rows.where(F.size("hits") > 0).select(index.id_col, "lengths", "hits", F.explode("queries").alias("q")).select(index.id_col, "lengths", "hits", "q.query_id", "q.space")
+    return open_rows.join(F.broadcast(stats), "space").join(F.broadcast(_terms(rows.sparkSession, plans)), "query_id").withColumn("score", score)
+
+
 def fielded_bm25(index: Index, plans: Sequence[QueryPlan]) -> DataFrame:
     """AGG-6: ``(query_id, id, score)``; df spans a document's fields, N and mean lengths span ``index``."""
-    spark = index.docs.sparkSession
-    terms = _terms(spark, plans)
-    wanted = sorted({t for p in plans for t in p.terms})
-    posts = index.postings(wanted)
-    df = posts.groupBy("term").agg(F.countDistinct(index.id_col).alias("df"))
-    stats = index.statistics()
-    mean = F.element_at(F.create_map(*(x for f in index.fields for x in (F.lit(f), F.col(f"avg_{f}")))), F.col("field"))
-    weight = F.element_at(F.create_map(*(F.lit(x) for pair in index.fields.items() for x in pair)), F.col("field"))
-    length = F.element_at(F.create_map(*(x for f in index.fields for x in (F.lit(f), F.size(f)))), F.col("field"))
-    own = index.docs.select(index.id_col, *index.fields)
-    joined = posts.join(own, index.id_col).join(F.broadcast(stats)).join(F.broadcast(terms), "term").join(F.broadcast(df), "term")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length / F.greatest(mean, F.lit(1.0))))
-    return joined.groupBy("query_id", index.id_col).agg(F.round(F.sum(weight * idf * saturation * F.col("boost")), 6).alias("score")).where("score > 0")
+    return _scored(scanned(index, plans), index, plans, _fielded_score(index)).where("score > 0").select("query_id", index.id_col, "score")
 
 
 def fts_bm25(index: Index, plans: Sequence[QueryPlan]) -> DataFrame:
-    """AGG-7: weights multiply the frequencies before a single saturation; any term may match."""
-    spark = index.docs.sparkSession
-    terms = _terms(spark, plans).drop("boost")
-    wanted = sorted({t for p in plans for t in p.terms})
-    weight = F.element_at(F.create_map(*(F.lit(x) for pair in index.fields.items() for x in pair)), F.col("field"))
-    posts = index.postings(wanted).groupBy(index.id_col, "term").agg(F.sum(weight * F.col("tf")).alias("tf"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    size = reduce(Column.__add__, (F.size(f) for f in index.fields))
-    stats = index.docs.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))
-    own = index.docs.select(index.id_col, size.alias("length"))
-    joined = posts.join(own, index.id_col).join(F.broadcast(stats)).join(F.broadcast(terms), "term").join(F.broadcast(df), "term")
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FTS_LEAST_IDF))
-    score = idf * F.col("tf") * (FTS_K1 + 1) / (F.col("tf") + FTS_K1 * (1 - FTS_B + FTS_B * F.col("length") / F.col("mean")))
-    return joined.groupBy("query_id", index.id_col).agg(F.round(F.sum(score), 6).alias("score"))
+    """AGG-7: any term may match."""
+    return _scored(scanned(index, plans), index, plans, _fts_score(index)).where("score IS NOT NULL").select("query_id", index.id_col, "score")
 
 
 def ranked(scores: DataFrame, id_col: str, limit: int | None = None, score: str = "score") -> DataFrame:
@@ -146,32 +199,34 @@ def suppressed(text: Column, term: str, context: Sequence[str], distance: int) -
 
 def lexical_search(index: Index, plans: Sequence[QueryPlan], searchable: Column, limit: int | None = None) -> DataFrame:
     """QRY-3/4: exclusion first, statistics over what is left, gates last; one job for all plans."""
-    out = None
-    by_exclusion: dict[tuple, list[QueryPlan]] = {}
-    for p in plans:
-        by_exclusion.setdefault(p.excluded, []).append(p)
-    for excluded, same in by_exclusion.items():
-        kept = Index(index.docs.where(excludes(searchable, excluded)) if excluded else index.docs, index.id_col, index.fields)
-        found = fielded_bm25(kept, same)
-        gate = None
-        for p in same:
-            title = any_term(F.col("title"), p.title_terms) if p.title_terms else F.lit(True)
-            test = (F.col("query_id") == p.query_id) & anchored(searchable, p.groups) & title
-            gate = test if gate is None else gate | test
-        found = found.join(kept.docs, index.id_col).where(gate).select("query_id", index.id_col, "score")
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, index.id_col, limit)
+    found = _scored(scanned(index, plans, searchable), index, plans, _fielded_score(index)).where("score > 0")
+    return ranked(found.select("query_id", index.id_col, "score"), index.id_col, limit)
 
 
 def two_stage_search(index: Index, plans: Sequence[QueryPlan], searchable: Column, recall: int = RECALL_LIMIT, limit: int | None = None) -> DataFrame:
-    """QRY-5: full-text recall, then the fielded score whose statistics come from the candidates alone."""
-    out = None
-    for p in plans:
-        candidates = ranked(fts_bm25(index, [p]), index.id_col, recall).select(index.id_col)
-        few = Index(index.docs.join(candidates, index.id_col, "left_semi"), index.id_col, index.fields)
-        found = lexical_search(few, [p], searchable, limit)
-        out = found if out is None else out.unionByName(found)
-    return out
+    """QRY-5: full-text recall, then the fielded score whose statistics come from the candidates alone.
+
+    A candidate's small row goes along, so the second stage reads no document again.
+    """
+    gates = scanned(index, plans, searchable)
+    # recall looks past gates and exclusions; ``open`` remembers them
+    everything = F.array(*(F.struct(F.lit(p.query_id).alias("query_id"), F.lit(0).alias("space")) for p in plans))
+    rows = gates.withColumnsRenamed({"queries": "open", "spaces": "left_in"}).withColumn("queries", everything).withColumn("spaces", F.array(F.lit(0)))
+    stats = _statistics(rows.select("lengths", "hits", F.explode("spaces").alias("space")), index, "space")
+    each = rows.where(F.size("hits") > 0).select(index.id_col, "lengths", "hits", "open", "left_in", F.explode("queries").alias("q")).select(index.id_col, "lengths", "hits", "open", "left_in", "q.query_id", "q.space")
+    terms = F.broadcast(_terms(index.docs.sparkSession, plans))
+    recalled = each.join(F.broadcast(stats), "space").join(terms, "query_id").withColumn("score", _fts_score(index)).where("score IS NOT NULL")
+    spaces = list(dict.fromkeys(p.excluded for p in plans))
+    space_of = F.create_map(*(x for p in plans for x in (F.lit(p.query_id), F.lit(spaces.index(p.excluded)))))
+    few = ranked(recalled, index.id_col, recall).where(F.array_contains("left_in", F.element_at(space_of, F.col("query_id")))).select("query_id", index.id_col, "lengths", "hits", "open", "boosts")
+    # at most ``recall`` rows a query, which are together already
+    own = Window.partitionBy("query_id")
+    terms_seen = F.flatten(F.collect_list(F.array_distinct(F.col("hits.term"))).over(own))
+    counted = few.select("*", F.count("*").over(own).alias("n"), F.struct(*(F.avg(f"lengths.{f}").over(own).alias(f) for f in index.fields)).alias("means"), terms_seen.alias("terms_seen"))
+    df = F.map_from_entries(F.transform(F.array_distinct("terms_seen"), lambda t: F.struct(t, F.size(F.filter("terms_seen", lambda x: x == t)))))
+    judged = counted.withColumn("df", df).withColumn("score", _fielded_score(index))
+    passed = judged.where((F.col("score") > 0) & F.exists("open", lambda q: q["query_id"] == F.col("query_id")))
+    return ranked(passed.select("query_id", index.id_col, "score"), index.id_col, limit)
 
 
 def phrase_rescue(docs: DataFrame, text: Column, groups: Sequence[Sequence[str]], cap: int = 250) -> DataFrame:
