@@ -15,10 +15,10 @@ from quillspark.functions.values import dot
 BLOCK_QUERIES = 2_000
 
 
-def _in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``search`` over blocks of about ``BLOCK_QUERIES`` queries, together; rows of one query share a block."""
-    blocks = -(-queries.count() // BLOCK_QUERIES) or 1
-    return functools.reduce(DataFrame.unionByName, (search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)) for k in range(blocks)))
+def in_blocks(few: DataFrame, key: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` over blocks of about ``BLOCK_QUERIES`` rows, together; rows with one key share a block."""
+    blocks = -(-few.count() // BLOCK_QUERIES) or 1
+    return functools.reduce(DataFrame.unionByName, (search(few.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)) for k in range(blocks)))
 
 
 def scored(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", query_vector: str = "query_vector") -> DataFrame:
@@ -29,13 +29,13 @@ def scored(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", qu
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str = "embedding") -> DataFrame:
     """TOP-1/2: the k best of each query, ties by id. Spark keeps k rows a query in each task before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return _in_blocks(queries, lambda q: scored(vectors, q, vector).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return in_blocks(queries, "query_id", lambda q: scored(vectors, q, vector).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
 def top_per_group(vectors: DataFrame, queries: DataFrame, n: int, group: str, id_col: str, vector: str = "embedding") -> DataFrame:
     """TOP-3: the n best rows of each group for each query."""
     order = Window.partitionBy("query_id", group).orderBy(F.desc("score"), id_col)
-    return _in_blocks(queries, lambda q: scored(vectors, q, vector).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n))
+    return in_blocks(queries, "query_id", lambda q: scored(vectors, q, vector).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n))
 
 
 def encoded(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]], id_col: str, text_col: str, done: DataFrame | None = None) -> DataFrame:

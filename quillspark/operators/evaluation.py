@@ -49,16 +49,18 @@ def macro_means(scores: DataFrame, metrics: Sequence[str] = ("recall", "ndcg", "
     return scores.groupBy(*by).agg(F.count("*").alias("queries"), *(F.round(F.avg(m), 6).alias(m) for m in metrics))
 
 
-def leg_coverage(run: DataFrame, required: DataFrame, legs: DataFrame, at: int) -> DataFrame:
+def leg_coverage(run: DataFrame, required: DataFrame, legs: DataFrame, qrels: DataFrame, at: int, threshold: int = THRESHOLD) -> DataFrame:
     """AGG-14: share of each query's required legs that its first ``at`` results show; and whether all are shown.
 
-    A query counts only if each of its legs is shown by some judged object (``legs``: query_id, object_id, leg).
+    A leg counts only through relevant, scored judgements (``legs``: query_id, object_id, leg); a query counts only
+    if each of its legs has one.
     """
-    possible = required.join(legs.select("query_id", "leg").distinct(), ["query_id", "leg"], "left_semi").groupBy("query_id").agg(F.count("*").alias("possible"))
-    shown = run.where(F.col("rank") <= at).join(legs, ["query_id", "object_id"]).select("query_id", "leg").distinct()
+    good = qrels.where(F.coalesce("scored", F.lit(False)) & (F.col("relevance") >= threshold)).select("query_id", "object_id").distinct()
+    judged = legs.join(good, ["query_id", "object_id"], "left_semi")
+    possible = required.join(judged.select("query_id", "leg").distinct(), ["query_id", "leg"], "left_semi").groupBy("query_id").agg(F.count("*").alias("possible"))
+    shown = run.where(F.col("rank") <= at).join(judged, ["query_id", "object_id"]).select("query_id", "leg").distinct()
     met = required.join(shown.withColumn("hit", F.lit(1)), ["query_id", "leg"], "left").groupBy("query_id").agg(F.count("*").alias("legs"), F.count("hit").alias("met"))
-    judged = met.join(possible, "query_id").where("possible = legs")
-    return judged.select("query_id", F.round(F.col("met") / F.col("legs"), 8).alias("share"), (F.col("met") == F.col("legs")).alias("complete"))
+    return met.join(possible, "query_id").where("possible = legs").select("query_id", F.round(F.col("met") / F.col("legs"), 8).alias("share"), (F.col("met") == F.col("legs")).alias("complete"))
 
 
 def stage_quality(stages: DataFrame, qrels: DataFrame, closed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -158,7 +160,6 @@ def overlap_at(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
 
 
 def markdown(report: DataFrame, title: str) -> str:
-    """SNK-9: a small report frame as a Markdown table."""
-    rows = report.limit(1000).collect()
+    """SNK-9: a report frame as a Markdown table, all its rows; a report is an aggregate, as long as its groups are many."""
     lines = [f"# {title}", "", "| " + " | ".join(report.columns) + " |", "|" + "---|" * len(report.columns)]
-    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
+    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in report.toLocalIterator())]) + "\n"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.dense import in_blocks
 
 # The least relevance of a decision and its weights.
 LEAST_RELEVANCE = 0.62
@@ -100,18 +101,19 @@ def over_concentrated(items: DataFrame, key: Column, most: int = 3) -> DataFrame
 
 
 def mean_distance(sets: DataFrame, group: str, member: str, item: str) -> DataFrame:
-    """AGG-34, JON-10: mean Jaccard distance of the pairs of members in each group.
+    """AGG-34, JON-10: mean Jaccard distance of the pairs of members in each group; 0 for a group without a pair.
 
-    The groups are reports of a few dozen members; intersections are counted from shared items, and the
-    pairs that share nothing are counted, not made.
+    Members with the same items are one row with a weight, so what is paired are a group's distinct item sets.
     """
-    sizes = sets.groupBy(group, member).agg(F.countDistinct(item).alias("n"))
-    a, b = sets.select(group, F.col(member).alias("a"), item).distinct(), sets.select(group, F.col(member).alias("b"), item).distinct()
-    shared = a.join(b, [group, item]).where("a < b").groupBy(group, "a", "b").agg(F.count("*").alias("both"))
-    na, nb = sizes.select(group, F.col(member).alias("a"), F.col("n").alias("na")), sizes.select(group, F.col(member).alias("b"), F.col("n").alias("nb"))
-    likeness = shared.join(na, [group, "a"]).join(nb, [group, "b"]).groupBy(group).agg(F.sum(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("s"))
-    count = sizes.groupBy(group).agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
-    return count.join(likeness, group, "left").select(group, F.round(F.when(F.col("pairs") > 0, 1 - F.coalesce("s", F.lit(0.0)) / F.col("pairs")), 6).alias("distance"))
+    own = sets.groupBy(group, member).agg(F.sort_array(F.collect_set(item)).alias("items"))
+    kinds = own.groupBy(group, "items").agg(F.count("*").alias("n"))
+    a, b = kinds.select(group, F.col("items").alias("x"), F.col("n").alias("nx")), kinds.select(group, F.col("items").alias("y"), F.col("n").alias("ny"))
+    both = F.size(F.array_intersect("x", "y"))
+    likeness = F.when(F.size("x") + F.size("y") > both, both / (F.size("x") + F.size("y") - both)).otherwise(1.0)
+    pairs = a.join(b, group).where("x < y").groupBy(group).agg(F.sum(F.col("nx") * F.col("ny") * (1 - likeness)).alias("s"))
+    count = kinds.groupBy(group).agg(F.sum("n").alias("m"))
+    total = F.col("m") * (F.col("m") - 1) / 2
+    return count.join(pairs, group, "left").select(group, F.round(F.when(total > 0, F.coalesce("s", F.lit(0.0)) / total).otherwise(0.0), 6).alias("distance"))
 
 
 def rules_broken(rows: DataFrame, id_col: str, rules: Mapping[str, Column]) -> DataFrame:
@@ -133,8 +135,8 @@ def best_by_mentions(items: DataFrame, question: str, labels: str, id_col: str,
 
 
 def longest_labels(texts: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    """SEC-29: for each text the label whose matching terms are longest in all; a small label table is sent to the texts."""
-    hits = texts.join(F.broadcast(labels)).where(F.lower("text").contains(F.col("term")))
+    """SEC-29: for each text the label whose matching terms are longest in all; terms go to the texts in blocks of bounded size."""
+    hits = in_blocks(labels, "term", lambda few: texts.join(F.broadcast(few)).where(F.lower("text").contains(F.col("term"))))
     sums = hits.groupBy(id_col, "label").agg(F.sum(F.length("term")).alias("total"))
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("total"), "label"))
     return sums.withColumn("n", place).where("n = 1").select(id_col, "label", "total")
@@ -150,3 +152,11 @@ def alternatives(results: DataFrame, used: DataFrame, n: int) -> DataFrame:
 def matched_first(evidence: Column, matched: Column) -> Column:
     """SEC-13: evidence ids in order, those that matched at the front."""
     return F.concat(F.array_intersect(evidence, matched), F.array_except(evidence, matched))
+
+
+def coverage_valid(stored: DataFrame, requirements: DataFrame, witnesses: DataFrame, selected: DataFrame) -> DataFrame:
+    """QRY-14: a stored coverage holds if counting again gives the same witnesses and all requirements are met."""
+    again = set_coverage(requirements, witnesses, selected).select("query_id", "requirement_id", F.col("witnesses").alias("now"), "satisfied")
+    both = again.join(stored.select("query_id", "requirement_id", "witnesses"), ["query_id", "requirement_id"], "full_outer")
+    ok = F.coalesce((F.col("now") == F.col("witnesses")) & F.col("satisfied"), F.lit(False))
+    return both.groupBy("query_id").agg(F.bool_and(ok).alias("valid"))

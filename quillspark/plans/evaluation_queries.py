@@ -75,16 +75,18 @@ def agg24_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.macro_means(s, by=["category"])
 
 
-@R.add(f"""WITH {SQL_RUN.format(s='a')}, leg AS (SELECT 'q' || (doc_id % 12) AS query_id, doc_id AS object_id, lang AS leg FROM documents),
-req AS (SELECT DISTINCT 'q' || (d.doc_id % 12) AS query_id, l.leg FROM documents d, (VALUES ('en'), ('fr'), ('es')) l(leg)),
+@R.add(f"""WITH {SQL_QRELS}, {SQL_RUN.format(s='a')}, good AS (SELECT DISTINCT query_id, object_id FROM qrel WHERE scored AND relevance >= 2),
+leg AS (SELECT g.query_id, g.object_id, d.lang AS leg FROM good g JOIN documents d ON d.doc_id = g.object_id),
+req AS (SELECT DISTINCT 'q' || (d.doc_id % 12) AS query_id, l.leg FROM documents d, (VALUES ('en'), ('fr')) l(leg)),
+judged AS (SELECT DISTINCT query_id, leg FROM leg),
 shown AS (SELECT DISTINCT r.query_id, leg FROM runa r JOIN leg USING (query_id, object_id) WHERE rank <= 5),
-m AS (SELECT req.query_id, count(*) AS legs, count(shown.leg) AS met FROM req LEFT JOIN shown USING (query_id, leg) GROUP BY req.query_id)
-SELECT query_id, round(met / legs, 8) AS share, met = legs AS complete FROM m""")
+m AS (SELECT req.query_id, count(*) AS legs, count(shown.leg) AS met, count(judged.leg) AS possible FROM req LEFT JOIN shown USING (query_id, leg) LEFT JOIN judged USING (query_id, leg) GROUP BY req.query_id)
+SELECT query_id, round(met / legs, 8) AS share, met = legs AS complete FROM m WHERE possible = legs""")
 def agg14_leg_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     legs = d.select(F.concat(F.lit("q"), F.col("doc_id") % 12).alias("query_id"), F.col("doc_id").alias("object_id"), F.col("lang").alias("leg"))
-    required = legs.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, ("en", "fr", "es")))).alias("leg"))
-    return E.leg_coverage(_run(spark, sf_dir), required, legs, 5)
+    required = legs.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, ("en", "fr")))).alias("leg"))
+    return E.leg_coverage(_run(spark, sf_dir), required, legs, _qrels(spark, sf_dir), 5)
 
 
 @R.add(f"""WITH {SQL_QRELS}, {SQL_RUN.format(s='a')}, st AS (SELECT 's1' AS stage, * FROM runa WHERE rank <= 20 UNION ALL SELECT 's2', * FROM runa WHERE rank <= 40),
@@ -202,7 +204,7 @@ def agg31_review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.progress(questions, candidates, log)
 
 
-@R.add("""WITH old AS (SELECT user_id, count(*) AS last FROM events WHERE event_id < 3000 GROUP BY user_id), new AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events WHERE event_id BETWEEN 3000 AND 3999)
+@R.add("""WITH old AS (SELECT user_id, count(*) AS last FROM events WHERE event_id < 3000 GROUP BY user_id), new AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events WHERE event_id >= 3000)
 SELECT event_id AS arrival, CASE WHEN event_id % 10 = 0 THEN 'conflict' ELSE 'accepted' END AS status FROM (SELECT new.*, coalesce(last, 0) AS last FROM new LEFT JOIN old USING (user_id))""")
 def win11_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -237,7 +239,7 @@ def stm7_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.evicted(e, 20_000_000).select("event_id")
 
 
-@R.add("""WITH li AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem WHERE l_orderkey < 4000 GROUP BY ALL),
+@R.add("""WITH li AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL),
 e AS (SELECT l_orderkey AS object_id, l_orderkey * 10 + l_linenumber AS evidence_id, CASE l_returnflag WHEN 'A' THEN 'curatorial' WHEN 'R' THEN 'metadata' ELSE 'provenance' END AS kind, CASE WHEN l_linestatus = 'F' THEN l_linenumber END AS position FROM li),
 v AS (SELECT DISTINCT object_id, evidence_id, kind, position FROM e WHERE kind <> 'provenance'),
 t AS (SELECT *, row_number() OVER (PARTITION BY object_id, kind ORDER BY position NULLS LAST, evidence_id) AS tp, min(position) OVER (PARTITION BY object_id) AS mp FROM v),
@@ -248,7 +250,7 @@ def qry11_visible_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.visible(l.select("object_id", "evidence_id", "source_kind"), l.where("l_linestatus = 'F'").select("object_id", "evidence_id", "position"))
 
 
-@R.add("""WITH c AS (SELECT doc_id AS object_id, 'c' || (doc_id % 2) AS condition_id, CASE WHEN doc_id % 13 = 0 THEN -1 WHEN doc_id % 11 = 0 THEN doc_id + 1 ELSE doc_id END AS evidence_id, CASE WHEN doc_id % 7 = 0 THEN 'nowhere to be found' ELSE substring(text, 1, 12) END AS quote, CASE WHEN doc_id % 5 = 0 THEN 'unclear' ELSE 'supported' END AS status FROM documents WHERE doc_id < 300)
+@R.add("""WITH c AS (SELECT doc_id AS object_id, 'c' || (doc_id % 2) AS condition_id, CASE WHEN doc_id % 13 = 0 THEN -1 WHEN doc_id % 11 = 0 THEN doc_id + 1 ELSE doc_id END AS evidence_id, CASE WHEN doc_id % 7 = 0 THEN 'nowhere to be found' ELSE substring(text, 1, 12) END AS quote, CASE WHEN doc_id % 5 = 0 THEN 'unclear' ELSE 'supported' END AS status FROM documents)
 SELECT object_id, condition_id, CASE WHEN status <> 'supported' THEN 'not_supported' WHEN d.doc_id IS NULL THEN 'unknown_evidence' WHEN d.doc_id <> object_id THEN 'foreign_evidence' WHEN quote = 'nowhere to be found' THEN 'quote_not_visible' END AS failure
 FROM c LEFT JOIN documents d ON d.doc_id = evidence_id""")
 def qry12_bound_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,10 +293,11 @@ def agg33_over_concentrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.over_concentrated(s, F.col("k"), 1)
 
 
-@R.add("""WITH s AS (SELECT DISTINCT user_id % 10 AS grp, user_id, hour(ts) % 8 AS item FROM events WHERE event_id < 1000), z AS (SELECT grp, user_id, count(*) AS n FROM s GROUP BY ALL),
+@R.add("""WITH s AS (SELECT DISTINCT user_id % 10 AS grp, user_id, hour(ts) % 8 AS item FROM events), z AS (SELECT grp, user_id, count(*) AS n FROM s GROUP BY ALL),
 p AS (SELECT a.grp, a.user_id AS a, b.user_id AS b, a.n AS na, b.n AS nb FROM z a JOIN z b ON a.grp = b.grp AND a.user_id < b.user_id),
 i AS (SELECT x.grp, x.user_id AS a, y.user_id AS b, count(*) AS m FROM s x JOIN s y ON x.grp = y.grp AND x.item = y.item AND x.user_id < y.user_id GROUP BY ALL)
-SELECT grp, round(1 - sum(coalesce(m, 0) / (na + nb - coalesce(m, 0))) / count(*), 6) AS distance FROM p LEFT JOIN i USING (grp, a, b) GROUP BY grp""")
+SELECT grp, coalesce(distance, 0.0) AS distance FROM (SELECT DISTINCT grp FROM z) LEFT JOIN (
+  SELECT grp, round(1 - sum(coalesce(m, 0) / (na + nb - coalesce(m, 0))) / count(*), 6) AS distance FROM p LEFT JOIN i USING (grp, a, b) GROUP BY grp) USING (grp)""")
 def agg34_mean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("grp"), "user_id", (F.hour("ts") % 8).alias("item"))
     return evidence.mean_distance(s.distinct(), "grp", "user_id", "item")
@@ -305,7 +308,7 @@ def qry15_rules_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.rules_broken(table(spark, sf_dir, "part"), "p_partkey", {"ITEM_COUNT_OUT_OF_RANGE": F.col("p_size").between(5, 45), "ALT_TEXT_PENDING": F.col("p_retailprice") < 1900, "LABEL_REQUIRED": F.length("p_name") > 8})
 
 
-@R.add("""WITH q AS (SELECT 'q' || (o_orderkey % 700) AS query_id FROM orders WHERE o_orderkey < 1000), t AS (SELECT query_id FROM q GROUP BY query_id HAVING count(*) > 1)
+@R.add("""WITH q AS (SELECT 'q' || (o_orderkey % 700) AS query_id FROM orders), t AS (SELECT query_id FROM q GROUP BY query_id HAVING count(*) > 1)
 SELECT query_id, 'repeated_question' AS problem FROM t UNION SELECT 'q' || (doc_id % 12), 'bad_grade' FROM labels WHERE quality - toxic < 0""")
 def src10_benchmark_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "orders").select(F.concat(F.lit("q"), F.col("o_orderkey") % 700).alias("query_id"))

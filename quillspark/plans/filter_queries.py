@@ -188,10 +188,10 @@ def qry19_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.shards(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 500)
 
 
-@R.add("""SELECT 'q' AS query_id, n_nationkey, n_nationkey + 1 AS place, CASE WHEN n_nationkey < 3 THEN 1 WHEN n_nationkey < 6 THEN 2 ELSE 3 END AS chapter FROM nation WHERE n_nationkey < 8""")
+@R.add("""SELECT 'q' AS query_id, n_nationkey, n_nationkey + 1 AS place, CASE WHEN n_nationkey < 9 THEN 1 WHEN n_nationkey < 17 THEN 2 ELSE 3 END AS chapter FROM nation""")
 def mth5_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 8").select(F.lit("q").alias("query_id"), "n_nationkey")
-    return ranking.chapters(n, "n_nationkey", V.chapter_sizes(8, 3))
+    n = table(spark, sf_dir, "nation").select(F.lit("q").alias("query_id"), "n_nationkey")
+    return ranking.chapters(n, "n_nationkey", V.chapter_sizes(25, 3))
 
 
 def smp5_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
+#: Ranges of keys that rows are counted in, and about how many keys are looked at to choose them.
+KEY_RANGES, KEY_SAMPLE = 256, 4096
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
@@ -44,15 +46,22 @@ def latest_snapshot(names: DataFrame, column: str = "snapshot") -> DataFrame:
     return names.agg(F.max(column).alias(column))
 
 
+def _key_range(rows: DataFrame, key: str) -> Column:
+    """Number of the key range that a row is in; ranges follow the order of keys, nulls come first."""
+    every = max(1, rows.count() // KEY_SAMPLE)
+    seen = sorted(r[0] for r in rows.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).select(key).distinct().collect())
+    bounds = F.array(*map(F.lit, seen[:: max(1, len(seen) // KEY_RANGES)])) if seen else F.array().cast(f"array<{dict(rows.dtypes)[key]}>")
+    return F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(key))))
+
+
 def keyset_windows(rows: DataFrame, key: str, size: int) -> DataFrame:
     """SRC-6: window number and cursor (largest key before it) of rows in windows of ``size`` by key.
 
-    Counts by key range come first, so windows follow without ordering all rows in one task.
+    Rows are counted in key ranges first, so windows follow without ordering all rows in one task. The ranges'
+    bounds are keys chosen by hash, so every evaluation has the same ones.
     """
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
+    ranged = rows.withColumn("__part", _key_range(rows, key))
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1 + F.col("before")
@@ -87,3 +96,31 @@ def rejoined(shards: Sequence[DataFrame], plan: DataFrame) -> DataFrame:
     joined = plan.select("query_id", F.lit(True).alias("planned")).join(one, "query_id", "full_outer")
     ok = F.coalesce(F.col("planned"), F.lit(False)) & (F.coalesce("n", F.lit(0)) == 1)
     return joined.withColumn("r", F.when(ok, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("shards don't fit the plan at "), "query_id")))).select("query_id", *(F.col(f"r.{c}").alias(c) for c in rest))
+
+
+def row_owners(objects: DataFrame, id_col: str, count: str) -> DataFrame:
+    """JON-7: ``(row, id)``: which object each evidence row belongs to, from the objects' numbers of rows in id order.
+
+    The first row of each object comes from sums in key ranges, so no join by range is needed.
+    """
+    numbered = objects.where(F.col(count) > 0).select(id_col, F.col(count).cast("long").alias("n"))
+    ranged = numbered.withColumn("__part", _key_range(numbered, id_col))
+    sums = ranged.groupBy("__part").agg(F.sum("n").alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sums.select("__part", before.alias("before")))
+    own = F.sum("n").over(Window.partitionBy("__part").orderBy(id_col)) - F.col("n")
+    first = ranged.join(starts, "__part").withColumn("first", own + F.col("before"))
+    return first.select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("row"), id_col)
+
+
+def manifest_problems(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """SEC-24: files that a manifest names and that are missing or changed, and files that it doesn't name."""
+    both = manifest.select("name", F.col("sha256").alias("said")).join(files.select("name", F.col("sha256").alias("found")), "name", "full_outer")
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("said").isNull(), "unexpected").when(F.col("said") != F.col("found"), "changed")
+    return both.select("name", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def pending_pairs(pairs: DataFrame, judged: DataFrame) -> DataFrame:
+    """SEC-6: the pairs of a frozen dataset that wait for a judgement, by question."""
+    left = pairs.join(judged.select("query_id", "object_id"), ["query_id", "object_id"], "left_anti")
+    return left.groupBy("query_id").agg(F.sort_array(F.collect_set("object_id")).alias("pending"))
