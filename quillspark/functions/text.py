@@ -203,25 +203,27 @@ def question_similarity(a: Column, b: Column) -> Column:
 
 
 # Digits and units of Chinese numerals.
-NUMERALS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+NUMERALS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100}
 
 
 def chinese_number(text: str | None) -> int | None:
-    """STR-16: a numeral under 1000, in digits or characters."""
+    """STR-16: a numeral under 1000, in digits or characters; characters without a unit are read digit by digit."""
     if not text:
         return None
     if text.isascii():
         return int(text) if text.isdigit() else None
+    if any(c not in NUMERALS and c not in UNITS for c in text):
+        return None
+    if all(c in NUMERALS for c in text):
+        return int("".join(str(NUMERALS[c]) for c in text))
     total, digit = 0, None
     for c in text:
         if c in NUMERALS:
             digit = NUMERALS[c]
-        elif c in UNITS:
-            total += (1 if digit is None else digit) * UNITS[c]
-            digit = None
         else:
-            return None
+            total += (digit or 1) * UNITS[c]
+            digit = None
     return total + (digit or 0)
 
 
@@ -261,3 +263,21 @@ def split_budget(sentences: Sequence[str], budget: int) -> Iterator[str]:
             return
         yield s[:left]
         left -= len(s)
+
+
+def within_budget(sentences: Column, budget: int) -> Column:
+    """SEC-27 over rows: whole sentences while they fit; the one that crosses the budget is cut."""
+    step = lambda state, s: F.when(
+        state["left"] > 0,
+        F.struct((state["left"] - F.length(s)).cast("int").alias("left"), F.concat(state["kept"], F.array(F.substring(s, F.lit(1), F.greatest(state["left"], F.lit(0))))).alias("kept")),
+    ).otherwise(state)
+    start = F.struct(F.lit(budget).cast("int").alias("left"), F.array().cast("array<string>").alias("kept"))
+    return F.aggregate(sentences, start, step)["kept"]
+
+
+def simplified(text: Column, phrases: Mapping[str, str], characters: Mapping[str, str]) -> Column:
+    """STR-17: phrases first, the longest before others, then single characters; the tables are the caller's."""
+    out = text
+    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
+        out = F.replace(out, F.lit(phrase), F.lit(phrases[phrase]))
+    return F.translate(out, "".join(characters), "".join(characters.values())) if characters else out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +70,15 @@ def chapter_sizes(items: int, chapters: int) -> list[int]:
     """MTH-5: as even as possible, the first chapters larger."""
     base, more = divmod(items, chapters)
     return [base + (k < more) for k in range(chapters)]
+
+
+def capped_score(counts: Sequence[tuple[Column, float, float]], flags: Sequence[tuple[Column, float]]) -> Column:
+    """MTH-6: weights times counts, each count up to its cap, and a bonus for each flag."""
+    parts = [F.least(F.coalesce(c, F.lit(0)), F.lit(cap)) * weight for c, cap, weight in counts]
+    parts += [F.when(flag, bonus).otherwise(0.0) for flag, bonus in flags]
+    return reduce(Column.__add__, parts, F.lit(0.0))
+
+
+def score_map(**fields: Column) -> Column:
+    """MAP-1: named scores as one map of doubles."""
+    return F.map_from_entries(F.array(*(F.struct(F.lit(name).alias("key"), c.cast("double").alias("value")) for name, c in fields.items())))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.ranking import near_best
 
 
 def first_given(*columns: Column) -> Column:
@@ -168,3 +169,34 @@ def expected_versus_actual(expected: DataFrame, actual: DataFrame, keys: Sequenc
     """FLT-20, §2.15-16: keys that only one of two sets has; empty if they agree."""
     a, b = expected.select(*keys, F.lit(True).alias("e")).distinct(), actual.select(*keys, F.lit(True).alias("a")).distinct()
     return a.join(b, list(keys), "full_outer").where("e IS NULL OR a IS NULL").select(*keys, F.when(F.col("e").isNull(), "unexpected").otherwise("missing").alias("problem"))
+
+
+def licensed(chunks: Column, default: Column) -> Column:
+    """PRJ-3: evidence structs whose licence is the record's where they have none of their own."""
+    return F.transform(chunks, lambda x: x.withField("license", first_given(x["license"], default)))
+
+
+def joined_parts(*parts: Column, sep: str = "，") -> Column:
+    """SEC-22: the distinct given parts in order, as one text."""
+    return F.array_join(F.array_distinct(F.filter(F.array(*map(first_given, parts)), lambda x: x.isNotNull())), sep)
+
+
+def routed(objects: DataFrame, id_col: str, layers: Mapping[str, tuple[DataFrame, int, float]]) -> DataFrame:
+    """CLS-5: each object with the labels of every layer, best first: up to so many with so large a share of its best score."""
+    out = objects
+    for name, (scores, most, share) in layers.items():
+        best = near_best(scores, id_col, "label", most, share).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("l"))
+        out = out.join(best.select(id_col, F.transform("l", lambda x: x["label"]).alias(name)), id_col, "left")
+    return out.withColumns({name: F.coalesce(name, F.array().cast("array<string>")) for name in layers})
+
+
+def regression_rows(cards: DataFrame, expected: str, boundary: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """SEC-18: a test row for each card with what is expected of it, and fixed rows beyond the catalogue."""
+    own = cards.select("label", "question", F.col(expected).alias("expected"))
+    return own.unionByName(cards.sparkSession.createDataFrame(list(boundary), "label string, question string, expected string"))
+
+
+def rights_rollup(objects: DataFrame, group: str, rights_col: str) -> DataFrame:
+    """SEC-19: how many objects of each group have each licence, and their share of it."""
+    n = objects.groupBy(group, F.coalesce(rights_col, F.lit("not_recorded")).alias(rights_col)).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(group)), 4))

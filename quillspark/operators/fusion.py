@@ -99,3 +99,15 @@ def joined_ids(rows: DataFrame, keys: list[str], order: list[str], array: str) -
     """AGG-11: the distinct entries of arrays, in the order of the rows."""
     lists = F.array_sort(F.collect_list(F.struct(*order, array)))
     return rows.groupBy(*keys).agg(F.array_distinct(F.flatten(F.transform(lists, lambda x: x[array]))).alias(array))
+
+
+def channel_ranks(channels: Mapping[str, DataFrame], id_col: str) -> DataFrame:
+    """JON-2: one row for each id of any channel with its rank in each; union and one aggregation instead of outer joins."""
+    rows = reduce(DataFrame.unionByName, (df.select("query_id", id_col, "rank", F.lit(name).alias("channel")) for name, df in channels.items()))
+    return rows.groupBy("query_id", id_col).agg(*(F.min(F.when(F.col("channel") == name, F.col("rank"))).alias(name) for name in channels))
+
+
+def consensus(objects: DataFrame, evidence: DataFrame, id_col: str) -> DataFrame:
+    """WIN-2: positions by the agreement of two dense channels, ties by id; no two rows share one."""
+    agreed = reciprocal_rank({"object": (objects, 1.0), "evidence": (evidence, EVIDENCE_WEIGHT)}, id_col)
+    return agreed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)))

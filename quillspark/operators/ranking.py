@@ -50,7 +50,7 @@ def water_fill(available: DataFrame, group: str, target: int) -> DataFrame:
 def quota_sample(rows: DataFrame, quotas: DataFrame, group: str, within: Sequence[Column | str]) -> DataFrame:
     """The first rows of each group up to its quota."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(*within))
-    return rows.withColumn("place", place).join(F.broadcast(quotas.select(group, "quota")), group).where(F.col("place") <= F.col("quota")).drop("quota")
+    return rows.withColumn("place", place).join(quotas.select(group, "quota"), group).where(F.col("place") <= F.col("quota")).drop("quota")
 
 
 def stable_sample(rows: DataFrame, salt: str, key: str, n: int) -> DataFrame:
@@ -168,3 +168,22 @@ def ranked_sets(rows: DataFrame, n: int, id_col: str = "object_id") -> DataFrame
     """The best ``n`` rows of each query with their place."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
     return rows.withColumn("place", place).where(F.col("place") <= n)
+
+
+def roles(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """CLS-9: first, last and middle row of each group have parts of their own, the others support."""
+    own = Window.partitionBy(group)
+    out = rows.withColumn("place", F.row_number().over(own.orderBy(order))).withColumn("__n", F.count("*").over(own))
+    role = F.when(F.col("place") == 1, "opening").when(F.col("place") == F.col("__n"), "closing").when(F.col("place") == F.floor((F.col("__n") + 1) / 2), "pivot").otherwise("support")
+    return out.withColumn("role", role).drop("__n")
+
+
+def redundancy(candidates: DataFrame, chosen: DataFrame, id_col: str) -> DataFrame:
+    """JON-11: the largest Jaccard similarity of each candidate's features to those of a chosen row.
+
+    Overlaps are counted from shared features, so pairs that share nothing are not made.
+    """
+    long = lambda df, name: df.select(F.col(id_col).alias(name), F.size("features").alias(f"{name}_size"), F.explode("features").alias("f"))
+    both = long(candidates, "a").join(long(chosen, "b"), "f").groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("n"))
+    best = both.groupBy(F.col("a").alias(id_col)).agg(F.max(F.col("n") / (F.col("a_size") + F.col("b_size") - F.col("n"))).alias("redundancy"))
+    return candidates.select(id_col).join(best, id_col, "left").select(id_col, F.coalesce("redundancy", F.lit(0.0)).alias("redundancy"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import latest
@@ -118,3 +118,56 @@ def evicted(files: DataFrame, cap: int, share: float = 0.9) -> DataFrame:
     own = F.sum("size").over(Window.partitionBy("__day").orderBy(F.desc("used_at"), "path"))
     rows = files.join(F.broadcast(later), day == F.col("__day")).withColumn("kept", F.col("newer") + own).join(F.broadcast(total))
     return rows.where((F.col("total") > cap) & (F.col("kept") > share * cap)).select(*files.columns)
+
+
+def intro_counts(objects: DataFrame, house: str, pack: str) -> DataFrame:
+    """AGG-30: the numbers of an introduction, one row."""
+    return objects.agg(F.countDistinct(house).alias("houses"), F.countDistinct(pack).alias("packs"), F.count("*").alias("objects"))
+
+
+def candidate_detail(candidates: DataFrame, judgements: DataFrame, suggestions: DataFrame, keys: Sequence[str], salt: str) -> DataFrame:
+    """SEC-4: candidates with their latest judgement and suggestion, in an order that doesn't tell where they came from."""
+    out = candidates
+    for log in (judgements, suggestions):
+        out = out.join(latest(log, keys, "id").drop("id"), list(keys), "left")
+    digest = F.sha2(F.concat(F.lit(f"{salt}:"), F.col(keys[-1]).cast("string")), 256)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy(digest, keys[-1])))
+
+
+def exported(log: DataFrame, order: str = "id", ranges: int = 64) -> DataFrame:
+    """SEC-5: the whole log numbered in order. Rows are counted in ranges of the order column first, so none is a bottleneck."""
+    edges = log.agg(F.min(order).alias("low"), F.max(order).alias("high"))
+    part = F.floor((F.col(order) - F.col("low")) * ranges / (F.col("high") - F.col("low") + 1))
+    cut = log.join(F.broadcast(edges)).withColumn("__part", part).drop("low", "high")
+    sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))
+    line = F.row_number().over(Window.partitionBy("__part").orderBy(order)) + F.col("__before")
+    return cut.join(F.broadcast(starts), "__part").withColumn("line", line).drop("__part", "__before")
+
+
+def unlike_identity(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """SEC-23: keys whose rows don't agree in the fields that name a run."""
+    changed = F.lit(False)
+    for f in fields:
+        changed = changed | (F.min(f) != F.max(f))
+    return rows.groupBy(key).agg(changed.alias("c")).where("c").select(key)
+
+
+def human_reviewed(flag: Column, note: Column, pending: str) -> Column:
+    """SEC-30: the flag is set and nothing says that the review is still to come."""
+    return F.coalesce(flag, F.lit(False)) & ~F.coalesce(note.contains(pending), F.lit(False))
+
+
+def campaign_state(planned: DataFrame, done: DataFrame, shard: str, key: str = "query_id") -> DataFrame:
+    """SEC-31: what each shard of a campaign planned and did, and whether that is all."""
+    rows = planned.join(done.select(key).distinct().withColumn("__done", F.lit(True)), key, "left")
+    return rows.groupBy(shard).agg(F.count("*").alias("planned"), F.count("__done").alias("done"), (F.count("__done") == F.count("*")).alias("complete"))
+
+
+def suggestion_outcomes(offered: DataFrame, frozen: DataFrame, verdicts: Sequence[str]) -> DataFrame:
+    """SEC-7: which suggestions may be appended: a known verdict, a pair of the frozen dataset, and its hash."""
+    known = frozen.select("query_id", "object_id", F.col("dataset_sha256").alias("__sha"))
+    bound = offered.join(known, ["query_id", "object_id"], "left")
+    outcome = F.when(~F.coalesce(F.col("verdict").isin(*verdicts), F.lit(False)), "invalid").when(F.col("__sha").isNull(), "unknown_pair").when(F.col("__sha") != F.col("dataset_sha256"), "wrong_hash").otherwise("accepted")
+    return bound.withColumn("outcome", outcome).drop("__sha")
