@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import suppress
 
 import pyarrow as pa
@@ -20,28 +23,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a local session, as in tests, gets one of its own; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        _own.append(tempfile.mkdtemp(prefix="quillspark-")) if not _own else None
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="quillspark-"))
         folder = _own[0]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def _remove_written() -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_up() -> None:
+    """Delete what is left of written tables; call it before the session is stopped. The end of the process does so, too."""
     spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    with suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        for path in _written:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    while spark is not None and _written:
+        with suppress(Exception):
+            _delete(spark, _written[-1])
+        _written.pop()
+    for folder in _own:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
-atexit.register(_remove_written)
+atexit.register(clean_up)
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -54,6 +68,24 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``make`` gives, and delete the tables that were written on the way to it."""
+    before = len(_written)
+    out = written(make())
+    for path in _written[before:-1]:
+        _delete(out.sparkSession, path)
+    del _written[before:-1]
+    return out
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_schema(fields: str) -> pa.Schema:
     """A schema from text such as ``doc_id long, kept boolean``."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
