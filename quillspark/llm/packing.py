@@ -14,14 +14,19 @@ after a loss can't disagree with what was merged.
 Words recur, so the ids of each distinct unit are kept in a bounded table; see
 ``Encoder``.
 
-Defined results: a null or empty text is one piece of one id, the end mark;
-repeated rows are packed each on its own; an empty table gives an empty result.
+Defined results: a null or empty text is one piece of one id, the end mark; text
+that spells an added token gets that token's id, as the tokenizer's file says;
+repeated rows are packed each on its own; of equally filled windows the one opened
+first takes a piece; a very long text fills windows of its own and leaves one rest;
+other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -48,35 +53,43 @@ _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 _CLASS[0x30:0x3A] = 2
 _CLASS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = 3
 _CLASS[_SPACE] = 4
+# The rules of the tokenizer that ``Encoder`` follows unit by unit.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
 class Encoder:
-    """Ids of texts by a tokenizer whose tokens never span white space.
+    """Ids of texts by a tokenizer, each text closed by the end mark.
 
-    Within white space, runs of letters (ASCII and Latin-1), runs of ASCII punctuation and single
-    digits are what the tokenizer looks at one by one, and it folds their case. Chunks with anything
-    else, an apostrophe included, are looked up whole. Units are told apart by 64-bit hashes.
+    With the normaliser and splitter named in ``_NORMALIZER`` and ``_SPLIT``, tokens never span white
+    space. Within it, runs of letters (ASCII and Latin-1), runs of ASCII punctuation and single digits
+    are what the tokenizer looks at one by one, and it folds their case. Chunks with anything else, an
+    apostrophe or an added token included, are looked up whole. Units are told apart by 64-bit hashes.
+    A tokenizer with other rules encodes every text as it stands.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        rules = json.loads(Path(path).read_text())
+        splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_units = rules.get("normalizer") == _NORMALIZER and len(splits) == 2 and splits[0].get("pattern") == _SPLIT and splits[1].get("type") == "ByteLevel" and not splits[1].get("add_prefix_space")
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.end_id = end_id
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.entry = np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
         self.n_ids = 0
 
-    @staticmethod
-    def _units(piece: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _units(self, piece: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Folded bytes, the units' starts and ends, which are whole chunks, and each text's first unit."""
         data = piece.data
         n = len(data)
@@ -94,6 +107,12 @@ class Encoder:
         starts, ends, first = tk.spans(piece, _SPACE)
         odd = np.concatenate([[0], np.cumsum(kind == 0)])
         whole = odd[ends] > odd[starts]
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                whole[np.searchsorted(starts, at, side="right") - 1] = True
+                at = raw.find(token, at + 1)
         mark = np.zeros(n + 1, bool)  # where a unit begins inside an ordinary chunk
         if n > 1:
             mark[1:n] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] != 4)
@@ -105,7 +124,7 @@ class Encoder:
         end = np.minimum(ends[chunk], np.append(begin[1:], n))
         return folded, begin, end, whole[chunk], np.searchsorted(begin, piece.offsets)
 
-    def _learn(self, keys: list[int], units: list[str], whole: list[bool]) -> None:
+    def _learn(self, keys: np.ndarray, units: list[str], whole: list[bool]) -> None:
         found: list[np.ndarray] = [None] * len(keys)  # type: ignore[list-item]
         plain = [k for k, w in enumerate(whole) if not w]
         for i in range(0, len(plain), 2048):
@@ -121,37 +140,51 @@ class Encoder:
             for k, e in zip(part, self.tokenizer.encode_batch([units[k] for k in part], add_special_tokens=False), strict=True):
                 found[k] = np.array(e.ids, np.uint32)
         sizes = np.array([len(x) for x in found], np.int64)
-        first, total = len(self.known), int(sizes.sum())
+        total = int(sizes.sum())
         while len(self.ids) < self.n_ids + total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.begin) < first + len(keys):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
         self.ids[self.n_ids : self.n_ids + total] = np.concatenate(found)
-        self.begin[first : first + len(keys)] = self.n_ids + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.size[first : first + len(keys)] = sizes
+        all_keys = np.concatenate([self.keys, keys])
+        all_entries = np.concatenate([self.entry, len(self.begin) + np.arange(len(keys))])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys, self.entry = all_keys[order], all_entries[order]
+        self.begin = np.concatenate([self.begin, self.n_ids + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
         self.n_ids += total
-        self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """Which sorted keys are in the table."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
+    def _encode_whole(self, piece: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
+        raw = piece.data.tobytes()
+        texts = [raw[a:z].decode() for a, z in zip(piece.offsets[:-1], piece.offsets[1:], strict=True)]
+        made = [[*e.ids, self.end_id] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array([i for x in made for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int64)
 
     def encode(self, piece: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, each text closed by the end mark, and where each text's ids begin."""
+        if not self.by_units:
+            return self._encode_whole(piece)
         folded, starts, ends, whole, first = self._units(piece)
-        keys = tk.span_hash(tk.prefix_hash(folded), starts, ends) ^ whole.astype(np.uint64)
+        keys = tk.span_hash(tk.prefix_hash(folded), starts, ends)
+        if whole.any():  # added tokens are told apart before case is folded
+            keys[whole] = tk.span_hash(tk.prefix_hash(piece.data), starts[whole], ends[whole]) ^ np.uint64(1)
         distinct, at, which = np.unique(keys, return_index=True, return_inverse=True)
-        listed = distinct.tolist()
-        if len(self.known) + len(listed) > TABLE_ENTRIES:
-            new = [k for k, x in enumerate(listed) if x not in self.known]
-            if len(self.known) + len(new) > TABLE_ENTRIES:
-                self._forget()
-        new = [k for k, x in enumerate(listed) if x not in self.known]
-        if new:
+        new = np.flatnonzero(~self._known(distinct))
+        if len(self.keys) + len(new) > TABLE_ENTRIES:
+            self._forget()
+            new = np.arange(len(distinct))
+        if len(new):
             raw = piece.data.tobytes()
             some = at[new]
             texts = [raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
-            self._learn([listed[k] for k in new], texts, whole[some].tolist())
-        entry = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))
+            self._learn(distinct[new], texts, whole[some].tolist())
+        entry = self.entry[np.searchsorted(self.keys, distinct)]
         # the end mark stands behind each text's units
-        order = np.insert(which, first[1:], len(listed))
+        order = np.insert(which, first[1:], len(distinct))
         begin, size = np.append(self.begin[entry], 0), np.append(self.size[entry], 1)
         take = size[order]
         out_at = np.concatenate([[0], np.cumsum(take)])
