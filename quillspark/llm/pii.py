@@ -1,9 +1,11 @@
 """Personal data: fixed patterns as seeds, and contextual patterns bootstrapped from them.
 
 1. One pass finds e-mail addresses, IP addresses, card and phone numbers (the
-   seeds), every other token with a digit or ``@`` and every run of digit groups
+   seeds), keys and tokens by their form (seeds of a fifth kind, ``secret``), every
+   other token that has a digit or ``@`` or is long, and every run of digit groups
    with single spaces between them (candidates). Each occurrence has lexical
-   patterns: the two words before it, and the words on both sides.
+   patterns: the two words before it, the words on both sides, and the word before
+   it with all that stands in between, such as ``token = "``.
 2. Spark scores the graph of patterns and instances in rounds. A round's patterns
    have at least ``MIN_SUPPORT`` distinct instances of a kind, seeds or candidates
    that the round before gave ``MIN_TRUST``. For those that are new, a pass over the
@@ -12,14 +14,16 @@
    score of its instances over its occurrences; a candidate's score is one minus the
    product of its patterns' doubts.
 3. There are at least ``ROUNDS`` rounds, and more while they add patterns or instances.
-4. Patterns over ``MIN_TRUST`` give their kind to the candidates in them that reach it.
-   Of these, one that lies within another one's span is left out.
+4. Patterns over ``MIN_TRUST`` give their kind to the candidates in them that reach it,
+   and confirm the secrets in them; by its form alone no secret is reported. Of these
+   spans, one that lies within another one is left out.
 
-Seeds always stay. Matching is linear in the text's length.
+Seeds of the first four kinds always stay. Matching is linear in the text's length.
 
 Defined results: a null text is empty and has no spans; repeated rows get the same
-spans; a candidate trusted for several kinds gets the best, then the first listed;
-an empty table gives an empty result; other columns are ignored.
+spans, and each counts; a candidate trusted for several kinds gets the best, then the
+first listed; a very long text is scanned whole, as one row; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from . import textkit as tk
 from .common import arrow_schema, batch, written
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
+ALL_KINDS = (*KINDS, "secret")
 ROUNDS = 3
 MIN_TRUST = 0.6
 MIN_SUPPORT = 3
@@ -49,7 +55,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IDENTIFIER = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+#: Tokens of this length are candidates whatever they hold.
+LONG_TOKEN = 20
+_IDENTIFIER = re.compile(rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+(?:[0-9@][^\x20\x09-\x0D]*+|(?<=[^\x20\x09-\x0D]{{{LONG_TOKEN}}}))")
+_SECRET = re.compile(r"(?=(?:[A-Za-z_+/=-]*+[0-9]){6})(?=(?:[0-9_+/=-]*+[A-Za-z]){6})[A-Za-z0-9_+/=-]{24,}+")
 _GROUP = re.compile(r"[0-9().+-]*+")
 _TRIM = "\"'`.,;:!?()[]{}<>*#$%&|="
 
@@ -97,14 +106,15 @@ def _hash(*parts: str) -> int:
 
 
 def _pattern(side: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hash of a lexical pattern: 0 for the two words before a slot, 1 for the words on both sides."""
+    """Hash of a lexical pattern: 0 the two words before a slot, 1 those on both sides, 2 the word before and the gap."""
     return tk.mix(first * tk.ORDER_VALUE[2 * side] + second * tk.ORDER_VALUE[2 * side + 1]).view(np.int64)
 
 
-def _context_words(piece: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the context words of a slice begin, each text's first word, and their hashes (A-Z folded)."""
+def _context_words(piece: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the context words of a slice begin, each text's first word, their hashes (A-Z folded), and those of the gaps behind them."""
     starts, ends, first = tk.spans(piece, tk.IS_PUNCTUATION)
-    return starts, first, tk.span_hash(tk.prefix_hash(piece.data, tk.BYTE_VALUE_LOWER), starts, ends)
+    prefix = tk.prefix_hash(piece.data, tk.BYTE_VALUE_LOWER)
+    return starts, first, tk.span_hash(prefix, starts, ends), tk.span_hash(prefix, ends[:-1], starts[1:])
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
@@ -114,7 +124,7 @@ _SCANNED_ARROW = pa.schema([*arrow_schema("doc_id long,text_hash long,n_email lo
 
 
 def _written_out(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
 def _scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
@@ -145,14 +155,16 @@ def _scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
             if run and not (text[run[-1] : s] in (" ", ") ", " (", ") (")):
                 close()
             run += (s, s + len(token))
-        if len(token) >= 4:
+        if _SECRET.fullmatch(token):
+            occurrences.append({"start": s, "end": s + len(token), "kind": SECRET, "instance": _hash(ALL_KINDS[SECRET], token.lower())})
+        elif len(token) >= 4:
             occurrences.append({"start": s, "end": s + len(token), "kind": -1, "instance": _hash("", token.lower())})
     close()
     return base, occurrences
 
 
-def _add_patterns(occurrences: list[dict], text: str, starts: np.ndarray, words: np.ndarray) -> None:
-    """Give each occurrence its patterns; ``starts`` are byte offsets of the text's context words."""
+def _add_patterns(occurrences: list[dict], text: str, starts: np.ndarray, words: np.ndarray, gaps: np.ndarray) -> None:
+    """Give each occurrence its patterns; ``starts`` are byte offsets of the text's context words, ``gaps`` stand behind them."""
     marks = sorted({o[x] for o in occurrences for x in ("start", "end")})
     at, done, to_byte = 0, 0, {}
     for mark in marks:
@@ -167,6 +179,8 @@ def _add_patterns(occurrences: list[dict], text: str, starts: np.ndarray, words:
             o["patterns"].append(int(_pattern(0, words[left - 2 : left - 1], words[left - 1 : left])[0]))
         if left >= 1 and right < len(words):
             o["patterns"].append(int(_pattern(1, words[left - 1 : left], words[right : right + 1])[0]))
+        if 1 <= left < len(words):
+            o["patterns"].append(int(_pattern(2, words[left - 1 : left], gaps[left - 1 : left])[0]))
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,14 +189,14 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece in tk.slices(b.column(1)):
-                starts, first, words = _context_words(piece)
+                starts, first, words, gaps = _context_words(piece)
                 rows: list[list] = [[] for _ in _SCANNED_ARROW]
                 size = piece.last - piece.first
                 for r, (doc, text) in enumerate(zip(b.column(0).slice(piece.first, size).to_pylist(), b.column(1).slice(piece.first, size).to_pylist(), strict=True)):
                     text = text or ""
                     base, occurrences = _scan_text(text)
                     if occurrences:
-                        _add_patterns(occurrences, text, starts[first[r] : first[r + 1]] - piece.offsets[r], words[first[r] : first[r + 1]])
+                        _add_patterns(occurrences, text, starts[first[r] : first[r + 1]] - piece.offsets[r], words[first[r] : first[r + 1]], gaps[first[r] : first[r + 1]])
                     by_kind = [sum(k == x for _, k, _ in base) for x in range(len(KINDS))]
                     digest = hashlib.sha256(_written_out(base).encode()).hexdigest()
                     row = [doc, _hash(text), *by_kind, digest, [{"start": s, "kind": k, "end": e} for s, k, e in base], occurrences]
@@ -207,11 +221,11 @@ def pattern_counts(docs: DataFrame, patterns: DataFrame, text_col: str = "text")
             total = np.zeros(len(known), np.int64)
             for b in batches:
                 for piece in tk.slices(b.column(0)):
-                    _, first, words = _context_words(piece)
+                    _, first, words, gaps = _context_words(piece)
                     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                    for side, gap in ((0, 1), (1, 2)):
-                        if len(known) and len(words) > gap:
-                            seen = _pattern(side, words[:-gap], words[gap:])[row[:-gap] == row[gap:]]
+                    for side, step, second in ((0, 1, words[1:]), (1, 2, words[2:]), (2, 1, gaps)):
+                        if len(known) and len(words) > step:
+                            seen = _pattern(side, words[:-step], second)[row[:-step] == row[step:]]
                             at = np.minimum(np.searchsorted(known, seen), len(known) - 1)
                             total += np.bincount(at[known[at] == seen], minlength=len(known))
             yield batch("pattern long,total long", known[total > 0], total[total > 0])
@@ -260,12 +274,14 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     trust, scores = trusted(graph, lambda patterns: pattern_counts(docs, patterns, text_col))
     good = trust.where(F.col("trust") >= MIN_TRUST)
     sure = scores.where(F.col("score") >= MIN_TRUST)
-    new = occurrences.where("kind < 0").drop("kind").join(good, "pattern").join(sure, ["instance", "kind"])
+    found_here = occurrences.where("kind < 0").drop("kind").join(good, "pattern").join(sure, ["instance", "kind"])
+    confirmed = occurrences.where(F.col("kind") == SECRET).join(good, ["pattern", "kind"]).withColumn("score", F.lit(1.0))
+    new = found_here.unionByName(confirmed)
     best = new.groupBy("doc_id", "text_hash", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
     before = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     outer = best.withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("end") > F.col("reach")))
     added = outer.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     joined = found.drop("occurrences").withColumnsRenamed({"doc_id": "d", "text_hash": "h"}).join(added, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:long,kind:int,end:long>>"))))
-    named = F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"], x["end"]))
-    return joined.select(F.col("d").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(named, ",").alias("spans"), F.size(F.coalesce("added", F.array())).cast("long").alias("n_added"))
+    named = F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, ALL_KINDS)), x["kind"] + 1), x["start"], x["end"]))
+    return joined.select(F.col("d").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(named, ",").alias("spans"), F.size(F.coalesce("added", F.array())).cast("long").alias("n_added"), F.size(spans).cast("long").alias("n_spans"))
