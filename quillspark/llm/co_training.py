@@ -1,25 +1,29 @@
 """Quality classifier by co-training of two views.
 
 The text view sees hashed byte n-grams, the metadata view sees length, language and
-source. Both are logistic models fitted on a bounded sample of labelled documents;
-in each round a view hands its most confident pseudo-labels of a bounded pool of
-unlabelled documents to the other view. Each view is then calibrated on labelled
-documents set aside, and the two are combined as independent evidence:
-logit(text) + logit(metadata) - logit(prior). Every document is scored.
+source. Both are logistic models fitted on a bounded sample of labelled documents.
+In each round both views score all documents that have no label, and each hands its
+most confident pseudo-labels, ``HANDED`` of each class at most, to the other view.
+Each view is then calibrated on labelled documents set aside, and the two are combined
+as independent evidence: logit(text) + logit(metadata) - logit(prior). Every document
+is scored.
 
-``LABELLED_LIMIT`` and ``POOL_LIMIT`` bound the samples (the ids with the smallest
-hashes); all documents are scored whole.
+``LABELLED_LIMIT`` bounds the labelled sample (the ids with the smallest hashes). A task
+sends on ids and scores of its most confident documents only; the features of those
+that are handed over, and of the labelled sample, are what reaches the driver.
 
 Defined results: null or empty texts have no n-grams and are scored by their metadata;
 null metadata is a value of its own; of contradictory labels for an id the lower one
 counts; without labels of both kinds every score is the prior (1 without any label);
-repeated rows are each scored; an empty table gives an empty result.
+repeated rows are each scored, and one of them is learned from; equally confident
+documents are handed over in the order of ids; a very long text is one row of one task;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import batch
+from .common import batch, settled
 from .quality_rules import buckets
 
 TEXT_BITS = 9
 META_SIZE = 128
 LABELLED_LIMIT = 6_000
-POOL_LIMIT = 6_000
 ROUNDS = 4
 #: Pseudo-labels that a view hands over in a round, of each class at most, and the confidence they need.
 HANDED, CONFIDENT = 150, 0.95
@@ -101,42 +104,49 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - logit(self.prior))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``y``: 1, 0, or -1 for documents of the pool. A fifth of each label is set aside for calibration."""
-    labelled = np.flatnonzero(y >= 0)
-    prior = float(y[labelled].mean()) if len(labelled) else 1.0
+Handed = dict[int, tuple[int, np.ndarray, np.ndarray]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[list[np.ndarray], list[set[int]]], list[Handed]], rounds: int = ROUNDS) -> Model:
+    """``text``, ``meta``, ``y``: labelled documents, of which a fifth of each label is set aside for calibration.
+
+    ``pool(weights, taken)`` scores the unlabelled documents with both views and gives what each view hands to the
+    other: (label, text features, metadata features) by id; ids in ``taken`` were handed to that view before.
+    """
+    prior = float(y.mean()) if len(y) else 1.0
     aside = np.sort(np.concatenate([np.flatnonzero(y == k)[::5] for k in (0, 1)]))
-    core = np.setdiff1d(labelled, aside)
+    core = np.setdiff1d(np.arange(len(y)), aside)
     if len(set(y[core].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
         return Model(np.zeros(text.shape[1] + 1), np.zeros(meta.shape[1] + 1), (0.0, logit(prior)), (0.0, logit(prior)), prior)
-    views = [text, meta]
-    given: list[dict[int, int]] = [{}, {}]
+    given: list[Handed] = [{}, {}]
     models: list[np.ndarray] = []
     for step in range(rounds + 1):
         models = []
-        for view, extra in zip(views, given, strict=True):
-            rows = np.array([*core, *extra], np.int64)
-            models.append(fit(view[rows], np.array([*y[core], *extra.values()], float)))
+        for k, own in enumerate((text, meta)):
+            x = np.vstack([own[core], *(v[1 + k][None, :] for v in given[k].values())])
+            models.append(fit(x, np.array([*y[core], *(v[0] for v in given[k].values())], float)))
         if step == rounds:
             break
-        for k in range(2):
-            other = given[1 - k]
-            pool = np.array([r for r in np.flatnonzero(y < 0) if r not in other], np.int64)
-            p = sigmoid(linear(views[k][pool], models[k])) if len(pool) else np.zeros(0)
-            order = np.argsort(p, kind="stable")
-            for r in order[: HANDED]:
-                if p[r] <= 1 - CONFIDENT:
-                    other[int(pool[r])] = 0
-            for r in order[::-1][: HANDED]:
-                if p[r] >= CONFIDENT:
-                    other[int(pool[r])] = 1
+        offers = pool(models, [set(given[1]), set(given[0])])
+        if not any(offers):
+            break
+        given[1] |= offers[0]
+        given[0] |= offers[1]
     scales = []
-    for view, w in zip(views, models, strict=True):
+    for view, w in zip((text, meta), models, strict=True):
         s = fit(linear(view[aside], w)[:, None], y[aside].astype(float), penalty=1e-3)
-        scales.append((max(float(s[0]), 0.0), float(s[1])))
+        # a view that ranks the wrong way round says nothing: its best constant is the share of good ones
+        scales.append((float(s[0]), float(s[1])) if s[0] > 0 else (0.0, logit(float(y[aside].mean()))))
     return Model(models[0], models[1], scales[0], scales[1], prior)
 
 
+def confident(p: np.ndarray, ids: np.ndarray, free: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each label the rows that are free and sure of it, the surest ``HANDED`` of them."""
+    for label, score in ((0, p), (1, 1 - p)):
+        rows = np.flatnonzero(free & (score <= 1 - CONFIDENT))
+        yield label, rows[np.lexsort((ids[rows], score[rows]))[:HANDED]]
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("n_chars").cast("long").alias("n_chars"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
 
@@ -147,14 +157,8 @@ def _views(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.n
         yield part, text_features(piece), meta_features(*(part.column(c).to_pylist() for c in (2, 3, 4)))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the labelled sample and the pool; what reaches the driver is bounded by their limits."""
-    order = F.xxhash64(F.lit(6), "doc_id"), F.col("doc_id")
-    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
-    truth = {r[0]: int(r[1]) for r in marked.orderBy(*order).limit(LABELLED_LIMIT).collect()}
-    own = _prepared(docs)
-    pool = [r[0] for r in own.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(*order).limit(POOL_LIMIT).collect()]
-    wanted = pa.array(sorted({*truth, *pool}), pa.int64())
+def _features(own: DataFrame, wanted: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Both views' features of a bounded set of ids; of an id's rows one counts, chosen before anything is collected."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,11 +166,49 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
             for part, text, meta in _views(b):
                 yield batch("doc_id long,text binary,meta binary", part.column(0), [x.tobytes() for x in text], [x.tobytes() for x in meta])
 
-    rows = own.mapInArrow(gather, "doc_id long, text binary, meta binary").toArrow().sort_by("doc_id")
-    ids = rows.column(0).to_pylist()
-    text = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float32).reshape(len(ids), -1 if ids else 1 << TEXT_BITS)
-    meta = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.float32).reshape(len(ids), -1 if ids else META_SIZE)
-    return co_train(text, meta, np.array([truth.get(i, -1) for i in ids], np.int64))
+    rows = own.mapInArrow(gather, "doc_id long, text binary, meta binary").groupBy("doc_id").agg(F.min(F.struct("text", "meta")).alias("x")).select("doc_id", "x.text", "x.meta").toArrow()
+    return {d: (np.frombuffer(t, np.float32), np.frombuffer(m, np.float32)) for d, t, m in zip(*(c.to_pylist() for c in rows.columns), strict=True)}
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on the labelled sample, and in each round on what all other documents hand over."""
+    spark = docs.sparkSession
+    order = F.xxhash64(F.lit(6), "doc_id"), F.col("doc_id")
+    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
+    truth = {r[0]: int(r[1]) for r in marked.orderBy(*order).limit(LABELLED_LIMIT).collect()}
+    own = _prepared(docs)
+    known = _features(own, pa.array(sorted(truth), pa.int64()))
+    ids = sorted(known)
+
+    def pool(weights: list[np.ndarray], taken: list[set[int]]) -> list[Handed]:
+        sent = spark.sparkContext.broadcast((weights, [pa.array(sorted(x | set(truth)), pa.int64()) for x in taken]))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models, closed = sent.value
+            best: list[list[np.ndarray]] = [[np.zeros(0, np.int64), np.zeros(0)] for _ in range(4)]
+            for b in batches:
+                b = b.filter(pc.is_valid(b.column(0)))
+                for part, *views in _views(b):
+                    names = part.column(0).to_numpy()
+                    for k in range(2):
+                        p = sigmoid(linear(views[k], models[k]))
+                        free = ~pc.is_in(part.column(0), closed[k]).to_numpy(zero_copy_only=False)
+                        for label, rows in confident(p, names, free):
+                            at, sure = best[2 * k + label]
+                            at, sure = np.concatenate([at, names[rows]]), np.concatenate([sure, (1 - p if label else p)[rows]])
+                            top = np.lexsort((at, sure))[:HANDED]
+                            best[2 * k + label] = [at[top], sure[top]]
+            for slot, (at, sure) in enumerate(best):
+                yield batch("slot int,doc_id long,p double", np.full(len(at), slot), at, sure)
+
+        found = settled(lambda: own.mapInArrow(score, "slot int, doc_id long, p double").groupBy("slot", "doc_id").agg(F.min("p").alias("p")))
+        chosen = [[r[0] for r in found.where(F.col("slot") == k).orderBy("p", "doc_id").limit(HANDED).select("doc_id").collect()] for k in range(4)]
+        made = _features(own, pa.array(sorted({i for c in chosen for i in c}), pa.int64()))
+        return [{i: (label, *made[i]) for label in (0, 1) for i in chosen[2 * k + label]} for k in range(2)]
+
+    empty = [np.zeros((0, 1 << TEXT_BITS), np.float32), np.zeros((0, META_SIZE), np.float32)]
+    text, meta = (np.stack([known[i][k] for i in ids]) if ids else empty[k] for k in range(2))
+    return co_train(text, meta, np.array([truth[i] for i in ids], np.int64), pool)
 
 
 def report(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
