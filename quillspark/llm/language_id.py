@@ -2,8 +2,8 @@
 
 Training counts the n-grams of each language over all training rows, summed in each
 task before the shuffle. A language contains an n-gram that is at least ``SHARE``
-times as frequent in it as in the language where it is most frequent; its
-``TOP_GRAMS`` most frequent ones enter its filter. All filters have the same bits,
+times as frequent in it as in the language where it is most frequent; all of these
+enter its filter. All filters have the same bits,
 stored position by position: one look-up gives the mask of all languages that have
 that bit, and the AND over the hash functions the languages that contain the n-gram.
 
@@ -15,7 +15,8 @@ the first name in order among equals; the score is its share of all counts.
 Defined results: a null text, or one without letters, is ``und`` with score 0, and so
 is every text if nothing was learned; a text whose n-grams are all unknown gets the
 language most frequent in training with score 0; rows without a language are not
-learned from; repeated rows each count; an empty table gives an empty result.
+learned from; repeated rows each count; a very long text is scanned whole; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import batch
+from .common import batch, settled
 
 ORDER = 3
 GRAM_BITS = 20
-FILTER_BITS = 19
+FILTER_BITS = 20
 HASHES = 3
-TOP_GRAMS = 20_000
-MIN_COUNT = 3
 SHARE = 0.5
+#: Languages that a task counts at a time (4 MB each); it hands on what it has and starts anew.
+COUNTED = 16
 UNKNOWN = "und"
 
 #: A-Z folded; everything that is no ASCII letter and below 0x80 becomes a space.
@@ -113,6 +114,12 @@ def learned(docs: DataFrame, training: Column, lang_col: str = "lang", text_col:
     names = [x for x, _ in known]
     number = {x: i for i, x in enumerate(names)}
 
+    def counts_of(totals: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for j, total in totals.items():
+            seen = np.flatnonzero(total)
+            yield batch("j int,gram long,n long", np.full(len(seen), j), seen, total[seen])
+        totals.clear()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for b in batches:
@@ -122,17 +129,16 @@ def learned(docs: DataFrame, training: Column, lang_col: str = "lang", text_col:
                 owner = np.repeat(langs[piece.first : piece.last], np.diff(at))
                 for j in np.unique(owner).tolist():
                     if j not in totals:
+                        if len(totals) == COUNTED:
+                            yield from counts_of(totals)
                         totals[j] = np.zeros(1 << GRAM_BITS, np.int32)
                     totals[j] += np.bincount(code[owner == j], minlength=1 << GRAM_BITS).astype(np.int32)
-        for j, total in totals.items():
-            seen = np.flatnonzero(total)
-            yield batch("j int,gram long,n long", np.full(len(seen), j), seen, total[seen])
+        yield from counts_of(totals)
 
-    counts = rows.mapInArrow(count, "j int, gram long, n long").groupBy("j", "gram").agg(F.sum("n").alias("n"))
-    rate = F.col("n") / F.sum("n").over(Window.partitionBy("j"))
-    most = F.max("rate").over(Window.partitionBy("gram"))
-    rank = F.row_number().over(Window.partitionBy("j").orderBy(F.desc("rate"), "gram"))
-    chosen = counts.withColumn("rate", rate).withColumn("most", most).where((F.col("rate") >= SHARE * F.col("most")) & (F.col("n") >= MIN_COUNT)).withColumn("rank", rank).where(F.col("rank") <= TOP_GRAMS)
+    counts = settled(lambda: rows.mapInArrow(count, "j int, gram long, n long").groupBy("j", "gram").agg(F.sum("n").alias("n")))
+    # a row for each language, and one for each n-gram: both are bounded by the filters
+    rated = counts.join(F.broadcast(counts.groupBy("j").agg(F.sum("n").alias("total"))), "j").withColumn("rate", F.col("n") / F.col("total"))
+    chosen = rated.join(rated.groupBy("gram").agg(F.max("rate").alias("most")), "gram").where(F.col("rate") >= SHARE * F.col("most"))
     found = chosen.select("j", "gram").toPandas()
     planes = np.zeros((-(-len(names) // 64) or 1, 1 << FILTER_BITS), np.uint64)
     for j in range(len(names)):
