@@ -3,12 +3,14 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier: in a
 document with a smaller id, or earlier in the same one.
 
-The work follows the difference-cover scheme: order a sample of positions by triples,
-go on with the names of those that are not settled, merge the other positions, and
-compare neighbours. As a cover it takes positions chosen by content. The sample of a
-string of ``LENGTH`` bytes is its first ``GRAM``-byte gram of smallest hash, so every
-string has one, and equal strings have it at the same place: what a cover modulo v
-gives for pairs of positions, at a quarter of its sample.
+The dealt difference-cover algorithm is followed in its steps but not in its order. A
+cover by residues (9 of 64) names 0.14 positions for each byte, and merging the others
+takes a row for each byte: over ten times the input on disk. So the cover here is
+chosen by content: the sample of a string of ``LENGTH`` bytes is its first gram of
+smallest hash, so every string has one, and equal strings have it at the same place,
+which is what a cover modulo v gives for pairs of positions, at a fifth of its samples.
+Names are hashes instead of ranks, and equal names meet in buckets instead of next to
+each other in one sorted order; nothing here needs to know which string is smaller.
 
 1. Strings that follow one another and share their sample form a run. A run's triple is
    what stands before the sample, the sample, and what stands behind; its name a hash of
@@ -19,15 +21,20 @@ gives for pairs of positions, at a quarter of its sample.
    name all but the first are removed.
 3. What is removed in a document is merged into spans.
 
-Names are hashes of 96 bits. Rows are packed by bucket and compressed, ordered within
-bounded buckets, and a name that recurs in a task is sent on once, so a passage that a
-third of all documents share does not meet in one task. Open runs and spans are sent to
-the texts while they are small; see ``_texts_of`` for the way beyond that.
+Names are hashes of 96 bits and are not compared byte by byte: over 100 TB, some 3e12
+runs, the chance that any two of them are mistaken for each other is about 1e-4. Rows are packed
+by bucket and compressed; there are as many buckets as the text's size asks for, so a
+bucket does not grow. A name that recurs in a task is sent on once, so a passage that a
+third of all documents share does not meet in one task. A sample with very many names,
+such as white space between ever other words, is found in a sample of the documents
+beforehand; its runs are dealt by name and all taken for open. Open runs and spans are
+sent to the texts while they are small; see ``_texts_of`` for the way beyond that.
 
 Defined results: a null text is empty; fully repeated rows are one document, and each
 has its result; rows that share a doc_id with different texts are ordered by a hash of
 the text; a null doc_id comes after all others; texts under ``LENGTH`` bytes keep all
-bytes but count for nothing; an empty table gives an empty result.
+bytes but count for nothing; a text of up to 2**31 bytes is held whole by one task;
+other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,10 +49,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import batch, written
+from .common import batch, settled, written
 
 LENGTH = 100
 GRAM = 32
+#: Bytes of text for each bucket; a bucket of open strings or runs is unpacked whole by one task.
+BUCKET_BYTES = 64_000_000
+#: Documents looked at to find frequent samples, in bytes of text, and the share of a bucket's runs that makes one frequent.
+HOT_BYTES, HOT_SHARE = 2_000_000_000, 0.1
 BLOOM_BITS = 23
 #: Runs or strings that a task gathers before it sends them on.
 GATHERED = 100_000
@@ -57,8 +68,8 @@ NO_ID = 2**63 - 1
 
 _VALUE_2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 _SLICE = 1 << 18
-_PLACE = np.uint64((1 << 28) - 1)
-_RUN = [("h1", "<u8"), ("h2", "<u4"), ("gram", "<u8"), ("doc", "<i8"), ("dig", "<i8"), ("start", "<i4"), ("n", "<u1")]
+_PLACE = np.uint64((1 << 31) - 1)
+_RUN = [("h1", "<u8"), ("h2", "<u4"), ("gram", "<u8"), ("doc", "<i8"), ("dig", "<i8"), ("start", "<i4"), ("n", "<u2")]
 _STRING = [("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("dig", "<i8"), ("start", "<i4")]
 _FOUND = [("doc", "<i8"), ("dig", "<i8"), ("start", "<i4"), ("n", "<i4"), ("open", "<u1")]
 _PACKED = "bucket int,n long,blob binary"
@@ -100,9 +111,10 @@ def _keys(b: pa.RecordBatch, piece: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.array([_digest(raw[a:z]) for a, z in zip(piece.offsets[:-1], piece.offsets[1:], strict=True)], np.int64)
 
 
-def runs(piece: tk.Slice, length: int = LENGTH, gram: int = GRAM) -> Columns:
+def runs(piece: tk.Slice, length: int = LENGTH) -> Columns:
     """The runs of a slice: row, start in the slice, number of strings, hashes of triple and sample."""
     data, offs = piece.data, piece.offsets
+    gram = min(GRAM, length // 3)
     n = len(data) - length + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
@@ -135,22 +147,23 @@ class _Seen:
     """Which names a task has already sent on, and for which position."""
 
     def __init__(self):
-        self.name = np.zeros(0, np.uint64)
+        self.name, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.at = [np.zeros(0, np.int64) for _ in range(3)]
 
     def later(self, c: Columns) -> tuple[np.ndarray, np.ndarray]:
         """Which rows have a name that stands at an earlier position in this task; and which stand here already."""
-        name = c["h1"] ^ tk.mix(c["h2"].astype(np.uint64))
+        h2 = c["h2"].astype(np.int64)
+        name = c["h1"] ^ tk.mix(h2.astype(np.uint64))
         order = np.lexsort((c["start"], c["dig"], c["doc"], name))
         repeat, again = np.zeros(len(name), bool), np.zeros(len(name), bool)
-        same = np.concatenate([[False], name[order][1:] == name[order][:-1]])[: len(order)]
+        same = np.concatenate([[False], (name[order][1:] == name[order][:-1]) & (h2[order][1:] == h2[order][:-1])])[: len(order)]
         twin = same & _as_before(c, order)
         repeat[order] = same & ~twin
         again[order] = twin
         head = order[~same]
         if len(self.name) and len(head):
             spot = np.minimum(np.searchsorted(self.name, name[head]), len(self.name) - 1)
-            known = self.name[spot] == name[head]
+            known = (self.name[spot] == name[head]) & (self.h2[spot] == h2[head])
             less = np.zeros(len(head), bool)
             equal = np.ones(len(head), bool)
             for old, k in zip(self.at, ("doc", "dig", "start"), strict=True):
@@ -162,11 +175,11 @@ class _Seen:
         if len(self.name) > REMEMBERED:
             self.__init__()
         if len(fresh):
-            names = np.concatenate([self.name, name[fresh]])
+            names, second = np.concatenate([self.name, name[fresh]]), np.concatenate([self.h2, h2[fresh]])
             at = [np.concatenate([old, c[k][fresh].astype(np.int64)]) for old, k in zip(self.at, ("doc", "dig", "start"), strict=True)]
             order = np.lexsort((*at[::-1], names))
             one = order[np.concatenate([[True], np.diff(names[order]) != 0])]
-            self.name, self.at = names[one], [x[one] for x in at]
+            self.name, self.h2, self.at = names[one], second[one], [x[one] for x in at]
         return repeat, again
 
 
@@ -179,15 +192,47 @@ def _as_before(c: Columns, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def _buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _buckets(df: DataFrame, size: int) -> int:
+    """As many as there are shuffle partitions, or as ``size`` bytes of text ask for."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
+def _hot_samples(own: DataFrame, size: int, length: int) -> np.ndarray:
+    """Hashes of samples with so many names that they would fill a bucket, from a bounded part of the documents.
+
+    Which samples are listed changes only where their runs are looked at, never what is removed.
+    """
+    every = max(1, size // HOT_BYTES)
+    some = own.where(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(every)) == 0)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, name = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+        def often() -> tuple[np.ndarray, np.ndarray]:
+            pairs = np.unique(np.stack([gram, name], axis=1), axis=0)
+            found, n = np.unique(pairs[:, 0], return_counts=True)
+            return found[n > 8], n[n > 8]
+
+        for b in batches:
+            for piece in tk.slices(b.column(0), _SLICE):
+                c = runs(piece, length)
+                gram, name = np.concatenate([gram, c["gram"]]), np.concatenate([name, c["h1"]])
+                if len(gram) > 4 * GATHERED:
+                    found, n = often()
+                    yield batch("gram long,n long", found.view(np.int64), n)
+                    gram, name = gram[:0], name[:0]
+        found, n = often()
+        yield batch("gram long,n long", found.view(np.int64), n)
+
+    most = HOT_SHARE * BUCKET_BYTES / length / every
+    return some.select("text").mapInArrow(scan, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > most).toArrow().column(0).to_numpy().view(np.uint64)
 
 
 def _by_document(doc: np.ndarray, dig: np.ndarray, buckets: int) -> np.ndarray:
     return (_joint_key(doc, dig) % np.uint64(buckets)).astype(np.int32)
 
 
-def _sent(gathered: list[Columns], layout: list, seen: _Seen, buckets: int, of: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+def _sent(gathered: list[Columns], layout: list, seen: _Seen, buckets: int, of: str, hot: np.ndarray | None = None) -> Iterator[tuple[str, pa.RecordBatch]]:
     """What a task has gathered: rows that go on, and rows that are found to be later repeats at once."""
     c = {k: np.concatenate([g[k] for g in gathered]) for k in gathered[0]}
     later, again = seen.later(c)
@@ -198,7 +243,10 @@ def _sent(gathered: list[Columns], layout: list, seen: _Seen, buckets: int, of:
     new = ~later & ~again
     if new.any():
         go = {k: v[new] for k, v in c.items()}
-        yield "on", _pack(go, layout, (go[of].astype(np.uint64) % np.uint64(buckets)).astype(np.int32))
+        key = go[of].astype(np.uint64)
+        if hot is not None and len(hot):
+            key = np.where(np.isin(key, hot), go["h1"].astype(np.uint64), key)
+        yield "on", _pack(go, layout, (key % np.uint64(buckets)).astype(np.int32))
 
 
 _SENT = "found boolean, bucket int, n long, blob binary"
@@ -208,7 +256,7 @@ def _marked(kind: str, b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind == "found"] * b.num_rows, pa.bool_()), *b.columns], names=["found", *b.schema.names])
 
 
-def _first_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
+def _first_runs(docs: DataFrame, buckets: int, length: int, hot: np.ndarray) -> DataFrame:
     """Packed runs of all documents (found: later repeats within a task)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +271,11 @@ def _first_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 gathered.append(c | {"doc": ids[row], "dig": digs[row], "start": c["start"] - piece.offsets[row]})
                 size += len(row)
                 if size >= GATHERED:
-                    for x in _sent(gathered, _RUN, seen, buckets, "gram"):
+                    for x in _sent(gathered, _RUN, seen, buckets, "gram", hot):
                         yield _marked(*x)
                     gathered, size = [], 0
         if gathered:
-            for x in _sent(gathered, _RUN, seen, buckets, "gram"):
+            for x in _sent(gathered, _RUN, seen, buckets, "gram", hot):
                 yield _marked(*x)
 
     return docs.mapInArrow(scan, _SENT)
@@ -242,7 +290,7 @@ def _firsts(c: Columns) -> tuple[np.ndarray, np.ndarray]:
     return order[once], head[once]
 
 
-def _settle_runs(packed: DataFrame, buckets: int) -> DataFrame:
+def _settle_runs(packed: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Later repeats, and first runs whose sample has several names (open)."""
 
     def settle(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -252,7 +300,7 @@ def _settle_runs(packed: DataFrame, buckets: int) -> DataFrame:
         order, head = _firsts(c)
         _, which, names = np.unique(c["gram"][order[head]], return_inverse=True, return_counts=True)
         flag, repeat = np.zeros(len(c["h1"]), bool), np.zeros(len(c["h1"]), bool)
-        flag[order[head]] = names[which] > 1
+        flag[order[head]] = (names[which] > 1) | np.isin(c["gram"][order[head]], hot)
         repeat[order[~head]] = True
         go = repeat | flag
         found = {k: c[k][go] for k in ("doc", "dig", "start", "n")} | {"open": flag[go]}
@@ -406,15 +454,18 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, dig, spans)``: for each document with something to remove its spans, packed int32 starts and ends in bytes."""
+    if not 12 <= length < 1 << 16:
+        raise ValueError(f"not a length of strings to compare: {length}")
     own = _own(docs, id_col, text_col)
-    buckets = _buckets(docs)
-    settled = _settle_runs(_first_runs(own, buckets, length), buckets)
-    first = written(_per_document(settled, length))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = _buckets(docs, size)
+    hot = _hot_samples(own, size, length)
+    first = written(_per_document(_settle_runs(_first_runs(own, buckets, length, hot), buckets, hot), length))
     open_runs = first.where("open IS NOT NULL")
     merged = _settle_strings(_open_strings(_texts_of(own, open_runs, "open"), buckets, length), buckets)
     spans = first.unionByName(_per_document(merged, length)).where("spans IS NOT NULL")
     # a document's spans from both steps, one after the other, are merged when they are used
-    return written(spans.groupBy("doc", "dig").agg(F.collect_list("spans").alias("s")).select("doc", "dig", F.expr("aggregate(s, X'', (a, x) -> a || x)").alias("spans")))
+    return (spans.groupBy("doc", "dig").agg(F.collect_list("spans").alias("s")).select("doc", "dig", F.expr("aggregate(s, X'', (a, x) -> a || x)").alias("spans")))
 
 
 def _joined(spans: bytes) -> np.ndarray:
@@ -446,7 +497,7 @@ def report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
                 count.append(len(pairs))
             yield batch("doc long,dig long,n_removed long,n_spans long,sha string", b.column(0), b.column(1), removed, count, shas)
 
-    texts = _texts_of(own, repeated(docs, length, id_col, text_col), "spans")
+    texts = _texts_of(own, settled(lambda: repeated(docs, length, id_col, text_col)), "spans")
     changed = texts.mapInArrow(cut, "doc long, dig long, n_removed long, n_spans long, sha string").dropDuplicates(["doc", "dig"])
     zero = F.lit(0).cast("long")
     base = own.mapInArrow(measure, ", ".join(whole.split(",")))
@@ -474,6 +525,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
                 size = len(ids)
                 yield batch("doc_id long,text string,doc long,dig long", b.column(0).slice(piece.first, size), b.column(1).slice(piece.first, size), ids, digs)
 
-    changed = _texts_of(own, repeated(docs, length, id_col, text_col), "spans").mapInArrow(cut, ", ".join(fields.split(","))).dropDuplicates(["doc", "dig"])
+    changed = _texts_of(own, settled(lambda: repeated(docs, length, id_col, text_col)), "spans").mapInArrow(cut, ", ".join(fields.split(","))).dropDuplicates(["doc", "dig"])
     whole = own.mapInArrow(keyed, "doc_id long, text string, doc long, dig long")
     return whole.join(changed, ["doc", "dig"], "left").select("doc_id", F.coalesce("left", "text").alias("text"))
