@@ -21,8 +21,9 @@ to one row for each hash before the join; no conversation is gathered in one tas
 Defined results: a null text has no own text ("") and quotes nothing; rows with a
 null conv_id or turn stand for themselves (thread = turn) and are neither quoted
 nor linked; of fully repeated rows one stays; rows that share conv_id and turn are
-all kept and answered as one; an empty table gives an empty result; other columns
-are ignored.
+all kept and answered as one; a very long text is one row until it is split into its
+lines; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import settled, written
 
 MARKS = r"^(?:[ \t]*>)+"
 INTRODUCTION = r"^On .* wrote:[ \t]*$"
@@ -116,7 +117,7 @@ def threads(conversations: DataFrame) -> DataFrame:
     linked = sources(passages(messages), originals(messages))
     per_message = written(linked.groupBy("key", "conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("source"))).alias("reply_to")))
     replies = per_message.where(F.col("reply_to").isNotNull()).groupBy("conv_id", "turn").agg(F.max("reply_to").alias("reply_to"))
-    found = _threads(replies)
+    found = settled(lambda: _threads(replies))
     out = messages.join(per_message.select("key", "n_quotes", "n_linked"), "key", "left").join(replies, ["conv_id", "turn"], "left").join(found, ["conv_id", "turn"], "left")
     zero = F.lit(0).cast("long")
     formatted = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body"))

@@ -13,8 +13,10 @@ shuffle that AQE can split.
 
 Defined results: blank lines are neither counted nor dropped; a null text stays
 null and is a page without lines; rows with a null host form one host; repeated
-rows are pages of their own; a text all of whose lines go becomes empty; an empty
-table gives an empty result; other columns are passed through.
+rows are pages of their own; a text all of whose lines go becomes empty; a very long
+text is one row of one task; lines are equal byte by byte, and a line exactly at the
+ratio stays; an empty table gives an empty result; other columns are passed through,
+whatever their names. The host is a column of the table (``source`` for documents).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, settled
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -47,36 +49,38 @@ def boilerplate(pages: DataFrame, host: str, text_col: str, max_ratio: float = M
     return common.select(counts["host"].alias("host"), "line").groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def _marked(pages: DataFrame, host: str, text_col: str, max_ratio: float, min_pages: int) -> DataFrame:
-    """``pages`` with ``__bad``, the boilerplate hashes of the row's host."""
-    bad = written(boilerplate(pages, host, text_col, max_ratio, min_pages)).select(F.col("host").alias("__host"), F.col("lines").alias("__bad"))
-    size = bad.agg(F.sum(F.size("__bad"))).first()[0] or 0
+def _marked(pages: DataFrame, host: str, text_col: str, max_ratio: float, min_pages: int) -> tuple[DataFrame, str]:
+    """``pages`` with the boilerplate hashes of the row's host, and the name of their column."""
+    name, of = free_name(pages, "boilerplate"), free_name(pages, "boilerplate_host")
+    bad = settled(lambda: boilerplate(pages, host, text_col, max_ratio, min_pages)).select(F.col("host").alias(of), F.col("lines").alias(name))
+    size = bad.agg(F.sum(F.size(name))).first()[0] or 0
     small = F.broadcast(bad) if size <= SENT_LINES else bad
-    return pages.join(small, pages[host].eqNullSafe(small["__host"]), "left").drop("__host")
+    return pages.join(small, F.col(host).eqNullSafe(F.col(of)), "left").drop(of), name
 
 
-def _stays(line: Column) -> Column:
-    return F.col("__bad").isNull() | (F.trim(line) == "") | ~F.array_contains("__bad", _hash(line))
+def _stays(line: Column, bad: str) -> Column:
+    return F.col(bad).isNull() | (F.trim(line) == "") | ~F.array_contains(bad, _hash(line))
 
 
 def report(pages: DataFrame, host: str = "source", id_col: str = "doc_id", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """For every row: its lines with text, how many of them are dropped, and what is left."""
     own = pages.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.col(text_col).alias("text"))
-    marked = _marked(own, "host", "text", max_ratio, min_pages)
+    marked, bad = _marked(own, "host", "text", max_ratio, min_pages)
+    stays = lambda line: _stays(line, bad)
     lines = F.filter(F.coalesce(_lines(F.col("text")), F.array()), lambda x: F.trim(x) != "")
-    kept = F.filter(_lines(F.col("text")), _stays)
+    kept = F.filter(_lines(F.col("text")), stays)
     return marked.select(
         "doc_id",
         F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(F.filter(lines, _stays))).cast("long").alias("n_dropped"),
+        (F.size(lines) - F.size(F.filter(lines, stays))).cast("long").alias("n_dropped"),
         F.array_join(kept, "\n").alias("text"),
     )
 
 
 def without_boilerplate(pages: DataFrame, host: str = "source", text_col: str = "text", length_col: str | None = None, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with the boilerplate lines gone; ``length_col``, if given, gets the new length where a text changed."""
-    marked = _marked(pages, host, text_col, max_ratio, min_pages)
-    columns = {text_col: F.array_join(F.filter(_lines(F.col(text_col)), _stays), "\n")}
+    marked, bad = _marked(pages, host, text_col, max_ratio, min_pages)
+    columns = {text_col: F.array_join(F.filter(_lines(F.col(text_col)), lambda line: _stays(line, bad)), "\n")}
     if length_col:
         kind = pages.schema[length_col].dataType
         columns[length_col] = F.when(F.col(text_col) == columns[text_col], F.col(length_col)).otherwise(F.length(columns[text_col]).cast(kind))

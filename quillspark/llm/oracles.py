@@ -9,15 +9,15 @@ WITH page AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(tex
 line AS (SELECT r, source, unnest(lines) AS line, unnest(range(len(lines))) AS p FROM page),
 total AS (SELECT source, count(*) AS pages FROM page GROUP BY source),
 bad AS (
-  SELECT source, line
-  FROM (SELECT source, line, count(DISTINCT r) AS n FROM line WHERE trim(line) <> '' GROUP BY source, line)
-       JOIN total USING (source) WHERE n >= 5 AND n > 0.1 * pages),
+  SELECT c.source, c.line
+  FROM (SELECT source, line, count(DISTINCT r) AS n FROM line WHERE trim(line) <> '' GROUP BY source, line) c
+       JOIN total ON total.source IS NOT DISTINCT FROM c.source WHERE n >= 5 AND n > 0.1 * pages),
 judged AS (
   SELECT r, p, line.line, trim(line.line) <> '' AS has_text, bad.line IS NOT NULL AS gone
-  FROM line LEFT JOIN bad ON line.source = bad.source AND line.line = bad.line)
+  FROM line LEFT JOIN bad ON line.source IS NOT DISTINCT FROM bad.source AND line.line = bad.line)
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (has_text) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       coalesce(string_agg(judged.line, chr(10) ORDER BY p) FILTER (NOT gone), '') AS text
-FROM page JOIN judged USING (r) GROUP BY r
+       CASE WHEN any_value(lines) IS NOT NULL THEN coalesce(string_agg(judged.line, chr(10) ORDER BY p) FILTER (NOT gone), '') END AS text
+FROM page LEFT JOIN judged USING (r) GROUP BY r
 """
 
 OP4 = r"""

@@ -8,8 +8,10 @@ and keeps it if that is at least ``threshold``. Ratios are whole numbers of
 
 Defined results: a null text counts as empty and fails the base rules; repeated
 rows are judged each on its own; without any trusted document all ratios are 0
-and every document that passes the base rules is kept; an empty table gives an
-empty result; other columns are passed through or ignored, whatever their names.
+and every document that passes the base rules is kept; an id with contradictory
+labels is trusted if one of its rows is good and not toxic; a document exactly at the
+threshold is kept; a very long text is measured whole, as one row; an empty table
+gives an empty result; other columns are passed through or ignored, whatever their names.
 """
 
 from __future__ import annotations

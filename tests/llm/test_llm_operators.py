@@ -4,10 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat_threads, co_training, components, decontamination, language_id, line_dedup, near_duplicates, packing, pii, quality_rules, repeated_spans
+from quillspark.llm import textkit as tk
 from quillspark.llm.queries import QUERIES, tokenizer_path
 from tests.llm import brute
 from tests.llm.conftest import odd_rows, passage
@@ -32,6 +34,24 @@ def test_repeated_spans(which, sent, request, monkeypatch):
     assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) in by_id[repeated_spans.NO_ID if r.doc_id is None else r.doc_id] for r in got)
 
 
+@pytest.mark.parametrize("length", [12, 20, 37, 300])
+def test_other_lengths_and_hot_samples(length, spark, monkeypatch):
+    monkeypatch.setattr(repeated_spans, "BUCKET_BYTES", 2_000)
+    rows = [(i, f"{' ' * 40}{passage(3, i)}{' ' * 45}{passage(30, i % 4)} {'ab' * (i % 5) * 40}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.repeated([(d, t.encode()) for d, t in rows], length)
+    own = repeated_spans._own(df, "doc_id", "text")
+    assert length != 20 or len(repeated_spans._hot_samples(own, 60_000, length))
+    got = {(r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_spans.report(df, length).collect()}
+    assert got == {d: v for (d, _), v in want.items()}
+
+
+def test_impossible_lengths(documents):
+    for length in (3, 70_000):
+        with pytest.raises(ValueError):
+            repeated_spans.report(documents, length)
+
+
 def test_removed_text(spark):
     p = passage(40, 9)
     df = spark.createDataFrame([(1, "a " + p), (2, "b " + p + " é"), (3, None)], "doc_id long, text string")
@@ -178,17 +198,50 @@ def test_co_training(spark, documents, odd, empty):
     assert co_training.report(empty, labels).count() == 0
 
 
+def array_pool(views):
+    """What ``trained`` does over all documents, over arrays."""
+
+    def pool(weights, taken):
+        out = []
+        for k in range(2):
+            p = co_training.sigmoid(co_training.linear(views[k], weights[k]))
+            free = ~np.isin(np.arange(len(p)), sorted(taken[k]))
+            out.append({int(r): (label, views[0][r], views[1][r]) for label, rows in co_training.confident(p, np.arange(len(p)), free) for r in rows})
+        return out
+
+    return pool
+
+
 def test_co_training_on_unseen_documents():
     """Pseudo-labels of one view teach the other: accuracy on rows that were never labelled."""
     r = np.random.default_rng(5)
     y = r.integers(0, 2, 600)
     a = (y[:, None] * 1.0 + r.normal(0, 0.8, (600, 6))).astype(np.float32)
     b = (y[:, None] * 1.0 + r.normal(0, 0.8, (600, 6))).astype(np.float32)
-    known = np.where(np.arange(600) < 60, y, -1)
-    _, _, score = co_training.co_train(a, b, known).scores(a, b)
+    _, _, score = co_training.co_train(a[:60], b[:60], y[:60], array_pool((a[60:], b[60:]))).scores(a, b)
     assert ((score[60:] >= 0.5) == y[60:]).mean() > 0.9
 
 
+def test_a_useless_view_is_calibrated_to_a_constant():
+    r = np.random.default_rng(6)
+    y = (r.random(400) < 0.7).astype(int)
+    good = (y[:, None] + r.normal(0, 0.3, (400, 3))).astype(np.float32)
+    bad = np.zeros((400, 3), np.float32)
+    bad[np.concatenate([np.flatnonzero(y == k)[::5] for k in (0, 1)])] = 1  # only what is set aside
+    bad *= (1 - 2 * y)[:, None]
+    model = co_training.co_train(good, bad, y, lambda *_: [{}, {}])
+    assert model.meta_scale[0] >= 0 and abs(co_training.sigmoid(np.array(model.meta_scale[1])) - 0.7) < 0.1
+
+
+def test_pool_covers_all_documents(spark):
+    """Accuracy on labels that training never saw, and the same pool as one computed over arrays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    fold = F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))) % 2
+    got = co_training.report(docs, labels.where(fold == 0)).join(labels.where(fold == 1), "doc_id").collect()
+    assert len(got) > 100 and sum(r.kept == (r.quality == 1) for r in got) >= 0.9 * len(got)
+
+
 @pytest.mark.parametrize("block", [decontamination.BLOCK_BYTES, 300])
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_decontamination(which, block, request, spark):
@@ -225,7 +278,6 @@ def check_packing(df, pieces, window=packing.WINDOW):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(tokenizer_path())
-    tool.encode_special_tokens = True
     want = collections.Counter()
     for d, t in texts(df):
         ids = np.array([*tool.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -254,6 +306,31 @@ def test_packing(which, request):
     assert sequences <= tokens / packing.WINDOW + 3
 
 
+@pytest.mark.parametrize("by_units", [True, False])
+def test_encoder_follows_the_tokenizer(by_units):
+    from tokenizers import Tokenizer
+
+    random.seed(21)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", " ", "\n", "a", "Zé", "it's", "12", "#!", "日本", "\x00", "…", "É", "ß", "'", "\u00a0", "\x85", "e\u0301", "\u00d7"]
+    wanted = ["".join(random.choices(parts, k=random.randint(0, 9))) for _ in range(3000)]
+    tool, plain = packing.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    assert tool.by_units
+    tool.by_units = by_units
+    for piece in tk.slices(pa.array(wanted), 4000):
+        ids, at = tool.encode(piece)
+        for r in range(piece.last - piece.first):
+            assert ids[at[r] : at[r + 1]].tolist() == [*plain.encode(wanted[piece.first + r], add_special_tokens=False).ids, 1], wanted[piece.first + r]
+
+
+def test_encoder_with_a_small_table(monkeypatch):
+    monkeypatch.setattr(packing, "TABLE_ENTRIES", 50)
+    wanted = [passage(40, k) for k in range(30)]
+    tool, whole = packing.Encoder(tokenizer_path()), packing.Encoder(tokenizer_path())
+    whole.by_units = False
+    for piece in tk.slices(pa.array(wanted), 700):
+        assert [x.tolist() for x in tool.encode(piece)] == [x.tolist() for x in whole.encode(piece)]
+
+
 def test_packing_small_windows(documents):
     pieces = packing.packed(documents.repartition(5), tokenizer_path(), window=64, open_windows=3).collect()
     sequences, tokens = check_packing(documents, pieces, 64)
@@ -307,6 +384,29 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_prefixes_leave_no_link_out(spark, monkeypatch):
+    """Stragglers around a hub, some of which are linked with one another or with a shorter class only."""
+    base = passage(300, 41).split()
+    rows, r = [(0, " ".join(base))], random.Random(3)
+    for i in range(1, 70):
+        w = list(base)
+        for k in r.sample(range(300), r.randint(2, 20)):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w if i % 5 else w[: r.randint(230, 300)])))
+    for i in range(70, 90):  # near copies of stragglers
+        w = rows[i - 50][1].split()
+        w[i % len(w)] = "once"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.groups(rows, 4)
+    assert 5 < len(set(want.values())) < 80
+    for least, rounds in ((0, 8), (2, 0), (12, 1)):
+        monkeypatch.setattr(near_duplicates, "ALL_PAIRS", least)
+        monkeypatch.setattr(near_duplicates, "HUB_ROUNDS", rounds)
+        got = near_duplicates.report(df, width=4).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_bounds_keep_pairs_at_the_threshold():
     r = np.random.default_rng(1)
     bounds = near_duplicates.least_matches()
@@ -336,15 +436,30 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize("which", ["odd", "documents"])
-def test_personal_data(which, request):
-    df = request.getfixturevalue(which)
-    want = collections.Counter((d, pii._written_out(brute.personal(t))) for d, t in texts(df))
+def secrets(n):
+    r = random.Random(99)
+    return "\n".join(f'{passage(4, 700 + k)} api_key: {"".join(r.choice("0123456789abcdef") for _ in range(40))} {passage(3, 800 + k)}' for k in range(n))
+
+
+@pytest.mark.parametrize("which", ["odd", "documents", "planted"])
+def test_personal_data(which, request, spark):
+    if which == "planted":
+        loose = "f00d" * 10
+        rows = [(1, secrets(4)), (2, f"the api_key: Zx-pass-99 {passage(5, 6)}"), (3, f"commit {loose} fixes it"), (4, f"API_KEY: {'q' * 25} of mine"), (4, f"API_KEY: {'q' * 25} of mine"), (5, None)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+    else:
+        df = request.getfixturevalue(which)
+    rows = texts(df)
+    base = {(d, pii._written_out(brute.personal(t))) for d, t in rows}
+    want = brute.bootstrapped(rows, lambda t: pii._scan_text(t)[1], pii.ALL_KINDS)
     got = pii.report(df).collect()
-    assert collections.Counter((r.doc_id, r.spans) for r in got if not r.n_added) == want or which == "documents"
+    assert collections.Counter((r.doc_id, r.spans) for r in got) == collections.Counter((d, want[d, t or ""]) for d, t in rows)
+    assert all(r.n_spans == len(r.spans.split(",")) * (r.spans != "") for r in got)
     for r in got:
-        spans = [s for (d, s) in want if d == r.doc_id]
-        assert r.base_sha256 in {hashlib.sha256(s.encode()).hexdigest() for s in spans}
+        assert r.base_sha256 in {hashlib.sha256(s.encode()).hexdigest() for d, s in base if d == r.doc_id}
+    if which == "planted":
+        by = {r.doc_id: r for r in got}
+        assert by[1].n_added == 4 and by[2].spans.startswith("secret:") and by[3].n_spans == 0 and by[4].spans == "secret:9:34"
 
 
 def test_personal_data_on_hard_texts():
@@ -352,8 +467,8 @@ def test_personal_data_on_hard_texts():
     for _ in range(4000):
         t = "".join(random.choice("a1.@-+ ()9%é\n2") for _ in range(random.randint(0, 40)))
         assert pii.base_spans(t) == brute.personal(t), t
-    for t in ("@" * 50_000, "a" * 100_000 + "@", "1" * 100_000, "1." * 50_000, "+1" + "(" * 100_000, "9" * 15 + "." + "0" * 5000 + "1.2.3"):
-        pii.base_spans(t)
+    for t in ("@" * 50_000, "a" * 100_000 + "@", "1" * 100_000, "1." * 50_000, "+1" + "(" * 100_000, "9" * 15 + "." + "0" * 5000 + "1.2.3", "a1" * 50_000, "-" * 100_000, "a" * 100_000 + "1" * 3):
+        pii._scan_text(t)
 
 
 def test_contexts_discover_identifiers(spark):
