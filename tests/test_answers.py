@@ -111,3 +111,67 @@ def test_distance_of_small_groups(spark, members):
     df = spark.createDataFrame([("g", m, i) for m in range(members) for i in range(m, m + 2)], "grp string, m int, i int")
     got = evidence.mean_distance(df, "grp", "m", "i").first().distance
     assert got == (0.0 if members == 1 else pytest.approx((2 / 3 + 1 + 2 / 3) / 3, abs=1e-6))
+
+
+def parts(spark, sf_dir):
+    return [r.asDict() for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()]
+
+
+def test_themed_selection_equals_a_plain_loop(spark, sf_dir):
+    themes = {}
+    for p in parts(spark, sf_dir):
+        themes.setdefault(p["p_brand"], []).append((p["p_partkey"] == 7, p["p_retailprice"] / 10, p["p_partkey"], p["p_type"], p["p_size"] % 5))
+    want = set()
+    for theme, rows in themes.items():
+        left, taken = sorted(rows, key=lambda r: (-r[0], -r[1], r[2]))[:250], []
+        while left and len(taken) < 8:
+            worth = [(r[0], r[1] - 18 * sum(t[3] == r[3] for t in taken) - 7 * sum(t[4] == r[4] for t in taken)) if r[0] or sum(t[3] == r[3] for t in taken) < 2 else None for r in left]
+            if not any(worth):
+                break
+            k = max((k for k, w in enumerate(worth) if w), key=lambda k: (worth[k], -k))
+            taken.append(left.pop(k))
+        want |= {(theme, t[2], n + 1) for n, t in enumerate(taken)}
+    assert {tuple(r) for r in registry.QUERIES["smp3_themed"](spark, sf_dir).collect()} == want
+
+
+def test_diverse_selection_equals_a_plain_loop(spark, sf_dir):
+    family = {r.p_partkey: r.f for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.title_family(F.col("p_name")).alias("f")).collect()}
+    queries = {}
+    for p in parts(spark, sf_dir):
+        queries.setdefault(f"q{p['p_partkey'] % 3}", []).append((p["p_partkey"], p["p_retailprice"], set(p["p_type"].split(" ")) - {""}, p["p_brand"], f"k{p['p_size'] % 4}"))
+    want = {}
+    for q, rows in queries.items():
+        left, taken = sorted(rows, key=lambda r: (-r[1], r[0]))[:250], []
+        top = left[0][1]
+
+        def utility(r, taken=taken, top=top):
+            alike = max((len(r[2] & t[2]) / len(r[2] | t[2]) for t in taken), default=0.0)
+            new_house = r[3] not in {t[3] for t in taken}
+            return 0.68 * r[1] / top + (0.34 + 0.06) * new_house + 0.12 * (r[4] not in {t[4] for t in taken}) - 0.22 * alike
+
+        while left and len(taken) < 12:
+            fresh = [r for r in left if r[3] not in {t[3] for t in taken}]
+            room = [r for r in fresh if r[4] not in {t[4] for t in taken}] or fresh or left
+            room = [r for r in room if not family[r[0]] or sum(family[t[0]] == family[r[0]] for t in taken) < 2] or room
+            pick = max(room, key=lambda r: (round(utility(r), 9), r[0]))
+            taken.append(pick)
+            left.remove(pick)
+        want[q] = [t[0] for t in taken]
+    got = {}
+    for r in sorted(registry.QUERIES["smp5_diverse"](spark, sf_dir).collect(), key=lambda r: r.place):
+        got.setdefault(r.query_id, []).append(r.object_id)
+    assert got == want
+
+
+def test_question_similarity_equals_difflib(spark, sf_dir):
+    import difflib
+    import re
+
+    fold = lambda t: re.sub("[^a-z0-9㐀-鿿]+", "", t.lower())
+    other = fold("a steel plate from the north")
+    pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    got = {r.p_partkey: r.similarity for r in registry.QUERIES["str8_question_similarity"](spark, sf_dir).collect()}
+    for p in parts(spark, sf_dir):
+        t = fold(p["p_name"])
+        want = 0.65 * difflib.SequenceMatcher(None, t, other).ratio() + 0.35 * len(pairs(t) & pairs(other)) / len(pairs(t) | pairs(other))
+        assert got[p["p_partkey"]] == pytest.approx(want, abs=2e-6)
