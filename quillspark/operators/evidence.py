@@ -160,3 +160,14 @@ def coverage_valid(stored: DataFrame, requirements: DataFrame, witnesses: DataFr
     both = again.join(stored.select("query_id", "requirement_id", "witnesses"), ["query_id", "requirement_id"], "full_outer")
     ok = F.coalesce((F.col("now") == F.col("witnesses")) & F.col("satisfied"), F.lit(False))
     return both.groupBy("query_id").agg(F.bool_and(ok).alias("valid"))
+
+
+def edited(rows: DataFrame, replaced: DataFrame, moved: DataFrame) -> DataFrame:
+    """SEC-14: rows of sets after edits: objects that give way to others, and objects with new places; places run on without gaps.
+
+    ``replaced``: (query_id, object_id, by); ``moved``: (query_id, object_id, to), named by the object before its replacement.
+    """
+    keys = ["query_id", "object_id"]
+    out = rows.join(replaced, keys, "left").join(moved, keys, "left").select("query_id", F.coalesce("by", "object_id").alias("object_id"), F.coalesce("to", "place").alias("at"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "object_id"))
+    return out.select("query_id", "object_id", place.alias("place"))
