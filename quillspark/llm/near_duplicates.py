@@ -320,7 +320,7 @@ def links(docs: DataFrame, table: DataFrame, width: int = WIDTH, percent: int =
     pair = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")
     some = small.select(F.explode(pair).alias("p")).select("p.a", "p.b")
     fame = members.groupBy("rep").agg(F.sum("n").alias("fame"))
-    large = members.where(F.col("n") > ALL_PAIRS).join(fame, "rep").select("key", "rep", "fame", F.col("rep").alias("g"))
+    large = written(members.where(F.col("n") > ALL_PAIRS).join(fame, "rep").select("key", "rep", "fame", F.col("rep").alias("g")))
     first = F.struct("fame", -F.col("rep"))
 
     def hubs_of(rows: DataFrame) -> DataFrame:
