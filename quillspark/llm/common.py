@@ -18,7 +18,19 @@ _written: list[str] = []
 _own: list[str] = []
 
 
+#: Bytes of rows handed to a Python worker at a time; long texts would make large batches of a fixed number of rows.
+BATCH_BYTES = 4_000_000
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand rows to Python workers in batches of ``BATCH_BYTES`` at most."""
+    if int(spark.conf.get(_BATCHES).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,6 +73,7 @@ atexit.register(clean_up)
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write to the shared folder and read back: later steps start from files that any executor can read."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/quillspark-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)

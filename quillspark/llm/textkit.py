@@ -71,7 +71,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, for at least ``n`` positions."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + (1 << 12))
         for i, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
