@@ -276,6 +276,7 @@ def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_wind
         left = sorted(zip(packer.used, packer.open, strict=True), key=lambda x: -x[0])
         rows = [(doc, start, len(ids), None, total, k, None, task, ids.astype("<u4").tobytes()) for k, (_, pieces) in enumerate(left) for doc, start, total, ids in pieces]
         yield _as_batch(rows, OPEN)
+        tk.give_back()
 
     def merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         done: list = []

@@ -9,6 +9,7 @@ Hashes are 64-bit polynomials over randomised byte values, finished by a mixer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,16 @@ IS_PUNCTUATION = np.ones(256, bool)
 IS_PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that serves many stages doesn't keep the peaks of all."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 @dataclass
 class Slice:
     """Rows ``first`` to ``last`` of a batch: their bytes and where each text begins."""
@@ -63,6 +74,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         last = min(last, n)
         yield Slice(first, last, raw[offs[first] : offs[last]], offs[first : last + 1] - offs[first])
         first = last
+    give_back()
 
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
