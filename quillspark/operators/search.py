@@ -86,24 +86,35 @@ def scanned(index: Index, plans: Sequence[QueryPlan], searchable: Column | None
     ``queries``: (query_id, space) of the plans that may return it.
     """
     excluded = list(dict.fromkeys(p.excluded for p in plans))
-    wanted = F.array(*map(F.lit, sorted({t for p in plans for t in p.terms}))).cast("array<string>")
+    asked = {t for p in plans for groups in (p.groups, p.excluded) for g in groups for t in g}
+    among = lambda tokens, terms: F.filter(tokens, lambda t: F.array_contains(F.array(*map(F.lit, sorted(terms))).cast("array<string>"), t))
+    terms = {t for p in plans for t in p.terms}
+    titles = {t for p in plans for t in p.title_terms}
+    # long arrays are gone through once; what follows sees only the few tokens that a plan asks for
+    few = index.docs.select(
+        index.id_col,
+        F.struct(*(F.size(f).alias(f) for f in index.fields)).alias("lengths"),
+        *(among(F.col(f), terms).alias(f"own_{k}") for k, f in enumerate(index.fields)),
+        (among(searchable, asked) if searchable is not None and asked else F.array().cast("array<string>")).alias("marks"),
+        (among(F.col("title"), titles) if titles else F.array().cast("array<string>")).alias("title_marks"),
+    )
 
-    def hits(name: str) -> Column:
-        own = F.filter(F.col(name), lambda t: F.array_contains(wanted, t))
+    def hits(k: int, name: str) -> Column:
+        own = F.col(f"own_{k}")
         return F.transform(F.array_distinct(own), lambda t: F.struct(F.lit(name).alias("field"), t.alias("term"), F.size(F.filter(own, lambda x: x == t)).alias("tf")))
 
-    kept = {e: excludes(searchable, e) if e and searchable is not None else F.lit(True) for e in excluded}
+    kept = {e: excludes(F.col("marks"), e) if e and searchable is not None else F.lit(True) for e in excluded}
     spaces = F.array(*(F.when(kept[e], j) for j, e in enumerate(excluded)))
 
     def passes(p: QueryPlan) -> Column:
-        title = any_term(F.col("title"), p.title_terms) if p.title_terms else F.lit(True)
-        return kept[p.excluded] & (anchored(searchable, p.groups) & title if gated and searchable is not None else F.lit(True))
+        title = any_term(F.col("title_marks"), p.title_terms) if p.title_terms else F.lit(True)
+        return kept[p.excluded] & (anchored(F.col("marks"), p.groups) & title if gated and searchable is not None else F.lit(True))
 
     queries = F.array(*(F.when(passes(p), F.struct(F.lit(p.query_id).alias("query_id"), F.lit(excluded.index(p.excluded)).alias("space"))) for p in plans))
-    return index.docs.select(
+    return few.select(
         index.id_col,
-        F.struct(*(F.size(f).alias(f) for f in index.fields)).alias("lengths"),
-        F.concat(*map(hits, index.fields)).alias("hits"),
+        "lengths",
+        F.concat(*(hits(k, f) for k, f in enumerate(index.fields))).alias("hits"),
         F.filter(spaces, lambda x: x.isNotNull()).alias("spaces"),
         F.filter(queries, lambda x: x.isNotNull()).alias("queries"),
     )
