@@ -112,4 +112,47 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.d
 FROM documents d JOIN group_of USING (doc_id) LEFT JOIN size USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3, "op4_chat_threads": OP4, "op7_decontamination": OP7, "op9_near_duplicates": OP9}
+OP12 = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, {AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+total AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS nd, CAST(sum(len(w)) AS BIGINT) AS l FROM doc),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM doc) GROUP BY r, t),
+item AS (
+  SELECT item_id, t, count(*) AS c
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY item_id, t),
+weight AS (
+  SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+score AS (
+  SELECT item_id, r, doc_id, CAST(sum(c * weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(doc.w) * nd) // l)))) AS BIGINT) AS score
+  FROM item JOIN weight USING (t) JOIN tf USING (t) JOIN doc USING (r), total GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM score WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+OP13 = """
+WITH one AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, embedding) = 1),
+row_of AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM one),
+pair AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM row_of a JOIN row_of b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positive AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pair WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN pair USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 3
+"""
+
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3, "op4_chat_threads": OP4, "op7_decontamination": OP7, "op9_near_duplicates": OP9, "op12_ranked_search": OP12, "op13_hard_negatives": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_threads, co_training, decontamination, language_id, line_dedup, near_duplicates, packing, pii, quality_rules, repeated_spans
+from . import chat_threads, co_training, decontamination, hard_negatives, language_id, line_dedup, main_text, near_duplicates, packing, pii, quality_rules, ranked_search, repeated_spans
 from .common import table
 from .oracles import ORACLES
 
@@ -58,4 +58,16 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_spans, op2_language_id, op3_line_dedup, op4_chat_threads, op5_quality_rules, op6_quality_classifier, op7_decontamination, op8_packing, op9_near_duplicates, op10_personal_data)}
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.report(table(spark, sf_dir, "pages"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_spans, op2_language_id, op3_line_dedup, op4_chat_threads, op5_quality_rules, op6_quality_classifier, op7_decontamination, op8_packing, op9_near_duplicates, op10_personal_data, op11_main_text, op12_ranked_search, op13_hard_negatives)}
