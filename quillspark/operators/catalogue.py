@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import phrases as P
 from quillspark.operators.ranking import near_best
 
 
@@ -87,22 +88,40 @@ class Rule:
     prose: tuple[str, ...] = ()
 
 
-def pattern_score(text: Column, rule: Rule, weak: float = 1.0, strong: float = 3.0) -> Column:
-    """CLS-1."""
-    hits = [T.phrase_present(text, p).cast("int") * w for ps, w in ((rule.patterns, weak), (rule.strong, strong)) for p in ps]
-    return reduce(Column.__add__, hits, F.lit(0.0))
+WEAK, STRONG = 1.0, 3.0
+
+
+def pattern_score(text: Column, rule: Rule) -> Column:
+    """CLS-1: the weights of the rule's phrases that occur."""
+    weights: dict[str, float] = {}
+    for ps, w in ((rule.patterns, WEAK), (rule.strong, STRONG)):
+        for p in ps:
+            weights[P.as_found(p)] = weights.get(P.as_found(p), 0.0) + w
+    if not weights:
+        return F.lit(0.0)
+    of = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+    return F.aggregate(P.occurring(text, [*rule.patterns, *rule.strong]), F.lit(0.0), lambda total, p: total + F.try_element_at(of, p))
 
 
 def labelled(objects: DataFrame, id_col: str, rules: Sequence[Rule], controlled: Column, prose: Column | None = None, prose_weight: float = 0.5, prose_cap: float = 2.0) -> DataFrame:
-    """CLS-2..4, JON-9: (id, label, score) of the rules that score; one expression a rule, no join."""
-    scores = []
-    for r in rules:
-        s = pattern_score(controlled, r)
-        if prose is not None and r.prose:
-            hits = reduce(Column.__add__, (T.phrase_present(prose, p).cast("int") for p in r.prose))
-            s = s + F.least(hits * prose_weight, F.lit(prose_cap))
-        scores.append(F.struct(F.lit(r.label).alias("label"), s.cast("double").alias("score")))
-    return objects.select(id_col, F.explode(F.filter(F.array(*scores), lambda x: x["score"] > 0)).alias("r")).select(id_col, "r.label", "r.score")
+    """CLS-1..4, JON-9: (id, label, score) of the rules that score; ids are unique.
+
+    Each text is gone through once for all rules; the phrases found meet the rules in a broadcast join.
+    """
+    kinds = ((("patterns", WEAK), ("strong", STRONG)), (("prose", 1.0),))
+    rows = [(k, P.as_found(p), r.label, w) for r in rules for k, parts in enumerate(kinds) for name, w in parts for p in getattr(r, name)]
+    spelled = [[p for r in rules for name, _ in parts for p in getattr(r, name)] for parts in kinds]
+
+    def of_kind(text: Column, k: int) -> Column:
+        return F.transform(P.occurring(text, spelled[k]), lambda p: F.struct(F.lit(k).alias("kind"), p.alias("phrase")))
+
+    found = [of_kind(text, k) for k, text in enumerate((controlled, prose)) if text is not None and spelled[k]]
+    out = "kind int, phrase string, label string, weight double"
+    if not found:
+        return objects.select(id_col, F.lit("").alias("label"), F.lit(0.0).alias("score")).where("false")
+    hits = objects.select(id_col, F.explode(F.concat(*found)).alias("x")).select(id_col, "x.kind", "x.phrase").join(F.broadcast(objects.sparkSession.createDataFrame(rows, out)), ["kind", "phrase"])
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("weight"))), F.lit(0.0))
+    return hits.groupBy(id_col, "label").agg((of(0) + F.least(of(1) * prose_weight, F.lit(prose_cap))).alias("score")).where("score > 0")
 
 
 def registry_manifest(rules: DataFrame, labels: DataFrame, least: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import phrases
 from quillspark.operators.dense import in_blocks
 
 # The least relevance of a decision and its weights.
@@ -135,8 +136,11 @@ def best_by_mentions(items: DataFrame, question: str, labels: str, id_col: str,
 
 
 def longest_labels(texts: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    """SEC-29: for each text the label whose matching terms are longest in all; terms go to the texts in blocks of bounded size."""
-    hits = in_blocks(labels, "term", lambda few: texts.join(F.broadcast(few)).where(F.lower("text").contains(F.col("term"))))
+    """SEC-29: for each text the label whose matching terms are longest in all; terms go to the texts in blocks of bounded size.
+
+    A term is looked for only in texts that have its first characters.
+    """
+    hits = in_blocks(labels, "term", lambda few: phrases.holding(texts, F.lower("text"), few))
     sums = hits.groupBy(id_col, "label").agg(F.sum(F.length("term")).alias("total"))
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("total"), "label"))
     return sums.withColumn("n", place).where("n = 1").select(id_col, "label", "total")

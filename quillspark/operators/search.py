@@ -50,7 +50,7 @@ def atomic_plan(query_id: str, phrase: str) -> QueryPlan:
     return QueryPlan(query_id, words, words, tuple((w,) for w in words))
 
 
-def _terms(spark: SparkSession, plans: Sequence[QueryPlan]) -> DataFrame:
+def query_terms(spark: SparkSession, plans: Sequence[QueryPlan]) -> DataFrame:
     """A row for each query with the boost of each of its terms; as small as the questions."""
     rows = [(p.query_id, {t: EXACT_BOOST if t in p.exact else 1.0 for t in p.terms}) for p in plans]
     return spark.createDataFrame(rows, "query_id string, boosts map<string,double>")
@@ -129,7 +129,7 @@ def _statistics(rows: DataFrame, index: Index, by: str) -> DataFrame:
     return each.groupBy(by).agg(whole("n").alias("n"), means.alias("means"), F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("df"))
 
 
-def _fielded_score(index: Index) -> Column:
+def fielded_score(index: Index) -> Column:
     """AGG-6 of one row with hits, lengths, boosts and statistics."""
 
     def of(h: Column) -> Column:
@@ -165,12 +165,12 @@ def _scored(rows: DataFrame, index: Index, plans: Sequence[QueryPlan], score: Co
     """Rows of documents and the queries that may return them, with the score; a broadcast row for each query and exclusion set."""
     stats = _statistics(rows.select("lengths", "hits", F.explode("spaces").alias("space")), index, "space")
     open_rows = rows.where(F.size("hits") > 0).select(index.id_col, "lengths", "hits", F.explode("queries").alias("q")).select(index.id_col, "lengths", "hits", "q.query_id", "q.space")
-    return open_rows.join(F.broadcast(stats), "space").join(F.broadcast(_terms(rows.sparkSession, plans)), "query_id").withColumn("score", score)
+    return open_rows.join(F.broadcast(stats), "space").join(F.broadcast(query_terms(rows.sparkSession, plans)), "query_id").withColumn("score", score)
 
 
 def fielded_bm25(index: Index, plans: Sequence[QueryPlan]) -> DataFrame:
     """AGG-6: ``(query_id, id, score)``; df spans a document's fields, N and mean lengths span ``index``."""
-    return _scored(scanned(index, plans), index, plans, _fielded_score(index)).where("score > 0").select("query_id", index.id_col, "score")
+    return _scored(scanned(index, plans), index, plans, fielded_score(index)).where("score > 0").select("query_id", index.id_col, "score")
 
 
 def fts_bm25(index: Index, plans: Sequence[QueryPlan]) -> DataFrame:
@@ -210,7 +210,7 @@ def suppressed(text: Column, term: str, context: Sequence[str], distance: int) -
 
 def lexical_search(index: Index, plans: Sequence[QueryPlan], searchable: Column, limit: int | None = None) -> DataFrame:
     """QRY-3/4: exclusion first, statistics over what is left, gates last; one job for all plans."""
-    found = _scored(scanned(index, plans, searchable), index, plans, _fielded_score(index)).where("score > 0")
+    found = _scored(scanned(index, plans, searchable), index, plans, fielded_score(index)).where("score > 0")
     return ranked(found.select("query_id", index.id_col, "score"), index.id_col, limit)
 
 
@@ -225,7 +225,7 @@ def two_stage_search(index: Index, plans: Sequence[QueryPlan], searchable: Colum
     rows = gates.withColumnsRenamed({"queries": "open", "spaces": "left_in"}).withColumn("queries", everything).withColumn("spaces", F.array(F.lit(0)))
     stats = _statistics(rows.select("lengths", "hits", F.explode("spaces").alias("space")), index, "space")
     each = rows.where(F.size("hits") > 0).select(index.id_col, "lengths", "hits", "open", "left_in", F.explode("queries").alias("q")).select(index.id_col, "lengths", "hits", "open", "left_in", "q.query_id", "q.space")
-    terms = F.broadcast(_terms(index.docs.sparkSession, plans))
+    terms = F.broadcast(query_terms(index.docs.sparkSession, plans))
     recalled = each.join(F.broadcast(stats), "space").join(terms, "query_id").withColumn("score", _fts_score(index)).where("score IS NOT NULL")
     spaces = list(dict.fromkeys(p.excluded for p in plans))
     space_of = F.create_map(*(x for p in plans for x in (F.lit(p.query_id), F.lit(spaces.index(p.excluded)))))
@@ -235,7 +235,7 @@ def two_stage_search(index: Index, plans: Sequence[QueryPlan], searchable: Colum
     terms_seen = F.flatten(F.collect_list(F.array_distinct(F.col("hits.term"))).over(own))
     counted = few.select("*", F.count("*").over(own).alias("n"), F.struct(*(F.avg(f"lengths.{f}").over(own).alias(f) for f in index.fields)).alias("means"), terms_seen.alias("terms_seen"))
     df = F.map_from_entries(F.transform(F.array_distinct("terms_seen"), lambda t: F.struct(t, F.size(F.filter("terms_seen", lambda x: x == t)))))
-    judged = counted.withColumn("df", df).withColumn("score", _fielded_score(index))
+    judged = counted.withColumn("df", df).withColumn("score", fielded_score(index))
     passed = judged.where((F.col("score") > 0) & F.exists("open", lambda q: q["query_id"] == F.col("query_id")))
     return ranked(passed.select("query_id", index.id_col, "score"), index.id_col, limit)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import values as V
 from quillspark.operators import catalogue as C
+from quillspark.operators import phrases as P
 from quillspark.operators import review
 from quillspark.sources import readers
 
@@ -114,6 +115,20 @@ def cls3_pattern_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(spark, sf_dir)
 
 
+@R.add("""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+b AS (SELECT DISTINCT item_id, w[p] || ' ' || w[p + 1] AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w))) AS p FROM w)),
+u AS (SELECT doc_id, '#' || regexp_replace(lower(text), '[^a-z0-9 ]', '#', 'g') || '#' AS u FROM documents)
+SELECT doc_id, item_id, count(*) AS hits FROM u JOIN b ON contains(u, ' ' || phrase || ' ') OR contains(u, '#' || phrase || ' ') OR contains(u, ' ' || phrase || '#') OR contains(u, '#' || phrase || '#')
+GROUP BY doc_id, item_id""")
+def cls4_many_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-4: how many word pairs of each benchmark item occur in each document, all of them in one pass."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.col("w")[i + 1]))
+    phrases = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w")).select("item_id", F.explode(F.array_distinct(pairs)).alias("phrase"))
+    hits = P.matches(table(spark, sf_dir, "documents"), "doc_id", "text", phrases)
+    return hits.join(phrases, "phrase").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"))
+
+
 @R.add(f"""WITH {_sql_rules()}, reg AS (SELECT * FROM (VALUES (0, 'trade'), (1, 'nature'), (2, 'power'), (3, 'none')) v(place, label))
 SELECT place, label, count(doc_id) AS n, count(doc_id) >= 200 AS enough FROM reg LEFT JOIN lab USING (label) GROUP BY place, label""")
 def agg3_registry_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

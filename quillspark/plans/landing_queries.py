@@ -9,10 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import dense, evidence, filters, ranking, search
+from quillspark.operators import dense, evidence, filters, ranking, search, text_index
 from quillspark.sources import readers, writers
 
-from .tables import Registry, table
+from .search_queries import PLAN, SECOND
+from .search_queries import R as SEARCH
+from .tables import FIELDS_SQL, Registry, catalogue, fields, table
 
 R = Registry()
 
@@ -154,3 +156,30 @@ def sec14_edited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     replaced = rows.where("place = 2").select("query_id", "object_id", (F.col("object_id") + 100_000).alias("by"))
     moved = rows.where("place IN (1, 6)").select("query_id", "object_id", (7 - F.col("place")).alias("to"))
     return evidence.edited(rows, replaced, moved)
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    return text_index.build(search.Index(fields(catalogue(spark, sf_dir)), "doc_id"), landing(spark), "v1")
+
+
+@R.add(f"""WITH {FIELDS_SQL},
+tok AS (SELECT doc_id, unnest(title) AS term, 't' AS f FROM fld UNION ALL SELECT doc_id, unnest(routing), 'r' FROM fld UNION ALL SELECT doc_id, unnest(metadata), 'm' FROM fld UNION ALL SELECT doc_id, unnest(content), 'c' FROM fld)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) FILTER (f = 't') AS in_title, count(*) FILTER (f = 'c') AS in_content, true AS whole FROM tok GROUP BY term""")
+def snk5_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-5: the index is built, checked against its manifest, and read back by term."""
+    stored = _stored_index(spark, sf_dir)
+    whole = stored.check().agg(F.bool_and("ok").alias("whole"))
+    each = stored.table("postings").where("term <> ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_title").alias("in_title"), F.sum("tf_content").alias("in_content"))
+    return each.crossJoin(F.broadcast(whole))
+
+
+@R.add(SEARCH.oracles["qry3_lexical_search"])
+def qry3_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY-3 on the stored index; rows as those of ``qry3_lexical_search``."""
+    return text_index.lexical_search(_stored_index(spark, sf_dir), [PLAN])
+
+
+@R.add(SEARCH.oracles["qry4_many_searches"])
+def qry4_indexed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY-4 on the stored index: only blocks that can reach the first 50 are read."""
+    return text_index.lexical_search(_stored_index(spark, sf_dir), [SECOND, search.QueryPlan("q3", ("lyed", "onst"), ("lyed",))], limit=50)

@@ -15,10 +15,12 @@ def snapshot(rows: DataFrame, path: str, name: str = "name", content: str = "tex
     return out.select("name", "sha256")
 
 
-def _move(spark: SparkSession, old: str, new: str) -> None:
+def move_into_place(spark: SparkSession, old: str, new: str) -> None:
     jvm = spark.sparkContext._jvm
     a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
     fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(b):  # a rename would go into it
+        raise FileExistsError(f"{new} exists")
     if not fs.rename(a, b):
         raise OSError(f"could not move {old} to {new}")
 
@@ -29,7 +31,7 @@ def publish(tables: dict[str, DataFrame], root: str, version: str) -> str:
     staging = f"{root}/.staging-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{staging}/{name}")
-    _move(spark, staging, f"{root}/{version}")
+    move_into_place(spark, staging, f"{root}/{version}")
     return f"{root}/{version}"
 
 
