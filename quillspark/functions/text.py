@@ -275,9 +275,40 @@ def within_budget(sentences: Column, budget: int) -> Column:
     return F.aggregate(sentences, start, step)["kept"]
 
 
+def converter(phrases: Mapping[str, str], characters: Mapping[str, str]):
+    """A function of one text: at each place the longest phrase that begins there is replaced, else the character; what comes out is not read again."""
+    table = {**characters, **phrases}
+    lengths: dict[str, list[int]] = {}
+    for p in sorted(table, key=len, reverse=True):
+        if p and len(p) not in lengths.setdefault(p[0], []):
+            lengths[p[0]].append(len(p))
+    begins = re.compile("[" + re.escape("".join(lengths)) + "]") if lengths else None
+
+    def convert(text: str | None) -> str | None:
+        if text is None or begins is None:
+            return text
+        out, at = [], 0
+        while m := begins.search(text, at):
+            i = m.start()
+            n = next((n for n in lengths[m[0]] if text[i : i + n] in table), 0)
+            out += (text[at:i], table[text[i : i + n]] if n else m[0])
+            at = i + max(n, 1)
+        return "".join((*out, text[at:]))
+
+    return convert
+
+
 def simplified(text: Column, phrases: Mapping[str, str], characters: Mapping[str, str]) -> Column:
-    """STR-17: phrases first, the longest before others, then single characters; the tables are the caller's."""
-    out = text
-    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
-        out = F.replace(out, F.lit(phrase), F.lit(phrases[phrase]))
-    return F.translate(out, "".join(characters), "".join(characters.values())) if characters else out
+    """STR-17: from left to right the longest phrase, else the character, each converted once; the tables are the caller's.
+
+    Single characters alone are ``translate``; no built-in function finds the longest phrase at each place.
+    """
+    if not phrases and all(len(c) == len(r) == 1 for c, r in characters.items()):
+        return F.translate(text, "".join(characters), "".join(characters.values())) if characters else text
+    convert = converter(phrases, characters)
+
+    @F.pandas_udf(StringType())
+    def longest(values: pd.Series) -> pd.Series:
+        return values.map(convert, na_action="ignore")
+
+    return longest(text)

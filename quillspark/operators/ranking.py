@@ -154,7 +154,7 @@ def themed(pool: DataFrame, theme: str, count: int, id_col: str, kind: str, band
 
 
 def swapped_in(chosen: DataFrame, pool: DataFrame, id_col: str, wanted: Column) -> DataFrame:
-    """SMP-4, SMP-9: if no chosen row of a query is wanted, the last one gives way to the best wanted row of the pool."""
+    """SMP-9: if no chosen row of a query is wanted, the last one gives way to the best wanted row of the pool."""
     has = chosen.groupBy("query_id").agg(F.max(wanted.cast("int")).alias("has"), F.max("place").alias("last"))
     spare = pool.join(chosen.select("query_id", id_col), ["query_id", id_col], "left_anti").where(wanted)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
@@ -187,3 +187,29 @@ def redundancy(candidates: DataFrame, chosen: DataFrame, id_col: str) -> DataFra
     both = long(candidates, "a").join(long(chosen, "b"), "f").groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("n"))
     best = both.groupBy(F.col("a").alias(id_col)).agg(F.max(F.col("n") / (F.col("a_size") + F.col("b_size") - F.col("n"))).alias("redundancy"))
     return candidates.select(id_col).join(best, id_col, "left").select(id_col, F.coalesce("redundancy", F.lit(0.0)).alias("redundancy"))
+
+
+def starters(rows: DataFrame, group: str, id_col: str, packs: str, institution: str, evidence: str, limit: int = 5) -> DataFrame:
+    """SMP-4: up to ``limit`` rows of each group, each the best beside those before it: most new packs, then a new institution, then most evidence, then the larger id.
+
+    Rows with the same packs and institution differ in evidence and id only, so no more than the first ``limit`` of them
+    can be picked; that bounds what the rounds go through. A round is one best row of each group, so a
+    group is never in one place. Null packs are none, and a missing institution is one of its own.
+    """
+    own = rows.select(group, id_col, F.sort_array(F.array_distinct(F.coalesce(F.array_compact(packs), F.array().cast("array<string>")))).alias("packs"), F.coalesce(F.col(institution).cast("string"), F.lit("")).alias("institution"), F.coalesce(F.col(evidence).cast("long"), F.lit(0)).alias("evidence"))
+    order = Window.partitionBy(group, "packs", "institution").orderBy(F.desc("evidence"), F.desc(id_col))
+    left = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).drop("n")
+    none = F.array().cast("array<string>")
+    state = left.groupBy(group).agg(F.lit(0).alias("n")).select(group, none.alias("seen"), none.alias("houses"), F.array().cast(f"array<{dict(rows.dtypes)[id_col]}>").alias("picked"))
+    for _ in range(limit):
+        gain = F.size(F.array_except("packs", "seen"))
+        value = F.struct(gain.alias("gain"), (~F.array_contains("houses", F.col("institution"))).alias("new"), "evidence", id_col)
+        open_rows = left.join(state, group).where(~F.array_contains("picked", F.col(id_col)))
+        best = open_rows.groupBy(group).agg(F.max_by(F.struct(id_col, "packs", "institution"), value).alias("b"))
+        state = state.join(best, group, "left").select(
+            group,
+            F.when(F.col("b").isNull(), F.col("seen")).otherwise(F.array_union("seen", "b.packs")).alias("seen"),
+            F.when(F.col("b").isNull(), F.col("houses")).otherwise(F.array_union("houses", F.array("b.institution"))).alias("houses"),
+            F.when(F.col("b").isNull(), F.col("picked")).otherwise(F.concat("picked", F.array(f"b.{id_col}"))).alias("picked"),
+        )
+    return state.select(group, F.posexplode("picked").alias("at", id_col)).select(group, id_col, (F.col("at") + 1).alias("place"))

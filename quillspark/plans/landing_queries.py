@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import dense, evidence, filters, ranking, search, text_index
 from quillspark.sources import readers, writers
+from quillspark.sources.shared import landing
 
 from .search_queries import PLAN, SECOND
 from .search_queries import R as SEARCH
@@ -19,16 +16,6 @@ from .tables import FIELDS_SQL, Registry, catalogue, fields, table
 R = Registry()
 
 
-def landing(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share; a local session may have none set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="quillspark-landing-")
-    return f"{shared}/landing-{uuid.uuid4().hex}"
-
-
 @R.add("SELECT CASE WHEN p_partkey % 100 > 0 THEN p_partkey END AS p_partkey, CASE WHEN p_partkey % 100 > 0 THEN p_name END AS p_name, p_partkey % 100 = 0 AS corrupt FROM part")
 def src9_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, path = table(spark, sf_dir, "part"), landing(spark)
@@ -183,3 +170,23 @@ def qry3_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qry4_indexed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY-4 on the stored index: only blocks that can reach the first 50 are read."""
     return text_index.lexical_search(_stored_index(spark, sf_dir), [SECOND, search.QueryPlan("q3", ("lyed", "onst"), ("lyed",))], limit=50)
+
+
+@R.add("SELECT p_brand AS collection, p_partkey, p_name FROM part")
+def src8_collection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-8: a folder for each collection with its objects.json, read back as one table."""
+    path, name = landing(spark), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-")
+    p = table(spark, sf_dir, "part").withColumn("collection", name)
+    bodies = p.groupBy("collection").agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_brand"))).alias("value"))
+    readers.land_collections(bodies, path)
+    return readers.collections(spark, path, "p_partkey long, p_name string, p_brand string").select(F.col("p_brand").alias("collection"), "p_partkey", "p_name").where(F.col("p_brand").isNotNull())
+
+
+@R.add("SELECT doc_id || '.txt' AS name, sha256(coalesce(text, '')) AS sha256, CAST(length(coalesce(text, '')) AS INTEGER) AS n, true AS ok FROM documents")
+def src12_snapshot_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12: raw texts landed with their digests, and replayed after a check of each."""
+    d = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    path = landing(spark)
+    manifest = writers.snapshot(d, path)
+    back = readers.replayed(spark, path, manifest)
+    return back.select("name", "sha256", F.length("text").alias("n"), F.lit(True).alias("ok"))

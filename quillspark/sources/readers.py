@@ -30,15 +30,39 @@ def json_pages(spark: SparkSession, path: str, schema: str, items: str = "data")
 def collections(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-8: objects of all collections under a folder, with the collection's name."""
     rows = spark.read.schema(schema).option("multiLine", True).json(f"{path}/*/objects.json")
-    return rows.withColumn("collection", F.regexp_extract(F.input_file_name(), "([^/]+)/objects[.]json$", 1))
+    return rows.withColumn("collection", F.regexp_extract(F.input_file_name(), "([^/]+)/objects[.]json(?:/[^/]*)?$", 1))
+
+
+def land_collections(bodies: DataFrame, path: str) -> None:
+    """A folder for each (collection, value): ``objects.json`` below it holds the value. One task writes each."""
+    staged = bodies.select("value", F.concat(F.col("collection"), F.lit("/objects.json")).alias("at"))
+    names = [r["at"] for r in staged.select("at").distinct().collect()]  # a catalogue has some dozens of collections
+    for name in sorted(names):
+        staged.where(F.col("at") == name).select("value").coalesce(1).write.text(f"{path}/{name}")
 
 
 def verified_snapshot(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """SRC-12: raw files whose SHA-256 is what the manifest says; others stop the job when the result is used."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
-    joined = manifest.select("name", "sha256").join(files, "name", "left")
-    ok = F.sha2(F.coalesce("content", F.lit(b"")), 256) == F.col("sha256")
-    return joined.withColumn("text", F.when(ok, F.decode("content", "UTF-8")).otherwise(F.raise_error(F.concat(F.lit("snapshot differs: "), "name")))).select("name", "sha256", "text")
+    """SRC-12: raw files whose SHA-256 is what the manifest says; others stop the job when the result is used.
+
+    Digests are made where the files are read, and names and digests alone decide.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("found"))
+    return _verified(files, manifest)
+
+
+def replayed(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """SRC-12 for answers that were landed as a table (``writers.snapshot``)."""
+    rows = spark.read.parquet(path)
+    return _verified(rows.select("name", "text", F.sha2("text", 256).alias("found")), manifest)
+
+
+def _verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows of the manifest with the text of their file; the check joins digests only, and then stops a text that differs or is not there."""
+    wanted = manifest.select("name", "sha256")
+    state = wanted.join(files.select("name", "found"), "name", "left")
+    wrong = F.raise_error(F.concat(F.lit("snapshot differs: "), F.col("name")))
+    checked = state.select("name", F.when(F.col("found").eqNullSafe(F.col("sha256")), F.col("sha256")).otherwise(wrong).alias("sha256"))
+    return checked.join(files.select("name", "text", F.col("found").alias("sha256")), ["name", "sha256"]).select("name", "sha256", "text")
 
 
 def latest_snapshot(names: DataFrame, column: str = "snapshot") -> DataFrame:

@@ -36,3 +36,12 @@ def drained(frame: DataFrame, name: str, checkpoint: str, mode: str = "append")
     query = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return frame.sparkSession.table(name)
+
+
+def appended_once(stream: DataFrame, request_id: str, sink: str, checkpoint: str, late: str = "1 day") -> None:
+    """STM-1, STM-5: append each request of what there is now once, to Parquet files.
+
+    The checkpoint knows which files were read and which requests were seen; the sink's own log knows which files are
+    part of it. So a run that was stopped goes on without loss or repetition.
+    """
+    once_each(stream, request_id, late).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
