@@ -83,11 +83,12 @@ def smp4_starters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str8_policy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-8: the opening of every document met with those of benchmark items: of their texts (cards) and of their second sentences (regressions)."""
+    """STR-8: the opening of every document, and of every item told without its second word, met with those of benchmark items: of their texts (cards) and of their second sentences (regressions)."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     kinds = F.explode(F.array(F.struct(F.lit("question_card").alias("source"), F.substring("text", 1, 60).alias("question")), F.struct(F.lit("regression").alias("source"), F.substring(F.try_element_at(F.split("text", "[.] ", 2), F.lit(2)), 1, 60).alias("question"))))
     known = b.select("item_id", kinds.alias("k")).select(F.concat_ws("-", "k.source", "item_id").alias("policy_id"), "k.question", "k.source", F.col("item_id").cast("string").alias("place"))
-    asked = d.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("question"))
+    retold = b.select(F.concat(F.lit("item-"), "item_id").alias("query_id"), F.substring(F.regexp_replace("text", r"^(\S+) \S+", "$1"), 1, 58).alias("question"))
+    asked = d.select(F.concat(F.lit("doc-"), "doc_id").alias("query_id"), F.substring("text", 1, 60).alias("question")).unionByName(retold)
     return policies.matched(asked, known.where("question IS NOT NULL"))
 
 
