@@ -237,6 +237,25 @@ def query_words(text: str, limit: int = 32, longest: int = 64) -> list[str]:
     return list(dict.fromkeys(w[:longest] for w in re.findall(r"\w+", text.lower())))[:limit]
 
 
+def asked_words(text: Column, limit: int = 32, longest: int = 64) -> Column:
+    """STR-9 of a column."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.slice(F.array_distinct(F.transform(found, lambda w: F.substring(w, 1, longest))), 1, limit)
+
+
+def forms(word: Column) -> Column:
+    """STR-5 of a column: the word and its conservative other number."""
+    n = F.length(word)
+    other = (
+        F.when(~word.rlike("^[a-z][a-z'-]{2,}$"), word)
+        .when(word.endswith("ies") & (n > 4), F.concat(F.substring(word, F.lit(1), n - 3), F.lit("y")))
+        .when(word.endswith("s") & ~word.rlike("(is|ss|ics)$"), F.substring(word, F.lit(1), n - 1))
+        .when(~word.rlike("[sxz]$"), F.concat(word, F.lit("s")))
+        .otherwise(word)
+    )
+    return F.array_distinct(F.array(word, other))
+
+
 def aliases(terms: Sequence[str], catalogue: Mapping[str, Sequence[str]]) -> list[str]:
     """STR-20: terms with what they are also called, in order, without repeats."""
     return list(dict.fromkeys(x for t in terms for x in (t, *catalogue.get(t, ()))))
