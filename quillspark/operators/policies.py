@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from quillspark.sources.shared import kept
 SEQUENCE_SHARE, PAIRS_SHARE = 0.65, 0.35
 THRESHOLDS = {"question_card": 0.72, "regression": 0.9}
 _SLACK = 1e-9
+#: Words of 64 bits in which a set of pairs of characters is marked.
+WORDS = 4
 
 
 def _profile(rows: DataFrame, text: str) -> DataFrame:
@@ -22,7 +26,9 @@ def _profile(rows: DataFrame, text: str) -> DataFrame:
     own = own.withColumn("letters", letters).withColumn("pairs", F.array_distinct(T.grams(F.col("key"), 2)))
     # a repeated letter is told apart by its place among its like, so that sets of them overlap as the multisets do
     first = F.transform("letters", lambda c, i: F.concat(c, (i + 1 - F.array_position("letters", c)).cast("string")))
-    return own.withColumn("letters", first).withColumn("size", F.length("key"))
+    # the pairs as bits: sets whose bits differ in d places differ in d pairs at least
+    bits = [F.expr(f"aggregate(pairs, 0L, (a, p) -> CASE WHEN pmod(xxhash64(p), {64 * WORDS}) div 64 = {k} THEN a | shiftleft(1L, cast(pmod(xxhash64(p), 64) AS int)) ELSE a END)").alias(f"bits{k}") for k in range(WORDS)]
+    return own.withColumn("letters", first).select("*", F.length("key").alias("size"), *bits)
 
 
 def _bound(shared: Column, n_left: Column, n_right: Column, left: Column, right: Column, share_of_letters: Column) -> Column:
@@ -36,7 +42,7 @@ def candidates(questions: DataFrame, policies: DataFrame, least: float, text: st
 
     Policies are a catalogue, some hundreds; questions may be as many as there are. Equal questions are one. The matching-blocks ratio is 1 at most, so the pairs of characters must be alike to
     (least - 0.65) / 0.35 at least; with a positive bound two such sets share one of their rarest pairs
-    (a prefix of each, rarest first). Lengths, shared pairs and shared letters then bound the similarity from above.
+    (a prefix of each, rarest first). Lengths, marks of the pairs in a few words, shared pairs and shared letters then bound the similarity from above.
     """
     alike = (least - SEQUENCE_SHARE) / PAIRS_SHARE
     if alike <= 0:
@@ -47,13 +53,15 @@ def candidates(questions: DataFrame, policies: DataFrame, least: float, text: st
     def prefixed(rows: DataFrame, other: str) -> DataFrame:
         """The rarest pairs of each key: as many as two sets with that likeness can't both miss."""
         n = F.size("pairs")
-        each = rows.select(F.col("key").alias(other), n.alias("n_pairs"), F.col("size").alias("n_chars"), F.explode("pairs").alias("pair")).join(counts, "pair", "left")
+        each = rows.select(F.col("key").alias(other), n.alias("n_pairs"), F.col("size").alias("n_chars"), *(f"bits{k}" for k in range(WORDS)), F.explode("pairs").alias("pair")).join(counts, "pair", "left")
         place = F.row_number().over(Window.partitionBy(other).orderBy(F.coalesce("n", F.lit(0)), "pair"))
         return each.withColumn("place", place).where(F.col("place") <= F.col("n_pairs") - F.ceil(F.lit(alike) * F.col("n_pairs") - _SLACK) + 1)
 
-    a = prefixed(q, "x").select("x", "pair", F.col("n_pairs").alias("na"), F.col("n_chars").alias("la"))
-    b = prefixed(p, "y").select("y", "pair", F.col("n_pairs").alias("nb"), F.col("n_chars").alias("lb"))
-    longest = _bound(F.least("na", "nb"), F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), F.least("la", "lb"))
+    a = prefixed(q, "x").select("x", "pair", F.col("n_pairs").alias("na"), F.col("n_chars").alias("la"), *(F.col(f"bits{k}").alias(f"a{k}") for k in range(WORDS)))
+    b = prefixed(p, "y").select("y", "pair", F.col("n_pairs").alias("nb"), F.col("n_chars").alias("lb"), *(F.col(f"bits{k}").alias(f"b{k}") for k in range(WORDS)))
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)))
+    common = F.least("na", "nb", F.floor((F.col("na") + F.col("nb") - apart) / 2))
+    longest = _bound(common, F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), F.least("la", "lb"))
     met = a.join(b, "pair").where((longest >= least - _SLACK) & (F.col("x") != F.col("y"))).select("x", "y").distinct()
     pairs = met.join(q.select(F.col("key").alias("x"), F.col("pairs").alias("px"), F.col("letters").alias("lx")), "x").join(p.select(F.col("key").alias("y"), F.col("pairs").alias("py"), F.col("letters").alias("ly")), "y")
     sizes = (F.size("px"), F.size("py"), F.size("lx"), F.size("ly"))
