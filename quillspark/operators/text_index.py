@@ -3,33 +3,38 @@
 Four tables in one versioned folder, moved into place together:
 
 * ``postings``: a row for each term of a document with the frequency in each field and the fields' lengths, so that scoring
-  joins nothing. Dealt by ranges of (term, block, id) and sorted so, in small row groups: a filter on terms reads their
-  row groups alone, and a term of many documents spreads over many files. The empty term stands for the document itself.
-* ``blocks``: for each term and block the number of documents, the largest frequencies and the smallest lengths. The score
-  falls with length and rises with frequency, so these bound it under any statistics. Documents of like length share a
-  block, which keeps the bounds apart.
+  joins nothing. Dealt by ranges of (term, length class, id) and sorted so, in small row groups: a filter on terms reads
+  their row groups alone, and a term of many documents spreads over many files. The empty term stands for the document.
+* ``blocks``: for each stretch of a term's postings in one block the number of documents, the largest frequencies and the
+  smallest lengths. The score falls with length and rises with frequency, so these bound it under any statistics.
+  Documents of like length share a block, which keeps the bounds apart. Made file by file from the sorted postings.
 * ``terms``: document frequencies.
 * ``manifest``: one row with the number of documents, total lengths, and counts and digests of the other tables.
 
+Only packed runs of postings are shuffled (``posting_runs``), once. Ids are unique; a repeated id is a document each time.
+
 Exclusions change the statistics; they follow from the manifest less what the postings of the excluded terms hold.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.sources.writers import move_into_place
+from quillspark.sources.writers import delete, move_into_place
 
-from . import search
+from . import posting_runs, search
 
 #: Bytes of a row group of the postings; a look-up reads whole pages of few of them.
 ROW_GROUP = 1 << 20
+#: Bytes of rows handed to a Python worker at a time.
+BATCH_BYTES = 4_000_000
 #: Blocks of documents: four length classes to a doubling, each dealt into so many parts.
 PARTS = 16
 #: Blocks that are scored first, for the score that others must reach.
@@ -41,19 +46,29 @@ def _block(total: Column, id_col: str) -> Column:
     return (F.floor(F.log2(total + 1) * 4) * PARTS + F.pmod(F.xxhash64(id_col), F.lit(PARTS))).cast("int")
 
 
-def _tagged(tokens: str, k: int) -> Column:
-    return F.transform(tokens, lambda t: F.struct(F.lit(k).alias("f"), t.alias("t")))
+def _packed(index: search.Index) -> DataFrame:
+    """Postings of all documents in runs, from one scan that tokenises once; a null field has no tokens."""
+    names = list(index.fields)
+    total = reduce(Column.__add__, (F.size(f) for f in names))
+    tokens = index.docs.select(F.col(index.id_col).alias("id"), *(F.coalesce(f, F.array().cast("array<string>")).alias(f) for f in names))
+    rows = tokens.select("id", _block(total, "id").alias("block"), *names)
+    return rows.mapInArrow(posting_runs.packer(names, PARTS), posting_runs.packed_schema(dict(rows.dtypes)["id"]))
+
 
+def _numbers(fields: Sequence[str]) -> str:
+    return ", ".join(f"tf_{f} int" for f in fields) + ", " + ", ".join(f"len_{f} int" for f in fields)
 
-def postings_of(index: search.Index) -> DataFrame:
-    """``(term, block, id, tf_*, len_*)`` of every document, from one scan that tokenises once."""
-    names = list(index.fields)
-    lengths = [F.size(f).alias(f"len_{f}") for f in names]
-    tokens = F.concat(F.array(F.struct(F.lit(-1).alias("f"), F.lit("").alias("t"))), *(_tagged(f, k) for k, f in enumerate(names)))
-    rows = index.docs.select(F.col(index.id_col).alias("id"), *lengths, F.explode(tokens).alias("x"))
-    each = rows.groupBy(F.col("x.t").alias("term"), "id", *(f"len_{f}" for f in names)).agg(*(F.count_if(F.col("x.f") == k).cast("int").alias(f"tf_{f}") for k, f in enumerate(names)))
-    total = reduce(Column.__add__, (F.col(f"len_{f}") for f in names))
-    return each.select("term", _block(total, "id").alias("block"), "id", *(f"tf_{f}" for f in names), *(f"len_{f}" for f in names))
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python workers in batches of ``BATCH_BYTES`` while the index is built."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _digest(rows: DataFrame) -> list[Column]:
@@ -64,14 +79,23 @@ def _digest(rows: DataFrame) -> list[Column]:
 def build(index: search.Index, root: str, version: str) -> TextIndex:
     """Write the index below ``root``; readers see all of it or nothing. An existing version is an error."""
     spark = index.docs.sparkSession
+    with _small_batches(spark):
+        return _build(index, root, version)
+
+
+def _build(index: search.Index, root: str, version: str) -> TextIndex:
+    spark, names = index.docs.sparkSession, list(index.fields)
     staging = f"{root}/.staging-{uuid.uuid4().hex}"
-    order = ["term", "block", "id"]
-    made = postings_of(index)
-    made.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", ROW_GROUP >> 4).parquet(f"{staging}/postings")
+    packed = _packed(index)
+    packed.write.parquet(f"{staging}-runs")  # dealing by ranges reads its rows twice
+    order, id_type = ["term", "class", "first"], dict(packed.dtypes)["first"]
+    dealt = spark.read.schema(packed.schema).parquet(f"{staging}-runs").repartitionByRange(*order).sortWithinPartitions(*order)
+    made = dealt.mapInArrow(posting_runs.opener(names, PARTS), f"term string, block int, id {id_type}, {_numbers(names)}")
+    made.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", ROW_GROUP >> 4).parquet(f"{staging}/postings")
+    delete(spark, f"{staging}-runs")
     stored = spark.read.schema(made.schema).parquet(f"{staging}/postings")
-    bounds = [F.max(f"tf_{f}").alias(f"tf_{f}") for f in index.fields] + [F.min(f"len_{f}").alias(f"len_{f}") for f in index.fields]
-    blocks = stored.where("term <> ''").groupBy("term", "block").agg(F.count("*").alias("n"), *bounds)
-    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{staging}/blocks")
+    blocks = stored.where("term <> ''").drop("id").mapInArrow(posting_runs.bounder(names), f"term string, block int, n long, {_numbers(names)}")
+    blocks.write.option("parquet.block.size", ROW_GROUP).parquet(f"{staging}/blocks")
     blocks = spark.read.schema(blocks.schema).parquet(f"{staging}/blocks")
     terms = blocks.groupBy("term").agg(F.sum("n").alias("df"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{staging}/terms")
@@ -175,7 +199,8 @@ def block_bounds(stored: TextIndex, plans: Sequence[search.QueryPlan], stats: Da
     At most a row for each query and block, and there are a few hundred blocks whatever the number of documents.
     """
     terms = sorted({t for p in plans for t in p.terms} | {t for p in plans for g in p.groups for t in g})
-    rows = stored.table("blocks").where(F.col("term").isin(*terms))
+    bounds = [F.max(f"tf_{f}").alias(f"tf_{f}") for f in stored.fields] + [F.min(f"len_{f}").alias(f"len_{f}") for f in stored.fields]
+    rows = stored.table("blocks").where(F.col("term").isin(*terms)).groupBy("term", "block").agg(*bounds)
     means = stats.select("means", F.col("n").alias("n_docs"), "df")
     df = F.try_element_at("df", F.col("term"))
     idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))

@@ -25,6 +25,11 @@ def move_into_place(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"could not move {old} to {new}")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def publish(tables: dict[str, DataFrame], root: str, version: str) -> str:
     """SNK-2..5: write all tables to a staging folder and move it into place, so readers see all or none."""
     spark = next(iter(tables.values())).sparkSession
