@@ -1,13 +1,14 @@
-"""Postings of runs of documents: what a task shuffles for a full-text index is a row for each term and run.
+"""Postings of runs of documents: what a task shuffles for a full-text index is a row for each deal of terms and run.
 
-A task counts the terms of some two million tokens at a time and packs those of one term and length class into one row:
-the documents' ids and, for each of them, a record of its block, frequencies and lengths. Packed rows are what is dealt
-and sorted; they are opened again behind the shuffle, in the order that they have there. Everything is numpy over Arrow
-buffers; memory is bounded by ``RUN_TOKENS`` and ``RUN_DOCUMENTS``, or by one document where it is longer.
+A task counts the terms of some two million tokens at a time and packs those of one deal (a hash of the term) into one
+row: the terms, their documents' ids and, for each of them, a record of its block, frequencies and lengths. Packed rows
+are what is shuffled; they are opened again behind the shuffle. Everything is numpy over Arrow buffers; memory is bounded
+by ``RUN_TOKENS`` and ``RUN_DOCUMENTS``, or by one document where it is longer.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,12 +16,33 @@ import pyarrow as pa
 
 #: Tokens and documents that are counted together.
 RUN_TOKENS, RUN_DOCUMENTS = 1 << 21, 1 << 15
+#: Deals of terms.
+DEALS = 4096
+#: Postings of a term in one place from which each block has its own bounds.
+LEAST = 64
 #: Packed rows handed on at a time, and postings opened at a time.
-_ROWS, _OPENED = 4096, 1 << 17
+_ROWS, _OPENED = 256, 1 << 17
 
 
 def packed_schema(id_type: str) -> str:
-    return f"term string, class int, first {id_type}, ids array<{id_type}>, records binary"
+    return f"deal int, run int, terms array<string>, sizes binary, ids array<{id_type}>, records binary"
+
+
+def deal(term: str) -> int:
+    return zlib.crc32(term.encode()) % DEALS
+
+
+def _binary(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Rows of 32-bit numbers as one binary value for each stretch between bounds."""
+    width = numbers.itemsize * (numbers.shape[1] if numbers.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * np.int32(width)), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The 32-bit numbers of all values of a binary column."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.int32, (ends[-1] - ends[0]) // 4, int(ends[0]))
 
 
 def _tokens(batch: pa.RecordBatch, fields: Sequence[str]) -> np.ndarray:
@@ -28,42 +50,53 @@ def _tokens(batch: pa.RecordBatch, fields: Sequence[str]) -> np.ndarray:
     return sum(np.diff(batch.column(f).offsets.to_numpy()).astype(np.int64) for f in fields) if batch.num_rows else np.zeros(0, np.int64)
 
 
-def _packed(docs: pa.Table, fields: Sequence[str], parts: int) -> Iterator[pa.RecordBatch]:
+def _packed(docs: pa.Table, fields: Sequence[str]) -> Iterator[pa.RecordBatch]:
     docs = docs.combine_chunks()
     n, k = docs.num_rows, len(fields)
-    block = docs["block"].to_numpy().astype(np.int32)
-    order = np.argsort(block // parts, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    lengths, texts, places = [], [pa.array([""] * n, pa.string())], [rank * (k + 1) + k]  # the empty term stands for the document
+    block = docs["block"].to_numpy()
+    lengths, texts, places = [], [pa.array([""] * n, pa.string())], [np.arange(n) * (k + 1) + k]  # the empty term stands for the document
     for j, f in enumerate(fields):
         column = docs[f].chunk(0)
         own = np.diff(column.offsets.to_numpy()).astype(np.int32)
         lengths.append(own)
         texts.append(column.flatten().cast(pa.string()))
-        places.append(np.repeat(rank * (k + 1) + j, own))
+        places.append(np.repeat(np.arange(n) * (k + 1) + j, own))
     coded = pa.chunked_array(texts).combine_chunks().dictionary_encode()
-    # Sorted by term, then document in the order of classes, then field.
-    codes = coded.indices.fill_null(-1).to_numpy().astype(np.int64)
+    deals = np.array([deal(t) for t in coded.dictionary.to_pylist()], np.int32)
+    order = np.argsort(deals, kind="stable")
+    rank = np.append(np.empty(len(order), np.int64), -1)
+    rank[order] = np.arange(len(order))
+    # Sorted by deal, term, document, field; tokens that are null have no rank.
+    codes = rank[coded.indices.fill_null(-1).to_numpy()]
     keys = np.sort((codes * (n * (k + 1)) + np.concatenate(places))[codes >= 0])
     pair, field = np.divmod(keys, k + 1)
     starts = np.flatnonzero(np.diff(pair, prepend=-1))
-    code, place = np.divmod(pair[starts], n)
-    doc = order[place]
+    code, doc = np.divmod(pair[starts], n)
     counts = [np.add.reduceat(field == j, starts, dtype=np.int32) for j in range(k)]
     records = np.stack([block[doc], *counts, *(x[doc] for x in lengths)], axis=1).astype(np.int32)
-    kind = block[doc] // parts
-    firsts = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0))
-    bounds = np.append(firsts, len(doc)).astype(np.int32)
-    ids = docs["id"].chunk(0).take(pa.array(doc))
-    lists = pa.ListArray.from_arrays(pa.array(bounds), ids)
-    binary = pa.Array.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(bounds * np.int32(records.itemsize * records.shape[1])), pa.py_buffer(np.ascontiguousarray(records))])
-    out = pa.record_batch([coded.dictionary.take(pa.array(code[firsts])), pa.array(kind[firsts]), ids.take(pa.array(firsts)), lists, binary], names=["term", "class", "first", "ids", "records"])
+    term_at = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code))
+    own_deal = deals[order[code[term_at[:-1]]]]
+    deal_at = np.append(np.flatnonzero(np.diff(own_deal, prepend=-1)), len(own_deal)).astype(np.int32)
+    bounds = term_at[deal_at].astype(np.int32)
+    terms = coded.dictionary.take(pa.array(order[code[term_at[:-1]]]))
+    ids = docs["id"].chunk(0)
+    run = zlib.crc32(repr(ids[0].as_py()).encode()) >> 1
+    out = pa.record_batch(
+        [
+            pa.array(own_deal[deal_at[:-1]]),
+            pa.array(np.full(len(deal_at) - 1, run, np.int32)),
+            pa.ListArray.from_arrays(pa.array(deal_at), terms),
+            _binary(np.diff(term_at).astype(np.int32), deal_at),
+            pa.ListArray.from_arrays(pa.array(bounds), ids.take(pa.array(doc))),
+            _binary(records, bounds),
+        ],
+        names=["deal", "run", "terms", "sizes", "ids", "records"],
+    )
     for at in range(0, out.num_rows, _ROWS):
         yield out.slice(at, _ROWS)
 
 
-def packer(fields: Sequence[str], parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def packer(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From rows ``(id, block, a token array for each field)`` to packed rows."""
     fields = list(fields)
 
@@ -79,34 +112,25 @@ def packer(fields: Sequence[str], parts: int) -> Callable[[Iterator[pa.RecordBat
                 waiting.append(batch.slice(at, end - at))
                 tokens, rows, at = tokens + int(total[end - 1] - before), rows + end - at, end
                 if tokens >= RUN_TOKENS or rows >= RUN_DOCUMENTS:
-                    yield from _packed(pa.Table.from_batches(waiting), fields, parts)
+                    yield from _packed(pa.Table.from_batches(waiting), fields)
                     waiting, tokens, rows = [], 0, 0
         if waiting:
-            yield from _packed(pa.Table.from_batches(waiting), fields, parts)
+            yield from _packed(pa.Table.from_batches(waiting), fields)
 
     return run
 
 
-def opener(fields: Sequence[str], parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From packed rows in order of (term, class) to postings in order of (term, block), as far as a batch reaches."""
-    names = ["term", "block", "id", *(f"tf_{f}" for f in fields), *(f"len_{f}" for f in fields)]
-    width = 1 + 2 * len(fields)
+def opener(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From packed rows to postings."""
+    names = ["deal", "term", "block", "id", *(f"tf_{f}" for f in fields), *(f"len_{f}" for f in fields)]
 
     def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column("ids")
-        size = np.diff(ids.offsets.to_numpy())
-        column = batch.column("records")
-        buffers = column.buffers()
-        ends = np.frombuffer(buffers[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        records = np.frombuffer(buffers[2], np.int32, (ends[-1] - ends[0]) // 4, int(ends[0])).reshape(-1, width)
-        # A run of rows with the same term and class may hold its blocks in any order: sort those by block, in place.
-        terms = batch.column("term").dictionary_encode().indices.to_numpy().astype(np.int64)
-        same = np.cumsum((np.diff(terms, prepend=-1) != 0) | (np.diff(batch.column("class").to_numpy(), prepend=-1) != 0))
-        order = np.argsort(np.repeat(same, size) * parts + records[:, 0] % parts, kind="stable")
-        records = records[order]
-        columns = [pa.array(np.ascontiguousarray(records[:, j])) for j in range(width)]
-        term = batch.column("term").take(pa.array(np.repeat(np.arange(len(size)), size)[order]))
-        return pa.record_batch([term, columns[0], ids.flatten().take(pa.array(order)), *columns[1:]], names=names)
+        terms, ids, sizes = batch.column("terms"), batch.column("ids"), _numbers(batch.column("sizes"))
+        records = np.ascontiguousarray(_numbers(batch.column("records")).reshape(-1, 1 + 2 * len(fields)).T)
+        own = np.repeat(batch.column("deal").to_numpy(), np.diff(ids.offsets.to_numpy()))
+        term = terms.flatten().take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        columns = list(map(pa.array, records))
+        return pa.record_batch([pa.array(own), term, columns[0], ids.flatten(), *columns[1:]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +145,10 @@ def opener(fields: Sequence[str], parts: int) -> Callable[[Iterator[pa.RecordBat
 
 
 def bounder(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Count, largest frequencies and smallest lengths of each stretch of postings with one term and block."""
+    """Count, largest frequencies and smallest lengths of each stretch of sorted postings with one term and block.
+
+    Fewer than ``LEAST`` postings of a term next to each other become one row with a null block; the empty term's never do.
+    """
     most, least = [f"tf_{f}" for f in fields], [f"len_{f}" for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +156,14 @@ def bounder(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
             if not batch.num_rows:
                 continue
             term, block = batch.column("term"), batch.column("block").to_numpy()
-            codes = term.dictionary_encode().indices.to_numpy()
-            starts = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(block, prepend=block[0] - 1) != 0))
+            coded = term.dictionary_encode()
+            codes = coded.indices.to_numpy()
+            at = np.flatnonzero(np.diff(codes, prepend=-1))
+            size = np.diff(np.append(at, len(codes)))
+            few = np.repeat((size < LEAST) & (codes[at] != coded.dictionary.index("").as_py()), size)
+            starts = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (~few & (np.diff(block, prepend=-1) != 0)))
             n = np.diff(np.append(starts, len(block))).astype(np.int64)
             ends = [np.maximum.reduceat(batch.column(f).to_numpy(), starts) for f in most] + [np.minimum.reduceat(batch.column(f).to_numpy(), starts) for f in least]
-            yield pa.record_batch([term.take(pa.array(starts)), pa.array(block[starts]), pa.array(n), *map(pa.array, ends)], names=["term", "block", "n", *most, *least])
+            yield pa.record_batch([term.take(pa.array(starts)), pa.array(block[starts], mask=few[starts]), pa.array(n), *map(pa.array, ends)], names=["term", "block", "n", *most, *least])
 
     return run

@@ -3,11 +3,13 @@
 Four tables in one versioned folder, moved into place together:
 
 * ``postings``: a row for each term of a document with the frequency in each field and the fields' lengths, so that scoring
-  joins nothing. Dealt by ranges of (term, length class, id) and sorted so, in small row groups: a filter on terms reads
-  their row groups alone, and a term of many documents spreads over many files. The empty term stands for the document.
+  joins nothing. Terms are dealt by a hash; rows are dealt by ranges of (deal, run of documents) and sorted by (deal, term,
+  block) in small row groups: a filter on terms reads their row groups alone, and a term of many documents spreads over
+  many files. The empty term stands for the document itself.
 * ``blocks``: for each stretch of a term's postings in one block the number of documents, the largest frequencies and the
-  smallest lengths. The score falls with length and rises with frequency, so these bound it under any statistics.
-  Documents of like length share a block, which keeps the bounds apart. Made file by file from the sorted postings.
+  smallest lengths; short stretches of several blocks share a row without a block. The score falls with length and rises
+  with frequency, so these bound it under any statistics. Documents of like length share a block, which keeps the bounds
+  apart. Made file by file from the sorted postings.
 * ``terms``: document frequencies.
 * ``manifest``: one row with the number of documents, total lengths, and counts and digests of the other tables.
 
@@ -52,7 +54,7 @@ def _packed(index: search.Index) -> DataFrame:
     total = reduce(Column.__add__, (F.size(f) for f in names))
     tokens = index.docs.select(F.col(index.id_col).alias("id"), *(F.coalesce(f, F.array().cast("array<string>")).alias(f) for f in names))
     rows = tokens.select("id", _block(total, "id").alias("block"), *names)
-    return rows.mapInArrow(posting_runs.packer(names, PARTS), posting_runs.packed_schema(dict(rows.dtypes)["id"]))
+    return rows.mapInArrow(posting_runs.packer(names), posting_runs.packed_schema(dict(rows.dtypes)["id"]))
 
 
 def _numbers(fields: Sequence[str]) -> str:
@@ -88,16 +90,16 @@ def _build(index: search.Index, root: str, version: str) -> TextIndex:
     staging = f"{root}/.staging-{uuid.uuid4().hex}"
     packed = _packed(index)
     packed.write.parquet(f"{staging}-runs")  # dealing by ranges reads its rows twice
-    order, id_type = ["term", "class", "first"], dict(packed.dtypes)["first"]
-    dealt = spark.read.schema(packed.schema).parquet(f"{staging}-runs").repartitionByRange(*order).sortWithinPartitions(*order)
-    made = dealt.mapInArrow(posting_runs.opener(names, PARTS), f"term string, block int, id {id_type}, {_numbers(names)}")
+    id_type = dict(index.docs.dtypes)[index.id_col]
+    dealt = spark.read.schema(packed.schema).parquet(f"{staging}-runs").repartitionByRange("deal", "run")
+    made = dealt.mapInArrow(posting_runs.opener(names), f"deal int, term string, block int, id {id_type}, {_numbers(names)}").sortWithinPartitions("deal", "term", "block")
     made.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", ROW_GROUP >> 4).parquet(f"{staging}/postings")
     delete(spark, f"{staging}-runs")
     stored = spark.read.schema(made.schema).parquet(f"{staging}/postings")
-    blocks = stored.where("term <> ''").drop("id").mapInArrow(posting_runs.bounder(names), f"term string, block int, n long, {_numbers(names)}")
+    blocks = stored.drop("deal", "id").mapInArrow(posting_runs.bounder(names), f"term string, block int, n long, {_numbers(names)}")
     blocks.write.option("parquet.block.size", ROW_GROUP).parquet(f"{staging}/blocks")
     blocks = spark.read.schema(blocks.schema).parquet(f"{staging}/blocks")
-    terms = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    terms = blocks.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{staging}/terms")
     terms = spark.read.schema(terms.schema).parquet(f"{staging}/terms")
     whole = stored.where("term = ''").agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"len_{f}"), F.lit(0)).alias(f"total_{f}") for f in index.fields))
@@ -134,7 +136,7 @@ class TextIndex:
 
     def postings(self, terms: Sequence[str], blocks: Sequence[int] | None = None) -> DataFrame:
         """Rows of the wanted terms, of all blocks or some; both filters reach the row groups."""
-        rows = self.table("postings").where(F.col("term").isin(*terms))
+        rows = self.table("postings").where(F.col("deal").isin(*{posting_runs.deal(t) for t in terms}) & F.col("term").isin(*terms))
         if blocks is not None:
             rows = rows.where(F.col("block").between(min(blocks, default=0), max(blocks, default=-1)) & F.col("block").isin(*blocks))
         return rows
@@ -193,14 +195,27 @@ def _stored_statistics(stored: TextIndex, terms: Sequence[str]) -> DataFrame:
     return df.select(F.lit(0).alias("space"), F.lit(whole["n"]).alias("n"), means.alias("means"), "df")
 
 
+def _block_rows(stored: TextIndex, terms: Sequence[str]) -> DataFrame:
+    """``(term, block, tf_*, len_*)``: a term's largest frequencies and smallest lengths in each block that may hold it.
+
+    A term of few documents is looked up in the postings; bounds without a block hold for every one.
+    """
+    bounds = [F.max(f"tf_{f}").alias(f"tf_{f}") for f in stored.fields] + [F.min(f"len_{f}").alias(f"len_{f}") for f in stored.fields]
+    rare = [r["term"] for r in stored.table("terms").where(F.col("term").isin(*terms) & (F.col("df") < posting_runs.LEAST)).collect()]
+    rows = stored.table("blocks").where(F.col("term").isin(*(set(terms) - set(rare)))).drop("n")
+    every = stored.table("blocks").where("term = ''").select(F.col("block").alias("any_block")).distinct()
+    spread = rows.where("block IS NULL").groupBy("term").agg(*bounds).crossJoin(F.broadcast(every)).withColumn("block", F.col("any_block"))
+    few = stored.postings(rare).select(*rows.columns)
+    return rows.where("block IS NOT NULL").unionByName(spread.select(*rows.columns)).unionByName(few).groupBy("term", "block").agg(*bounds)
+
+
 def block_bounds(stored: TextIndex, plans: Sequence[search.QueryPlan], stats: DataFrame) -> DataFrame:
     """``(query_id, block, bound)``: what no document of the block can exceed; blocks that lack a whole group of terms are left out.
 
     At most a row for each query and block, and there are a few hundred blocks whatever the number of documents.
     """
     terms = sorted({t for p in plans for t in p.terms} | {t for p in plans for g in p.groups for t in g})
-    bounds = [F.max(f"tf_{f}").alias(f"tf_{f}") for f in stored.fields] + [F.min(f"len_{f}").alias(f"len_{f}") for f in stored.fields]
-    rows = stored.table("blocks").where(F.col("term").isin(*terms)).groupBy("term", "block").agg(*bounds)
+    rows = _block_rows(stored, terms)
     means = stats.select("means", F.col("n").alias("n_docs"), "df")
     df = F.try_element_at("df", F.col("term"))
     idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
