@@ -1,8 +1,8 @@
 """Postings of runs of documents: what a task shuffles for a full-text index is a row for each deal of terms and run.
 
 A task counts the terms of some two million tokens at a time and packs those of one deal (a hash of the term) into one
-row: the terms, their documents' ids and, for each of them, a record of its block, frequencies and lengths. Packed rows
-are what is shuffled; they are opened again behind the shuffle. Everything is numpy over Arrow buffers; memory is bounded
+row: the terms, and their documents' ids with frequencies and lengths, as compressed Arrow columns. Packed rows are what
+is shuffled; they are opened again behind the shuffle. Everything is numpy over Arrow buffers; memory is bounded
 by ``RUN_TOKENS`` and ``RUN_DOCUMENTS``, or by one document where it is longer.
 """
 
@@ -17,32 +17,29 @@ import pyarrow as pa
 #: Tokens and documents that are counted together.
 RUN_TOKENS, RUN_DOCUMENTS = 1 << 21, 1 << 15
 #: Deals of terms.
-DEALS = 4096
+DEALS = 1024
 #: Postings of a term in one place from which each block has its own bounds.
 LEAST = 64
 #: Packed rows handed on at a time, and postings opened at a time.
-_ROWS, _OPENED = 256, 1 << 17
+_ROWS, _OPENED = 64, 1 << 17
 
 
-def packed_schema(id_type: str) -> str:
-    return f"deal int, run int, terms array<string>, sizes binary, ids array<{id_type}>, records binary"
+PACKED = "deal int, run int, postings int, terms binary, records binary"
 
 
 def deal(term: str) -> int:
     return zlib.crc32(term.encode()) % DEALS
 
 
-def _binary(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Rows of 32-bit numbers as one binary value for each stretch between bounds."""
-    width = numbers.itemsize * (numbers.shape[1] if numbers.ndim > 1 else 1)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * np.int32(width)), pa.py_buffer(np.ascontiguousarray(numbers))])
+def _sealed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    """The 32-bit numbers of all values of a binary column."""
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.int32, (ends[-1] - ends[0]) // 4, int(ends[0]))
+def _unsealed(values: pa.Array) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(v.as_buffer()).read_all() for v in values]).combine_chunks()
 
 
 def _tokens(batch: pa.RecordBatch, fields: Sequence[str]) -> np.ndarray:
@@ -53,7 +50,6 @@ def _tokens(batch: pa.RecordBatch, fields: Sequence[str]) -> np.ndarray:
 def _packed(docs: pa.Table, fields: Sequence[str]) -> Iterator[pa.RecordBatch]:
     docs = docs.combine_chunks()
     n, k = docs.num_rows, len(fields)
-    block = docs["block"].to_numpy()
     lengths, texts, places = [], [pa.array([""] * n, pa.string())], [np.arange(n) * (k + 1) + k]  # the empty term stands for the document
     for j, f in enumerate(fields):
         column = docs[f].chunk(0)
@@ -73,31 +69,26 @@ def _packed(docs: pa.Table, fields: Sequence[str]) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.diff(pair, prepend=-1))
     code, doc = np.divmod(pair[starts], n)
     counts = [np.add.reduceat(field == j, starts, dtype=np.int32) for j in range(k)]
-    records = np.stack([block[doc], *counts, *(x[doc] for x in lengths)], axis=1).astype(np.int32)
-    term_at = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code))
-    own_deal = deals[order[code[term_at[:-1]]]]
-    deal_at = np.append(np.flatnonzero(np.diff(own_deal, prepend=-1)), len(own_deal)).astype(np.int32)
-    bounds = term_at[deal_at].astype(np.int32)
-    terms = coded.dictionary.take(pa.array(order[code[term_at[:-1]]]))
+    numbers = [pa.array(x) for x in (*counts, *(x[doc] for x in lengths))]
+    names = ["id", *(f"tf_{f}" for f in fields), *(f"len_{f}" for f in fields)]
     ids = docs["id"].chunk(0)
+    records = pa.record_batch([ids.take(pa.array(doc)), *numbers], names=names)
+    term_at = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code))
+    place = order[code[term_at[:-1]]]
+    terms = pa.record_batch([coded.dictionary.take(pa.array(place)), pa.array(np.diff(term_at).astype(np.int32))], names=["term", "size"])
+    deal_at = np.append(np.flatnonzero(np.diff(deals[place], prepend=-1)), len(place))
     run = zlib.crc32(repr(ids[0].as_py()).encode()) >> 1
-    out = pa.record_batch(
-        [
-            pa.array(own_deal[deal_at[:-1]]),
-            pa.array(np.full(len(deal_at) - 1, run, np.int32)),
-            pa.ListArray.from_arrays(pa.array(deal_at), terms),
-            _binary(np.diff(term_at).astype(np.int32), deal_at),
-            pa.ListArray.from_arrays(pa.array(bounds), ids.take(pa.array(doc))),
-            _binary(records, bounds),
-        ],
-        names=["deal", "run", "terms", "sizes", "ids", "records"],
-    )
-    for at in range(0, out.num_rows, _ROWS):
-        yield out.slice(at, _ROWS)
+    for some in range(0, len(deal_at) - 1, _ROWS):
+        rows = []
+        for a, b in zip(deal_at[some : some + _ROWS], deal_at[some + 1 : some + _ROWS + 1]):
+            start, end = int(term_at[a]), int(term_at[b])
+            rows.append((int(deals[place[a]]), run, end - start, _sealed(terms.slice(a, b - a)), _sealed(records.slice(start, end - start))))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
+        yield pa.record_batch(columns, names=["deal", "run", "postings", "terms", "records"])
 
 
 def packer(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows ``(id, block, a token array for each field)`` to packed rows."""
+    """From rows ``(id, a token array for each field)`` to packed rows."""
     fields = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,22 +113,21 @@ def packer(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def opener(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From packed rows to postings."""
-    names = ["deal", "term", "block", "id", *(f"tf_{f}" for f in fields), *(f"len_{f}" for f in fields)]
 
     def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
-        terms, ids, sizes = batch.column("terms"), batch.column("ids"), _numbers(batch.column("sizes"))
-        records = np.ascontiguousarray(_numbers(batch.column("records")).reshape(-1, 1 + 2 * len(fields)).T)
-        own = np.repeat(batch.column("deal").to_numpy(), np.diff(ids.offsets.to_numpy()))
-        term = terms.flatten().take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-        columns = list(map(pa.array, records))
-        return pa.record_batch([pa.array(own), term, columns[0], ids.flatten(), *columns[1:]], names=names)
+        terms, records = _unsealed(batch.column("terms")), _unsealed(batch.column("records"))
+        term = terms["term"].chunk(0).take(pa.array(np.repeat(np.arange(terms.num_rows), terms["size"].to_numpy())))
+        own = np.repeat(batch.column("deal").to_numpy(), batch.column("postings").to_numpy())
+        names = ["id", *(f"tf_{f}" for f in fields), *(f"len_{f}" for f in fields)]
+        return pa.record_batch([pa.array(own), term, *(records[c].chunk(0) for c in names)], names=["deal", "term", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = batch.column("ids").offsets.to_numpy()
+            total = np.cumsum(batch.column("postings").to_numpy())
             at = 0
             while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(total, total[at] + _OPENED, "right")) - 1)
+                before = int(total[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(total, before + _OPENED, "right")))
                 yield opened(batch.slice(at, end - at))
                 at = end
 

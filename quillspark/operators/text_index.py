@@ -51,10 +51,8 @@ def _block(total: Column, id_col: str) -> Column:
 def _packed(index: search.Index) -> DataFrame:
     """Postings of all documents in runs, from one scan that tokenises once; a null field has no tokens."""
     names = list(index.fields)
-    total = reduce(Column.__add__, (F.size(f) for f in names))
-    tokens = index.docs.select(F.col(index.id_col).alias("id"), *(F.coalesce(f, F.array().cast("array<string>")).alias(f) for f in names))
-    rows = tokens.select("id", _block(total, "id").alias("block"), *names)
-    return rows.mapInArrow(posting_runs.packer(names), posting_runs.packed_schema(dict(rows.dtypes)["id"]))
+    rows = index.docs.select(F.col(index.id_col).alias("id"), *(F.coalesce(f, F.array().cast("array<string>")).alias(f) for f in names))
+    return rows.mapInArrow(posting_runs.packer(names), posting_runs.PACKED)
 
 
 def _numbers(fields: Sequence[str]) -> str:
@@ -92,7 +90,9 @@ def _build(index: search.Index, root: str, version: str) -> TextIndex:
     packed.write.parquet(f"{staging}-runs")  # dealing by ranges reads its rows twice
     id_type = dict(index.docs.dtypes)[index.id_col]
     dealt = spark.read.schema(packed.schema).parquet(f"{staging}-runs").repartitionByRange("deal", "run")
-    made = dealt.mapInArrow(posting_runs.opener(names), f"deal int, term string, block int, id {id_type}, {_numbers(names)}").sortWithinPartitions("deal", "term", "block")
+    total = reduce(Column.__add__, (F.col(f"len_{f}") for f in names))
+    opened = dealt.mapInArrow(posting_runs.opener(names), f"deal int, term string, id {id_type}, {_numbers(names)}")
+    made = opened.withColumn("block", _block(total, "id")).sortWithinPartitions("deal", "term", "block")
     made.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", ROW_GROUP >> 4).parquet(f"{staging}/postings")
     delete(spark, f"{staging}-runs")
     stored = spark.read.schema(made.schema).parquet(f"{staging}/postings")
@@ -102,7 +102,7 @@ def _build(index: search.Index, root: str, version: str) -> TextIndex:
     terms = blocks.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{staging}/terms")
     terms = spark.read.schema(terms.schema).parquet(f"{staging}/terms")
-    whole = stored.where("term = ''").agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"len_{f}"), F.lit(0)).alias(f"total_{f}") for f in index.fields))
+    whole = stored.where((F.col("deal") == posting_runs.deal("")) & (F.col("term") == "")).agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"len_{f}"), F.lit(0)).alias(f"total_{f}") for f in index.fields))
     own = [t.agg(F.struct(*_digest(t)).alias(name)) for name, t in (("postings", stored), ("blocks", blocks), ("terms", terms))]
     reduce(lambda a, b: a.crossJoin(b), own, whole).coalesce(1).write.parquet(f"{staging}/manifest")
     move_into_place(spark, staging, f"{root}/{version}")
