@@ -18,8 +18,8 @@ import pyarrow as pa
 RUN_TOKENS, RUN_DOCUMENTS = 1 << 21, 1 << 15
 #: Deals of terms.
 DEALS = 1024
-#: Postings of a term in one place from which each block has its own bounds.
-LEAST = 64
+#: Postings of a term in one place from which each block has its own bounds; there are a few hundred blocks.
+LEAST = 1024
 #: Packed rows handed on at a time, and postings opened at a time.
 _ROWS, _OPENED = 64, 1 << 17
 
@@ -137,7 +137,8 @@ def opener(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def bounder(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Count, largest frequencies and smallest lengths of each stretch of sorted postings with one term and block.
 
-    Fewer than ``LEAST`` postings of a term next to each other become one row with a null block; the empty term's never do.
+    Fewer than ``LEAST`` postings of a term next to each other become one row with a null block, but not those of the empty
+    term nor those at either end of a batch, where a frequent term may go on.
     """
     most, least = [f"tf_{f}" for f in fields], [f"len_{f}" for f in fields]
 
@@ -150,7 +151,9 @@ def bounder(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
             codes = coded.indices.to_numpy()
             at = np.flatnonzero(np.diff(codes, prepend=-1))
             size = np.diff(np.append(at, len(codes)))
-            few = np.repeat((size < LEAST) & (codes[at] != coded.dictionary.index("").as_py()), size)
+            short = (size < LEAST) & (codes[at] != coded.dictionary.index("").as_py())
+            short[[0, -1]] = False
+            few = np.repeat(short, size)
             starts = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (~few & (np.diff(block, prepend=-1) != 0)))
             n = np.diff(np.append(starts, len(block))).astype(np.int64)
             ends = [np.maximum.reduceat(batch.column(f).to_numpy(), starts) for f in most] + [np.minimum.reduceat(batch.column(f).to_numpy(), starts) for f in least]

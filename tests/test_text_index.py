@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import search, text_index
+from quillspark.operators import posting_runs, search, text_index
 from quillspark.plans.tables import catalogue, fields
 
 WORDS = [f"w{k}" for k in range(60)]
@@ -103,3 +103,23 @@ def test_the_catalogue_has_the_same_answers(spark, sf_dir, tmp_path):
     got = text_index.lexical_search(text_index.build(index, str(tmp_path), "v1"), [plan])
     want = search.lexical_search(index, [plan], F.concat("title", "routing", "metadata", "content"))
     assert sorted(map(str, got.select("doc_id", "score", "rank").collect())) == sorted(map(str, want.select("doc_id", "score", "rank").collect()))
+
+
+def test_repeated_null_and_missing_tokens(spark, tmp_path):
+    rows = [("a", ["x", None, "x"], None, [], ["x", "y"]), ("b", [], ["y"], None, None), (None, ["z"], [], [], ["x"])]
+    docs = spark.createDataFrame(rows, "id string, title array<string>, routing array<string>, metadata array<string>, content array<string>")
+    stored = text_index.build(search.Index(docs, "id"), str(tmp_path), "v1")
+    got = {(r.term, r.id): (r.tf_title, r.tf_routing, r.tf_content, r.len_title, r.len_content) for r in stored.table("postings").where("term <> ''").collect()}
+    assert got == {("x", "a"): (2, 0, 1, 3, 2), ("y", "a"): (0, 0, 1, 3, 2), ("y", "b"): (0, 1, 0, 0, 0), ("z", None): (1, 0, 0, 1, 1), ("x", None): (0, 0, 1, 1, 1)}
+    assert {r.term: r.df for r in stored.table("terms").collect()} == {"x": 2, "y": 2, "z": 1}
+
+
+def test_small_runs_and_frequent_terms(spark, docs, tmp_path, monkeypatch):
+    want = {tuple(r) for r in text_index.build(search.Index(docs, "id"), str(tmp_path), "v1").table("postings").collect()}
+    monkeypatch.setattr(posting_runs, "RUN_TOKENS", 700)
+    monkeypatch.setattr(posting_runs, "RUN_DOCUMENTS", 11)
+    packer = posting_runs.packer(list(search.FIELD_WEIGHTS))
+    rows = docs.select("id", *search.FIELD_WEIGHTS).toArrow().combine_chunks().to_batches()
+    opener = posting_runs.opener(list(search.FIELD_WEIGHTS))
+    got = [tuple(r.values()) for b in opener(packer(iter(rows))) for r in b.to_pylist()]
+    assert len(got) == len(want) and {r[:3] for r in got} == {(r[0], r[1], r[2]) for r in want}
