@@ -1,10 +1,12 @@
 """Quality classifier by co-training of two views.
 
-The text view sees hashed byte n-grams, the metadata view sees length, language and
-source. Both are logistic models fitted on a bounded sample of labelled documents.
-In each round both views score all documents that have no label, and each hands its
-most confident pseudo-labels, ``HANDED`` of each class at most, to the other view.
-Each view is then calibrated on labelled documents set aside, and the two are combined
+The text view sees hashed byte n-grams, the metadata view sees language, source and the
+layout of the page: its length, its lines and their length, and the shares of digits,
+capitals and signs. Both are logistic models fitted on a bounded sample of labelled documents.
+Each view is calibrated on labelled documents set aside. In each round both views score all
+documents that have no label, and each hands its most confident pseudo-labels, by its
+calibrated score, ``HANDED`` of each class at most, to the other view. A view that does not
+rank the documents set aside (``RANKS_FROM``) hands over nothing. In the end the two are combined
 as independent evidence: logit(text) + logit(metadata) - logit(prior). Every document
 is scored.
 
@@ -15,7 +17,8 @@ that are handed over, and of the labelled sample, are what reaches the driver.
 Defined results: null or empty texts have no n-grams and are scored by their metadata;
 null metadata is a value of its own; of contradictory labels for an id the lower one
 counts; without labels of both kinds every score is the prior (1 without any label);
-repeated rows are each scored, and one of them is learned from; equally confident
+repeated rows are each scored; they count as one when documents are handed over,
+and one of them is learned from; equally confident
 documents are handed over in the order of ids; a very long text is one row of one task;
 an empty table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -37,12 +40,19 @@ from .common import batch, settled
 from .quality_rules import buckets
 
 TEXT_BITS = 9
-META_SIZE = 128
+META_SIZE = 200
 LABELLED_LIMIT = 6_000
 ROUNDS = 4
 #: Pseudo-labels that a view hands over in a round, of each class at most, and the confidence they need.
 HANDED, CONFIDENT = 150, 0.95
+#: The share of good and bad pairs set aside that a view has to order rightly before it hands over anything.
+RANKS_FROM = 0.7
 KEEP_FROM = 0.5
+#: Where the steps of a share of a text's bytes begin.
+STEPS = np.array([1e-9, 0.005, 0.01, 0.02, 0.05, 0.1, 0.25])
+_CLASS = np.zeros(256, np.uint8)  # 1 line end, 2 digit, 3 capital, 4 sign
+_CLASS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 4
+_CLASS[0x30:0x3A], _CLASS[0x41:0x5B], _CLASS[0x0A] = 2, 3, 1
 
 
 def text_features(piece: tk.Slice) -> np.ndarray:
@@ -54,9 +64,18 @@ def text_features(piece: tk.Slice) -> np.ndarray:
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
-def meta_features(lengths: list, langs: list, sources: list) -> np.ndarray:
-    """One-hot features: length in powers of two, hashed language, hashed source."""
-    out = np.zeros((len(lengths), META_SIZE), np.float32)
+def meta_features(piece: tk.Slice, lengths: list, langs: list, sources: list) -> np.ndarray:
+    """One-hot features: length, lines and mean line length in powers of two, shares of characters in steps, hashed language and source."""
+    n = len(lengths)
+    out = np.zeros((n, META_SIZE), np.float32)
+    rows, size = np.arange(n), np.diff(piece.offsets)
+    kind = _CLASS[piece.data]
+    ends, digits, capitals, signs = (np.diff(np.searchsorted(np.flatnonzero(kind == k), piece.offsets)) for k in (1, 2, 3, 4))
+    lines = ends + (size > 0)
+    out[rows, 128 + np.minimum(np.ceil(np.log2(lines + 1)).astype(int), 31)] = 1
+    out[rows, 160 + np.minimum(np.ceil(np.log2(size // np.maximum(lines, 1) + 1)).astype(int), 15)] = 1
+    for first, count in ((176, digits), (184, capitals), (192, signs)):
+        out[rows, first + np.searchsorted(STEPS, count / np.maximum(size, 1), side="right")] = 1
     for r, (length, lang, source) in enumerate(zip(lengths, langs, sources, strict=True)):
         out[r, min(int(length).bit_length(), 31) if length and length > 0 else 0] = 1
         out[r, 32 + zlib.crc32(repr(lang).encode()) % 32] = 1
@@ -88,6 +107,26 @@ def linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
+def ordered(score: np.ndarray, y: np.ndarray) -> float:
+    """The share of pairs of a good and a bad document that the score orders rightly; ties count half."""
+    good, bad = score[y == 1][:, None], score[y == 0][None, :]
+    return float(((good > bad) + 0.5 * (good == bad)).mean())
+
+
+def calibration(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset; a view that ranks the wrong way round says nothing, and its best constant is the share of good ones."""
+    s = fit(score[:, None], y.astype(float), penalty=1e-3)
+    return (float(s[0]), float(s[1])) if s[0] > 0 else (0.0, logit(float(y.mean())))
+
+
+def handing(w: np.ndarray, score: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the calibrated score; all zero, so never confident, if the view doesn't rank what was set aside."""
+    slope, offset = calibration(score, y)
+    if slope == 0 or ordered(score, y) < RANKS_FROM:
+        return np.zeros_like(w)
+    return np.append(slope * w[:-1], slope * w[-1] + offset)
+
+
 @dataclass
 class Model:
     """Weights of both views with their calibration (slope, offset), and the prior."""
@@ -110,7 +149,7 @@ Handed = dict[int, tuple[int, np.ndarray, np.ndarray]]
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[list[np.ndarray], list[set[int]]], list[Handed]], rounds: int = ROUNDS) -> Model:
     """``text``, ``meta``, ``y``: labelled documents, of which a fifth of each label is set aside for calibration.
 
-    ``pool(weights, taken)`` scores the unlabelled documents with both views and gives what each view hands to the
+    ``pool(weights, taken)``, given the weights of the calibrated scores, scores the unlabelled documents with both views and gives what each view hands to the
     other: (label, text features, metadata features) by id; ids in ``taken`` were handed to that view before.
     """
     prior = float(y.mean()) if len(y) else 1.0
@@ -127,24 +166,29 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[
             models.append(fit(x, np.array([*y[core], *(v[0] for v in given[k].values())], float)))
         if step == rounds:
             break
-        offers = pool(models, [set(given[1]), set(given[0])])
+        surest = [handing(w, linear(view[aside], w), y[aside]) for view, w in zip((text, meta), models, strict=True)]
+        offers = pool(surest, [set(given[1]), set(given[0])])
         if not any(offers):
             break
         given[1] |= offers[0]
         given[0] |= offers[1]
-    scales = []
-    for view, w in zip((text, meta), models, strict=True):
-        s = fit(linear(view[aside], w)[:, None], y[aside].astype(float), penalty=1e-3)
-        # a view that ranks the wrong way round says nothing: its best constant is the share of good ones
-        scales.append((float(s[0]), float(s[1])) if s[0] > 0 else (0.0, logit(float(y[aside].mean()))))
+    scales = [calibration(linear(view[aside], w), y[aside]) for view, w in zip((text, meta), models, strict=True)]
     return Model(models[0], models[1], scales[0], scales[1], prior)
 
 
-def confident(p: np.ndarray, ids: np.ndarray, free: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each label the rows that are free and sure of it, the surest ``HANDED`` of them."""
+def surest(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``HANDED`` ids of least score, an id's best row alone; which rows met in a task makes no difference to the best of all."""
+    order = np.lexsort((score, ids))
+    order = order[np.append(True, np.diff(ids[order]) != 0)] if len(order) else order
+    top = order[np.lexsort((ids[order], score[order]))[:HANDED]]
+    return ids[top], score[top]
+
+
+def confident(p: np.ndarray, ids: np.ndarray, free: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each label the ids of rows that are free and sure of it, the surest ``HANDED`` of them, with how unsure they are."""
     for label, score in ((0, p), (1, 1 - p)):
         rows = np.flatnonzero(free & (score <= 1 - CONFIDENT))
-        yield label, rows[np.lexsort((ids[rows], score[rows]))[:HANDED]]
+        yield label, *surest(ids[rows], score[rows])
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -154,7 +198,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def _views(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for piece in tk.slices(b.column(1)):
         part = b.slice(piece.first, piece.last - piece.first)
-        yield part, text_features(piece), meta_features(*(part.column(c).to_pylist() for c in (2, 3, 4)))
+        yield part, text_features(piece), meta_features(piece, *(part.column(c).to_pylist() for c in (2, 3, 4)))
 
 
 def _features(own: DataFrame, wanted: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -193,11 +237,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
                     for k in range(2):
                         p = sigmoid(linear(views[k], models[k]))
                         free = ~pc.is_in(part.column(0), closed[k]).to_numpy(zero_copy_only=False)
-                        for label, rows in confident(p, names, free):
-                            at, sure = best[2 * k + label]
-                            at, sure = np.concatenate([at, names[rows]]), np.concatenate([sure, (1 - p if label else p)[rows]])
-                            top = np.lexsort((at, sure))[:HANDED]
-                            best[2 * k + label] = [at[top], sure[top]]
+                        for label, *found in confident(p, names, free):
+                            best[2 * k + label] = list(surest(*(np.concatenate(x) for x in zip(best[2 * k + label], found, strict=True))))
             for slot, (at, sure) in enumerate(best):
                 yield batch("slot int,doc_id long,p double", np.full(len(at), slot), at, sure)
 

@@ -206,7 +206,7 @@ def array_pool(views):
         for k in range(2):
             p = co_training.sigmoid(co_training.linear(views[k], weights[k]))
             free = ~np.isin(np.arange(len(p)), sorted(taken[k]))
-            out.append({int(r): (label, views[0][r], views[1][r]) for label, rows in co_training.confident(p, np.arange(len(p)), free) for r in rows})
+            out.append({int(r): (label, views[0][r], views[1][r]) for label, rows, _ in co_training.confident(p, np.arange(len(p)), free) for r in rows})
         return out
 
     return pool
@@ -233,6 +233,36 @@ def test_a_useless_view_is_calibrated_to_a_constant():
     assert model.meta_scale[0] >= 0 and abs(co_training.sigmoid(np.array(model.meta_scale[1])) - 0.7) < 0.1
 
 
+def test_copies_count_once_when_handed_over():
+    ids = np.array([7] * 500 + [3, 4, 3])
+    p = np.array([0.001] * 500 + [0.01, 0.03, 0.002])
+    got = {label: (at.tolist(), unsure.tolist()) for label, at, unsure in co_training.confident(p, ids, np.ones(len(p), bool))}
+    assert got == {0: ([7, 3, 4], [0.001, 0.002, 0.03]), 1: ([], [])}
+
+
+def test_a_view_that_does_not_rank_hands_over_nothing():
+    r = np.random.default_rng(7)
+    y = (np.arange(600) % 3 > 0).astype(int)
+    good = (y[:, None] + r.normal(0, 0.3, (600, 4))).astype(np.float32)
+    noise = r.normal(0, 1, (600, 1)).astype(np.float32)
+    seen = []
+
+    def pool(weights, taken):
+        seen.append([bool(np.any(w)) for w in weights])
+        return [{}, {}] if len(seen) > 1 else array_pool((good, noise))(weights, taken)
+
+    co_training.co_train(good, noise, y, pool)
+    assert seen and all(s == [True, False] for s in seen)
+
+
+def test_page_layout_features(spark):
+    piece, = tk.slices(pa.array(["", "Ab 12\n\nx!", None, "é" * 40]))
+    got = co_training.meta_features(piece, [0, 9, None, 40], [None, "en", None, "fr"], [None] * 4)
+    lines, length = got[:, 128:160].argmax(1).tolist(), got[:, 160:176].argmax(1).tolist()
+    assert lines == [0, 2, 0, 1] and length == [0, 2, 0, 7] and (got.sum(1) == 8).all()
+    assert [got[1, k : k + 8].argmax() for k in (176, 184, 192)] == [6, 6, 6] and got[3, 176] == got[0, 192] == 1
+
+
 def test_pool_covers_all_documents(spark):
     """Accuracy on labels that training never saw, and the same pool as one computed over arrays."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
