@@ -66,6 +66,13 @@ def spread_pages(total: int, wanted: int) -> list[int]:
     return sorted(pages)
 
 
+def spread(total: Column, wanted: int) -> Column:
+    """SMP-2 for each row: the pages of ``spread_pages`` as an array; steps of one page or more never round to the same page."""
+    n = F.least(F.greatest(total, F.lit(0)), F.lit(max(0, wanted))).cast("int")
+    page = lambda i: (1 + F.bround(i * (total - 1) / F.greatest(n - 1, F.lit(1)).cast("double"))).cast("long")
+    return F.when(n < 1, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), page))
+
+
 def chapter_sizes(items: int, chapters: int) -> list[int]:
     """MTH-5: as even as possible, the first chapters larger."""
     base, more = divmod(items, chapters)

@@ -204,16 +204,18 @@ def agg31_review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.progress(questions, candidates, log)
 
 
-@R.add("""WITH old AS (SELECT user_id, count(*) AS last FROM events WHERE event_id < 3000 GROUP BY user_id), new AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events WHERE event_id >= 3000)
+@R.add("""WITH e AS (SELECT *, event_id < (SELECT max(event_id) * 3 // 5 FROM events) AS early FROM events), old AS (SELECT user_id, count(*) AS last FROM e WHERE early GROUP BY user_id),
+new AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM e WHERE NOT early)
 SELECT event_id AS arrival, CASE WHEN event_id % 10 = 0 THEN 'conflict' ELSE 'accepted' END AS status FROM (SELECT new.*, coalesce(last, 0) AS last FROM new LEFT JOIN old USING (user_id))""")
 def win11_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events")
+    e = e.crossJoin(F.broadcast(e.agg(F.expr("max(event_id) * 3 div 5").alias("cut"))))  # one row
     by_user = Window.partitionBy("user_id").orderBy("event_id")
-    log = e.where("event_id < 3000").withColumn("revision", F.row_number().over(by_user)).select("user_id", "revision", F.col("event_id").alias("request_id"))
+    log = e.where("event_id < cut").withColumn("revision", F.row_number().over(by_user)).select("user_id", "revision", F.col("event_id").alias("request_id"))
     last = log.groupBy("user_id").agg(F.max("revision").alias("l"))
-    new = e.where("event_id >= 3000").withColumn("turn", F.row_number().over(by_user)).join(last, "user_id", "left")
+    new = e.where("event_id >= cut").withColumn("turn", F.row_number().over(by_user)).join(last, "user_id", "left")
     wrong = F.when(F.col("event_id") % 10 == 0, 100_000).otherwise(0)
     incoming = new.select("user_id", (F.coalesce("l", F.lit(0)) + F.col("turn") + wrong).alias("revision"), F.col("event_id").alias("request_id"), F.col("event_id").alias("arrival"))
     return review.accepted_appends(log, incoming, ["user_id"]).select("arrival", "status")

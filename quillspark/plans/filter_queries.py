@@ -149,9 +149,12 @@ def smp1_water_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.water_fill(sizes, "c_nationkey", 700)
 
 
-@R.add("SELECT DISTINCT CAST(1 + round_even(i * 99 / 12.0, 0) AS BIGINT) AS page FROM range(13) t(i)")
+@R.add("""WITH s AS (SELECT p_brand, count(*) AS total, least(count(*), 13) AS wanted FROM part GROUP BY p_brand)
+SELECT p_brand, CAST(CASE WHEN wanted < 2 THEN 1 ELSE 1 + round_even(i * (total - 1) / CAST(wanted - 1 AS DOUBLE), 0) END AS BIGINT) AS page FROM s, range(13) t(i) WHERE i < wanted""")
 def smp2_spread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in V.spread_pages(100, 13)], "page long")
+    """SMP-2: of each brand's pages, one for each part, 13 that are evenly spread."""
+    sizes = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("total"))
+    return sizes.select("p_brand", F.explode(V.spread(F.col("total"), 13)).alias("page"))
 
 
 @R.add("SELECT c_custkey, sha256('q1:' || c_custkey) AS digest FROM customer ORDER BY digest, c_custkey LIMIT 50")

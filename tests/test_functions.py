@@ -95,3 +95,10 @@ def test_excerpt_matches_plain_loop(spark):
         return w.rstrip() + "…"
 
     assert column(spark, texts, lambda c: T.excerpt(c, 50)) == [plain(t) for t in texts]
+
+
+def test_spread_pages_by_row(spark):
+    rows = spark.createDataFrame([(t,) for t in range(-1, 60)], "t long")
+    for wanted in (0, 1, 2, 7, 13):
+        got = rows.select("t", V.spread(F.col("t"), wanted).alias("pages")).collect()
+        assert {r.t: r.pages for r in got} == {t: V.spread_pages(t, wanted) for t in range(-1, 60)}
