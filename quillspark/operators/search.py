@@ -50,6 +50,19 @@ def atomic_plan(query_id: str, phrase: str) -> QueryPlan:
     return QueryPlan(query_id, words, words, tuple((w,) for w in words))
 
 
+def planned(question: Column) -> Column:
+    """QRY-1 for each row of a table of questions: ``exact`` words, ``groups`` of their forms, and all ``terms``; a null has none."""
+    words = F.filter(T.asked_words(F.coalesce(question, F.lit(""))), lambda w: F.length(w) > 1)
+    groups = F.transform(words, lambda w: F.array_sort(F.array_distinct(T.forms(w))))
+    return F.struct(words.alias("exact"), groups.alias("groups"), F.array_sort(F.array_distinct(F.flatten(groups))).alias("terms"))
+
+
+def atomically_planned(phrase: Column) -> Column:
+    """QRY-2 for each row: every word must occur, each a group of its own."""
+    words = T.asked_words(F.coalesce(phrase, F.lit("")))
+    return F.struct(words.alias("exact"), F.transform(words, lambda w: F.array(w)).alias("groups"), words.alias("terms"))
+
+
 def query_terms(spark: SparkSession, plans: Sequence[QueryPlan]) -> DataFrame:
     """A row for each query with the boost of each of its terms; as small as the questions."""
     rows = [(p.query_id, {t: EXACT_BOOST if t in p.exact else 1.0 for t in p.terms}) for p in plans]

@@ -120,19 +120,20 @@ def snk6_resumed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.vectors(p, "p_name").select("p_partkey", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
 
 
-@R.add("""WITH w AS (SELECT n_nationkey, unnest(regexp_extract_all(lower('Old ' || n_name || ' vases'), '\\w+')) AS word FROM nation),
-f AS (SELECT n_nationkey, word, word AS form FROM w UNION SELECT n_nationkey, word, CASE WHEN NOT regexp_full_match(word, '[a-z][a-z''-]{2,}') THEN word WHEN word LIKE '%ies' AND length(word) > 4 THEN word[1:-4] || 'y'
- WHEN word LIKE '%s' AND NOT (word LIKE '%is' OR word LIKE '%ss' OR word LIKE '%ics') THEN word[1:-2] WHEN NOT regexp_matches(word, '[sxz]$') THEN word || 's' ELSE word END FROM w)
-SELECT n_nationkey, string_agg(DISTINCT form, ',' ORDER BY form) AS terms, CAST(count(DISTINCT word) AS BIGINT) AS anchors FROM f GROUP BY n_nationkey""")
+@R.add("""WITH w AS (SELECT p_partkey, unnest(regexp_extract_all(lower('Old ' || p_name || ' vases'), '\\w+')) AS word FROM part),
+f AS (SELECT p_partkey, word, word AS form FROM w WHERE length(word) > 1 UNION SELECT p_partkey, word, CASE WHEN NOT regexp_full_match(word, '[a-z][a-z''-]{2,}') THEN word WHEN word LIKE '%ies' AND length(word) > 4 THEN word[1:-4] || 'y'
+ WHEN word LIKE '%s' AND NOT (word LIKE '%is' OR word LIKE '%ss' OR word LIKE '%ics') THEN word[1:-2] WHEN NOT regexp_matches(word, '[sxz]$') THEN word || 's' ELSE word END FROM w WHERE length(word) > 1)
+SELECT p_partkey, string_agg(DISTINCT form, ',' ORDER BY form) AS terms, CAST(count(DISTINCT word) AS BIGINT) AS anchors FROM f GROUP BY p_partkey""")
 def qry1_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = [(r[0], search.plan(str(r[0]), f"Old {r[1]} vases")) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()]
-    return spark.createDataFrame([(k, ",".join(p.terms), len(p.groups)) for k, p in plans], "n_nationkey int, terms string, anchors long")
+    """QRY-1: a plan for each of as many questions as there are parts."""
+    plan = search.planned(F.concat(F.lit("Old "), F.col("p_name"), F.lit(" vases")))
+    return table(spark, sf_dir, "part").select("p_partkey", plan.alias("plan")).select("p_partkey", F.array_join("plan.terms", ",").alias("terms"), F.size("plan.groups").cast("long").alias("anchors"))
 
 
-@R.add("SELECT DISTINCT n_nationkey, unnest(regexp_extract_all(lower('old ' || n_name), '\\w+')) AS must FROM nation")
+@R.add("SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower('old ' || p_name), '\\w+')) AS must FROM part")
 def qry2_atomic_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = [(r[0], search.atomic_plan(str(r[0]), f"old {r[1]}")) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()]
-    return spark.createDataFrame([(k, g[0]) for k, p in plans for g in p.groups], "n_nationkey int, must string")
+    plan = search.atomically_planned(F.concat(F.lit("old "), F.col("p_name")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(plan["groups"]).alias("group")).select("p_partkey", F.col("group")[0].alias("must"))
 
 
 @R.add("""WITH p AS (SELECT 'q' || (p_partkey % 5) AS query_id, p_partkey AS object_id, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) AS place FROM part QUALIFY place <= 6),

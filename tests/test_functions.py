@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import values as V
+from quillspark.operators import search
 
 
 def column(spark, values, f, kind="string"):
@@ -102,3 +103,12 @@ def test_spread_pages_by_row(spark):
     for wanted in (0, 1, 2, 7, 13):
         got = rows.select("t", V.spread(F.col("t"), wanted).alias("pages")).collect()
         assert {r.t: r.pages for r in got} == {t: V.spread_pages(t, wanted) for t in range(-1, 60)}
+
+
+def test_plans_by_row_equal_those_of_single_questions(spark):
+    asked = ["Old RED bowls, a box of old berries", "", "glass", "Basis of physics; 12 x", "wort wort Ünder", None]
+    rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", search.planned(F.col("q")).alias("p"), search.atomically_planned(F.col("q")).alias("a")).collect()
+    for r in rows:
+        one, atomic = search.plan("q", r.q or ""), search.atomic_plan("q", r.q or "")
+        assert (tuple(r.p.exact), tuple(map(tuple, r.p.groups)), tuple(r.p.terms)) == (one.exact, one.groups, one.terms)
+        assert (tuple(r.a.exact), tuple(map(tuple, r.a.groups)), tuple(r.a.terms)) == (atomic.exact, atomic.groups, atomic.terms)
