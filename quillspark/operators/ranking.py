@@ -181,12 +181,14 @@ def roles(rows: DataFrame, group: str, order: str) -> DataFrame:
 def redundancy(candidates: DataFrame, chosen: DataFrame, id_col: str) -> DataFrame:
     """JON-11: the largest Jaccard similarity of each candidate's features to those of a chosen row.
 
-    Overlaps are counted from shared features, so pairs that share nothing are not made.
+    Rows with the same features are one set, and only sets are compared; overlaps are counted from shared features, so
+    pairs of sets that share nothing are not made.
     """
-    long = lambda df, name: df.select(F.col(id_col).alias(name), F.size("features").alias(f"{name}_size"), F.explode("features").alias("f"))
-    both = long(candidates, "a").join(long(chosen, "b"), "f").groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("n"))
-    best = both.groupBy(F.col("a").alias(id_col)).agg(F.max(F.col("n") / (F.col("a_size") + F.col("b_size") - F.col("n"))).alias("redundancy"))
-    return candidates.select(id_col).join(best, id_col, "left").select(id_col, F.coalesce("redundancy", F.lit(0.0)).alias("redundancy"))
+    key = F.array_sort("features").alias("own")
+    sets = lambda df, name: df.select(key).distinct().select(F.col("own").alias(name), F.explode("own").alias("f"))
+    both = sets(candidates, "a").join(sets(chosen, "b"), "f").groupBy("a", "b").agg(F.count("*").alias("n"))
+    best = both.groupBy(F.col("a").alias("own")).agg(F.max(F.col("n") / (F.size("a") + F.size("b") - F.col("n"))).alias("redundancy"))
+    return candidates.select(id_col, key).join(best, "own", "left").select(id_col, F.coalesce("redundancy", F.lit(0.0)).alias("redundancy"))
 
 
 def starters(rows: DataFrame, group: str, id_col: str, packs: str, institution: str, evidence: str, limit: int = 5) -> DataFrame:
