@@ -1,8 +1,12 @@
 """Work that must not grow faster than the tables, and rows on which a query and its SQL differed."""
 
+import random
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import ranking
+from quillspark.operators import dense, ranking
 from quillspark.plans import registry
 
 
@@ -22,6 +26,17 @@ def rows_out(df, names=("Join",)):
     return most
 
 
+def by_sql(spark, name, folder, **tables):
+    """The rows of a query and of its SQL over the given tables, as sorted strings."""
+    duck = duckdb.connect()
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    want = duck.sql(registry.ORACLES[name])
+    got = registry.QUERIES[name](spark, str(folder)).select(want.columns)
+    return tuple(sorted(repr(tuple(r)) for r in rows) for rows in (got.collect(), want.fetchall()))
+
+
 def test_redundancy_compares_sets_not_rows(spark):
     rows = spark.range(3000).select("id", F.array(F.concat(F.lit("b"), F.col("id") % 5), F.concat(F.lit("t"), F.col("id") % 3), F.lit("all")).alias("features"))
     got = ranking.redundancy(rows.where("id % 10 <> 1"), rows.where("id % 10 = 1"), "id")
@@ -44,3 +59,22 @@ def test_bound_checks_of_short_and_missing_texts(spark, tmp_path):
     got = {r.object_id: r.failure for r in registry.QUERIES["qry12_bound_checks"](spark, str(tmp_path)).collect()}
     # by the SQL a quotation is missing from the text of every seventh document only
     assert got == {16: None, 17: None, 18: None, 19: None, 20: "not_supported", 21: "quote_not_visible", 22: "foreign_evidence", 23: None, 24: None}
+
+
+@pytest.mark.parametrize("name", ["top1_cosine_topk", "top3_best_per_group", "top2_evidence_topk"])
+@pytest.mark.parametrize(("part", "block"), [(8_192, 2_000), (70, 3)])
+def test_vector_searches_of_odd_vectors(spark, tmp_path, monkeypatch, name, part, block):
+    monkeypatch.setattr(dense, "PART_VECTORS", part)
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", block)
+    r = random.Random(7)
+    some = [[float(r.randrange(-3, 4)) for _ in range(4)] for _ in range(30)]
+    odd = {3: None, 50: None, 7: [], 11: [None, 1.0, 2.0, 0.5], 100: [1.0, None, 0.25, None], 12: [None] * 4, 13: [float("inf"), 0.0, 1.0, 1.0], 150: [0.5, 1.0], 15: [1.0, 2.0, 3.0, 4.0, 5.0], 16: [float("nan"), 1.0, 1.0, 1.0], 17: [1e-7, 2e-7, 0.0, 0.0]}
+    rows = [(i, i % 5 if i % 31 else None, odd.get(i, r.choice(some))) for i in range(260)]
+    got, want = by_sql(spark, name, tmp_path, embeddings=(rows, "vec_id long, label int, embedding array<float>"))
+    assert got == want
+
+
+def test_vector_search_hands_on_few_scores(spark):
+    rows = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k) for k in range(1, 9))).alias("embedding"))
+    queries = rows.where("vec_id % 50 = 0").select("vec_id", F.col("embedding").alias("query_vector")).withColumnRenamed("vec_id", "query_id")
+    assert 0 < rows_out(dense.top_k(rows, queries, 5, "vec_id"), ("Join", "CoGroup", "Window")) <= 80 * 6
