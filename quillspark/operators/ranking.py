@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -22,11 +24,32 @@ def near_best(scores: DataFrame, key: str, label: str, most: int, share: float)
     return scores.where("score > 0").withColumn("place", place).withColumn("best", F.max("score").over(own)).where((F.col("place") <= most) & (F.col("score") >= share * F.col("best"))).drop("best")
 
 
+def _in_front(rows: DataFrame, groups: Sequence[str], first: str, n: int) -> DataFrame:
+    """Rows that can be among the first ``n`` of their group by ``first``: up to the n-th of the least values of 4 n shares of the group.
+
+    That many rows are at or below it, and about as many are left. A group with fewer shares is left whole, and so are nulls.
+    """
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(4 * n))
+    least = rows.groupBy(*groups, share.alias("share")).agg(F.min(first).alias("cut"))
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(F.asc_nulls_last("cut")))
+    cuts = least.withColumn("n", place).where(F.col("n") == n).select(*(F.col(g).alias(f"__{g}") for g in groups), "cut")
+    same = reduce(Column.__and__, (F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups))
+    own = rows.join(F.broadcast(cuts), same, "left")
+    return own.where(F.col("cut").isNull() | F.col(first).isNull() | (F.col(first) <= F.col("cut"))).select(*rows.columns)
+
+
 def round_robin(rows: DataFrame, groups: Sequence[str], within: Sequence[Column | str], limit: int | None = None) -> DataFrame:
-    """WIN-6/7: the first row of each group, then the second of each ...; ``turn`` and the group give the order."""
+    """WIN-6/7: the first row of each group, then the second of each ...; ``turn`` and the group give the order.
+
+    With a limit only that many rows of a group can be wanted. Where the first of ``within`` is a number in rising order,
+    rows behind a value that as many rows of the group reach are left out before any are sorted; of the others Spark
+    keeps no more than the limit in each task before the shuffle.
+    """
+    if limit and isinstance(within[0], str) and isinstance(rows.schema[within[0]].dataType, NumericType):
+        rows = _in_front(rows, groups, within[0], limit)
     turn = F.row_number().over(Window.partitionBy(*groups).orderBy(*within))
     out = rows.withColumn("turn", turn)
-    return out.orderBy("turn", *groups).limit(limit) if limit else out
+    return out.where(F.col("turn") <= limit).orderBy("turn", *groups).limit(limit) if limit else out
 
 
 def water_fill(available: DataFrame, group: str, target: int) -> DataFrame:

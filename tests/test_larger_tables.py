@@ -78,3 +78,13 @@ def test_vector_search_hands_on_few_scores(spark):
     rows = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k) for k in range(1, 9))).alias("embedding"))
     queries = rows.where("vec_id % 50 = 0").select("vec_id", F.col("embedding").alias("query_vector")).withColumnRenamed("vec_id", "query_id")
     assert 0 < rows_out(dense.top_k(rows, queries, 5, "vec_id"), ("Join", "CoGroup", "Window")) <= 80 * 6
+
+
+def test_round_robin_shuffles_its_limit_only(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 1000 > 0, 20_000 - F.col("id")).alias("k"), "id")
+    got = ranking.round_robin(rows, ["g"], ["k", "id"], 50)
+    order = sorted(((r.g, r.k, r.id) for r in rows.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2]))
+    groups = [[r for r in order if r[0] == g] for g in (None, 1, 2)]
+    want = [(*own[t], t + 1) for t in range(17) for own in groups][:50]
+    assert [tuple(r) for r in got.collect()] == want
+    assert 0 < rows_out(got, ("Window", "Filter")) < 2_000
