@@ -22,9 +22,9 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, stric
     return spark.read.schema(full).option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def json_pages(spark: SparkSession, path: str, schema: str, items: str = "data") -> DataFrame:
-    """SRC-2..7: answers of a paged interface, one document a file, exploded to their records."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("page_file"), F.explode(items).alias("record")).select("page_file", "record.*")
+def json_pages(spark: SparkSession, path: str, schema: str, items: str = "data", lines: bool = False) -> DataFrame:
+    """SRC-2..7: answers of a paged interface, one document a file or, with ``lines``, one a line, exploded to their records."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.input_file_name().alias("page_file"), F.explode(items).alias("record")).select("page_file", "record.*")
 
 
 def collections(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import dense, ranking
-from quillspark.plans import registry
+from quillspark.plans import landing_queries, registry
 
 
 def rows_out(df, names=("Join",)):
@@ -88,3 +88,12 @@ def test_round_robin_shuffles_its_limit_only(spark):
     want = [(*own[t], t + 1) for t in range(17) for own in groups][:50]
     assert [tuple(r) for r in got.collect()] == want
     assert 0 < rows_out(got, ("Window", "Filter")) < 2_000
+
+
+def test_landed_pages_share_files(spark, tmp_path, monkeypatch):
+    rows = [(i, f"Brand#{i % 7}", "a", i % 50) for i in range(4_000)]
+    root = str(tmp_path / "landed")
+    monkeypatch.setattr(landing_queries, "landing", lambda spark: root)
+    got, want = by_sql(spark, "src3_quota_pages", tmp_path, part=(rows, "p_partkey long, p_brand string, p_name string, p_size int"))
+    assert got == want
+    assert len(list((tmp_path / "landed").rglob("part-*"))) <= 8
