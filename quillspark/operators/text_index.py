@@ -37,6 +37,8 @@ from . import posting_runs, search
 ROW_GROUP = 1 << 20
 #: Bytes of rows handed to a Python worker at a time.
 BATCH_BYTES = 4_000_000
+#: Postings that a task opens and sorts, about.
+PART_POSTINGS = 2_000_000
 #: Blocks of documents: four length classes to a doubling, each dealt into so many parts.
 PARTS = 16
 #: Blocks that are scored first, for the score that others must reach.
@@ -89,7 +91,10 @@ def _build(index: search.Index, root: str, version: str) -> TextIndex:
     packed = _packed(index)
     packed.write.parquet(f"{staging}-runs")  # dealing by ranges reads its rows twice
     id_type = dict(index.docs.dtypes)[index.id_col]
-    dealt = spark.read.schema(packed.schema).parquet(f"{staging}-runs").repartitionByRange("deal", "run")
+    runs = spark.read.schema(packed.schema).parquet(f"{staging}-runs")
+    # by number: packed rows are a small part of what is opened and sorted behind them, and Spark would choose by their size
+    parts = max(1, -(-(runs.agg(F.sum("postings")).first()[0] or 0) // PART_POSTINGS))
+    dealt = runs.repartitionByRange(parts, "deal", "run")
     total = reduce(Column.__add__, (F.col(f"len_{f}") for f in names))
     opened = dealt.mapInArrow(posting_runs.opener(names), f"deal int, term string, id {id_type}, {_numbers(names)}")
     made = opened.withColumn("block", _block(total, "id")).sortWithinPartitions("deal", "term", "block")

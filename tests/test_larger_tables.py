@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import dense, ranking
+from quillspark.operators import dense, ranking, search, text_index
 from quillspark.plans import landing_queries, registry
 
 
@@ -97,3 +97,12 @@ def test_landed_pages_share_files(spark, tmp_path, monkeypatch):
     got, want = by_sql(spark, "src3_quota_pages", tmp_path, part=(rows, "p_partkey long, p_brand string, p_name string, p_size int"))
     assert got == want
     assert len(list((tmp_path / "landed").rglob("part-*"))) <= 8
+
+
+def test_index_parts_follow_the_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "PART_POSTINGS", 5_000, raising=False)
+    docs = spark.range(2_000).select("id", *(F.array(F.concat(F.lit(f), F.col("id") % 3)).alias(f) for f in ("title", "routing", "metadata")), F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.concat(F.lit("c"), F.pmod(F.xxhash64("id", k), F.lit(500)))).alias("content"))
+    stored = text_index.build(search.Index(docs, "id"), str(tmp_path), "v1")
+    sizes = [r["count"] for r in stored.table("postings").groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) > 50_000 and max(sizes) <= 15_000
+    assert all(r.ok for r in stored.check().collect())
