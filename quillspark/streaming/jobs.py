@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -30,48 +31,51 @@ class JobProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.steps = handle.getMapState("steps", "step string", "id long, status string")
-        self.about = handle.getValueState("about", "began long, heard long, seen long, stall_at long")
+        # one value: each call to the store goes to the JVM and back, and a job has few steps
+        self.about = handle.getValueState("about", "began long, heard long, seen long, stall_at long, steps string")
 
-    def _change(self, job: int, event: str, seen: int) -> pd.DataFrame:
-        last = [v[1] for _, v in self.steps.iterator()]
+    def _change(self, job: int, event: str, seen: int, steps: list) -> pd.DataFrame:
+        last = [status for _, _, status in steps]
         settled = sum(s in SETTLED for s in last)
         return pd.DataFrame({"job_id": [job], "event": [event], "seen": [seen], "steps": [len(last)], "settled": [settled], "progress": [settled / max(len(last), 1)], "failed": ["failed" in last]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.about.exists()
-        began, heard, seen, stall_at = self.about.get() if known else (None, None, 0, 0)
+        held = self.about.get()
+        known = held is not None
+        began, heard, seen, stall_at, kept = held if known else (None, None, 0, 0, "[]")
+        steps = {step: (i, status) for step, i, status in json.loads(kept)}
         for part in rows:
             seen += len(part)
-            times = part["ts"].astype("int64") // 10**6 if str(part["ts"].dtype).startswith("datetime64[ns") else part["ts"].astype("datetime64[ms]").astype("int64")
-            began = int(times.min()) if began is None else min(began, int(times.min()))
-            heard = int(times.max()) if heard is None else max(heard, int(times.max()))
-            newest = part.sort_values("id").drop_duplicates("step", keep="last")
-            for step, i, status in zip(newest["step"], newest["id"], newest["status"], strict=True):
-                if not self.steps.containsKey((step,)) or self.steps.getValue((step,))[0] < i:
-                    self.steps.updateValue((step,), (int(i), status))
+            first, last = (int(t.value) // 10**6 for t in (part["ts"].min(), part["ts"].max()))
+            began = first if began is None else min(began, first)
+            heard = last if heard is None else max(heard, last)
+            for step, i, status in zip(part["step"].tolist(), part["id"].tolist(), part["status"].tolist(), strict=True):
+                if step not in steps or steps[step][0] < i:
+                    steps[step] = (i, status)
         if not known:
             self.handle.registerTimer(began + self.deadline_ms)
-        if stall_at:
-            self.handle.deleteTimer(stall_at)
-        stall_at = heard + self.stall_ms
-        self.handle.registerTimer(stall_at)
-        self.about.update((began, heard, seen, stall_at))
-        yield self._change(key[0], "changed", seen)
+        if stall_at != heard + self.stall_ms:
+            if stall_at:
+                self.handle.deleteTimer(stall_at)
+            stall_at = heard + self.stall_ms
+            self.handle.registerTimer(stall_at)
+        now = [(step, i, status) for step, (i, status) in steps.items()]
+        self.about.update((began, heard, seen, stall_at, json.dumps(now)))
+        yield self._change(key[0], "changed", seen, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.about.exists():
+        held = self.about.get()
+        if held is None:
             return
-        began, heard, seen, stall_at = self.about.get()
+        began, heard, seen, stall_at, kept = held
         overdue = expiredTimerInfo.getExpiryTimeInMs() >= began + self.deadline_ms
-        change = self._change(key[0], "overdue" if overdue else "stalled", seen)
+        change = self._change(key[0], "overdue" if overdue else "stalled", seen, json.loads(kept))
         if overdue:
             if stall_at:
                 self.handle.deleteTimer(stall_at)
-            self.steps.clear()
             self.about.clear()
         else:
-            self.about.update((began, heard, seen, 0))
+            self.about.update((began, heard, seen, 0, kept))
         if (change["settled"] < change["steps"]).any():
             yield change
 

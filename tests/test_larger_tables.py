@@ -3,11 +3,13 @@
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import dense, ranking, search, text_index
 from quillspark.plans import landing_queries, registry
+from quillspark.streaming import jobs
 
 
 def rows_out(df, names=("Join",)):
@@ -106,3 +108,32 @@ def test_index_parts_follow_the_postings(spark, tmp_path, monkeypatch):
     sizes = [r["count"] for r in stored.table("postings").groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) > 50_000 and max(sizes) <= 15_000
     assert all(r.ok for r in stored.check().collect())
+
+
+class _Store:
+    """A handle that counts the calls to its one value and its timers."""
+
+    def __init__(self):
+        self.calls, self.held = 0, None
+
+    def getValueState(self, *_):
+        return self
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "update":
+                self.held = args[0]
+            return self.held if name == "get" else name == "exists" and self.held is not None
+
+        return call
+
+
+def test_a_batch_of_a_job_takes_few_calls_to_the_state_store():
+    store, processor = _Store(), jobs.JobProcessor(1000, 5000)
+    processor.init(store)
+    rows = pd.DataFrame({"step": [f"s{i % 9}" for i in range(90)], "id": range(90), "status": ["done"] * 81 + ["failed"] * 9, "ts": pd.date_range("2024-01-01", periods=90, freq="s")})
+    (first,) = processor.handleInputRows((1,), iter([rows[50:]]), None)
+    (last,) = processor.handleInputRows((1,), iter([rows[:50]]), None)
+    assert store.calls <= 8
+    assert (first["seen"][0], last["seen"][0], last["steps"][0], last["settled"][0], bool(last["failed"][0])) == (40, 90, 9, 9, True)
