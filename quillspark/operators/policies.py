@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.dense import in_blocks
 from quillspark.sources.shared import kept
 
 # Shares of the two parts of the similarity, and the scores that count as the same question.
@@ -16,12 +17,16 @@ THRESHOLDS = {"question_card": 0.72, "regression": 0.9}
 _SLACK = 1e-9
 #: Words of 64 bits in which a set of pairs of characters is marked.
 WORDS = 4
+#: Hashes of pairs of characters whose counts say which pairs are rare.
+BUCKETS = 4_096
 
 
 def _profile(rows: DataFrame, text: str) -> DataFrame:
     """Each distinct key, its pairs of characters, and how often it has each character, in order of the character."""
     key = T.question_key(F.col(text))
-    own = rows.select(key.alias("key")).where("key <> ''").distinct()
+    # dealt by number: what follows is much larger than the keys, by whose size Spark would choose few tasks
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.select(key.alias("key")).where("key <> ''").repartition(tasks, "key").distinct()
     letters = F.array_sort(F.filter(F.split("key", ""), lambda c: c != ""))
     own = own.withColumn("letters", letters).withColumn("pairs", F.array_distinct(T.grams(F.col("key"), 2)))
     # a repeated letter is told apart by its place among its like, so that sets of them overlap as the multisets do
@@ -48,21 +53,25 @@ def candidates(questions: DataFrame, policies: DataFrame, least: float, text: st
     if alike <= 0:
         raise ValueError("a similarity of 0.65 or less is possible without a common pair of characters")
     q, p = kept(_profile(questions, text)), kept(_profile(policies, text))
-    counts = p.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    # any order of the pairs will do if it is the same on both sides: rare ones first, by the counts of a hash
+    place = lambda pair: F.pmod(F.hash(pair), F.lit(BUCKETS)).cast("int")
+    counts = p.select(F.explode("pairs").alias("pair")).groupBy(place(F.col("pair")).alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
+    weights = F.broadcast(counts.select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("weights")))
 
-    def prefixed(rows: DataFrame, other: str) -> DataFrame:
-        """The rarest pairs of each key: as many as two sets with that likeness can't both miss."""
+    def prefixed(rows: DataFrame) -> DataFrame:
+        """The rarest pairs of each key: as many as two sets with that likeness can't both miss. Each row by itself, without a shuffle."""
         n = F.size("pairs")
-        each = rows.select(F.col("key").alias(other), n.alias("n_pairs"), F.col("size").alias("n_chars"), *(f"bits{k}" for k in range(WORDS)), F.explode("pairs").alias("pair")).join(counts, "pair", "left")
-        place = F.row_number().over(Window.partitionBy(other).orderBy(F.coalesce("n", F.lit(0)), "pair"))
-        return each.withColumn("place", place).where(F.col("place") <= F.col("n_pairs") - F.ceil(F.lit(alike) * F.col("n_pairs") - _SLACK) + 1)
+        ordered = F.array_sort(F.transform("pairs", lambda x: F.struct(F.get("weights", place(x)).alias("w"), x.alias("pair"))))
+        few = F.slice(ordered, F.lit(1), (n - F.ceil(F.lit(alike) * n - _SLACK) + 1).cast("int"))["pair"]
+        return rows.crossJoin(weights).select("key", n.alias("n_pairs"), F.col("size").alias("n_chars"), *(f"bits{k}" for k in range(WORDS)), few.alias("few")).withColumn("pair", F.explode("few")).drop("few")
 
-    a = prefixed(q, "x").select("x", "pair", F.col("n_pairs").alias("na"), F.col("n_chars").alias("la"), *(F.col(f"bits{k}").alias(f"a{k}") for k in range(WORDS)))
-    b = prefixed(p, "y").select("y", "pair", F.col("n_pairs").alias("nb"), F.col("n_chars").alias("lb"), *(F.col(f"bits{k}").alias(f"b{k}") for k in range(WORDS)))
+    a = prefixed(q).select(F.col("key").alias("x"), "pair", F.col("n_pairs").alias("na"), F.col("n_chars").alias("la"), *(F.col(f"bits{k}").alias(f"a{k}") for k in range(WORDS)))
+    of_policies = lambda few: prefixed(few).select(F.col("key").alias("y"), "pair", F.col("n_pairs").alias("nb"), F.col("n_chars").alias("lb"), *(F.col(f"bits{k}").alias(f"b{k}") for k in range(WORDS)))
     apart = reduce(Column.__add__, (F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)))
     common = F.least("na", "nb", F.floor((F.col("na") + F.col("nb") - apart) / 2))
     longest = _bound(common, F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), F.least("la", "lb"))
-    met = a.join(b, "pair").where((longest >= least - _SLACK) & (F.col("x") != F.col("y"))).select("x", "y").distinct()
+    # a pair that many questions have would be one task's: blocks of the policies are sent to the questions instead
+    met = in_blocks(p, "key", lambda few: a.join(F.broadcast(of_policies(few)), "pair").where((longest >= least - _SLACK) & (F.col("x") != F.col("y"))).select("x", "y")).distinct()
     pairs = met.join(q.select(F.col("key").alias("x"), F.col("pairs").alias("px"), F.col("letters").alias("lx")), "x").join(p.select(F.col("key").alias("y"), F.col("pairs").alias("py"), F.col("letters").alias("ly")), "y")
     sizes = (F.size("px"), F.size("py"), F.size("lx"), F.size("ly"))
     counted = pairs.withColumn("shared", F.size(F.array_intersect("px", "py"))).where(_bound(F.col("shared"), *sizes, F.least(*sizes[2:])) >= least - _SLACK)
