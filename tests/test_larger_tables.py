@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import dense, ranking, search, text_index
+from quillspark.operators import dense, policies, ranking, search, text_index
 from quillspark.plans import landing_queries, registry
 from quillspark.streaming import jobs
 
@@ -137,3 +137,11 @@ def test_a_batch_of_a_job_takes_few_calls_to_the_state_store():
     (last,) = processor.handleInputRows((1,), iter([rows[:50]]), None)
     assert store.calls <= 8
     assert (first["seen"][0], last["seen"][0], last["steps"][0], last["settled"][0], bool(last["failed"][0])) == (40, 90, 9, 9, True)
+
+
+def test_question_pairs_are_not_shuffled(spark):
+    asked = spark.range(300).select(F.concat(F.lit("what is the stone of king number "), "id").alias("question"))
+    known = spark.range(3).select(F.concat(F.lit("what is the stone of king number x"), "id").alias("question"))
+    got = policies.candidates(asked, known, 0.72)
+    assert got.count() == 900
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
