@@ -97,14 +97,15 @@ def qry20_answer_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.array("event_type").alias("legs"), "props")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), "object_id"))
 
-    def pool(rows: DataFrame, who: F.Column) -> DataFrame:
-        own = rows.select(who.alias("query_id"), F.col("event_id").alias("object_id"), "value", "legs", F.when(F.col("event_id") % 3 == 0, F.repeat("props", 6)).otherwise(F.col("props")).alias("text"))
+    def pool(who: F.Column, wanted: DataFrame | None = None) -> DataFrame:
+        own = e.select(who.alias("query_id"), F.col("event_id").alias("object_id"), "value", "legs", F.when(F.col("event_id") % 3 == 0, F.repeat("props", 6)).otherwise(F.col("props")).alias("text"))
+        own = own if wanted is None else own.join(wanted.select("query_id"), "query_id", "left_semi")
         return own.withColumn("rank", rank.cast("long")).drop("value")
 
     questions = e.select(F.col("user_id").alias("query_id")).distinct().select("query_id", (5 + F.col("query_id") % 4).cast("int").alias("count"), F.when(F.col("query_id") % 3 == 0, F.array(F.lit("signup"), F.lit("error"))).otherwise(F.array(F.lit("purchase"))).alias("required"))
     judge = lambda shown: shown.select("query_id", "object_id", (F.col("object_id") % 7 == 0).alias("accepted"), (F.col("object_id") % 100 / 100.0).alias("score"))
-    expand = lambda ready: pool(e, F.col("user_id") - 1).join(ready.select("query_id"), "query_id", "left_semi")
-    states, accepted = answer_loop.answered(questions, pool(e, F.col("user_id")), judge, expand)
+    expand = lambda ready: pool(F.col("user_id") - 1, ready)
+    states, accepted = answer_loop.answered(questions, pool(F.col("user_id")), judge, expand)
     ids = accepted.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "object_id"))), lambda x: x["object_id"]).alias("ids"))
     return states.join(ids, "query_id", "left").select("query_id", "status", "accepted", F.array_join("missing", ",").alias("missing"), "rounds", "expanded", F.coalesce(F.array_join("ids", ","), F.lit("")).alias("object_ids"))
 

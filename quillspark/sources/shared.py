@@ -31,6 +31,15 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """The rows written and read back like ``kept``, in ``parts`` parts by the hash of ``keys``: groups of ``keys``, and joins of tables dealt alike, move no rows."""
+    spark, name = rows.sparkSession, f"dealt_{uuid.uuid4().hex}"
+    rows.write.bucketBy(parts, *keys).option("path", landing(spark)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; no name is left behind
+    return out
+
+
 def clean_up() -> None:
     """Delete the folders made so far; results that still read them are gone."""
     spark = SparkSession.getActiveSession()

@@ -81,3 +81,43 @@ def test_no_questions(spark):
     pool = spark.createDataFrame([("q", 1, 1, ["a"], "t")], "query_id string, object_id long, rank long, legs array<string>, text string")
     states, accepted = A.answered(none, pool, lambda s: s.select("query_id", "object_id", F.lit(True).alias("accepted"), F.lit(1.0).alias("score")))
     assert states.collect() == [] and accepted.collect() == []
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far wrote for a shuffle."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_rounds_do_not_move_the_pool(spark, monkeypatch):
+    monkeypatch.setattr(A, "PART_ROWS", 4_000, raising=False)
+    sizes = {q: (15, 50, 170)[q % 3] for q in range(100)}
+    pool = [(q, k, k + 1, ["a"] if k % 3 else [], "x" * (k % 60)) for q, n in sizes.items() for k in range(n)]
+    schema = "query_id long, object_id long, rank long, legs array<string>, text string"
+    questions = spark.createDataFrame([(q, 3, ["a"] if q % 2 else ["b"]) for q in sizes], "query_id long, count int, required array<string>")
+    judge = lambda shown: shown.select("query_id", "object_id", (F.col("object_id") % 40 == 1).alias("accepted"), (F.col("object_id") / 1000.0).alias("score"))
+    asked = []
+
+    def expand(ready):
+        asked.append(ready)
+        return ready.select("query_id", F.explode(F.sequence(F.lit(165).cast("long"), F.lit(205).cast("long"))).alias("object_id"), F.lit(7).alias("rank"), F.array(F.lit("b")).alias("legs"), F.lit(None).cast("string").alias("text"))
+
+    before = shuffled_rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        states, accepted = A.answered(questions, spark.createDataFrame(pool, schema), judge, expand)
+        moved = sum(n for k, n in shuffled_rows(spark).items() if k not in before)
+        got = {s.query_id: (s.status, s.accepted, ",".join(s.missing), s.rounds, s.expanded) for s in states.collect()}
+        order = {}
+        for a in sorted(accepted.collect(), key=lambda a: a.place):
+            order.setdefault(a.query_id, []).append(a.object_id)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # both pools are dealt once (the first one for the join with the questions too), not once or more in each of some ten rounds
+    assert 0 < moved <= 3 * len(pool)
+    for q in sizes:
+        more = [(k, 7, ["b"], None) for k in range(165, 206)]
+        assert (*got[q], order.get(q, [])) == plain(3, ["a"] if q % 2 else ["b"], [r[1:] for r in pool if r[0] == q], lambda o: o % 40 == 1, more), q
+    assert max(x[3] for x in got.values()) > 8 and len(asked) == 1
